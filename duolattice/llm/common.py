@@ -53,8 +53,8 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def row_key(id_col: str, text_col: str) -> list:
-    """Two columns that tell rows apart, also where ids are null or repeated with other texts; neither is ever null."""
-    return [F.coalesce(F.col(id_col), F.lit(-(2**63) + 1)), F.xxhash64(F.col(text_col), F.col(id_col).isNull())]
+    """Three columns, never null, that tell rows apart and order them by id, nulls last: the id, whether it is null, a hash of the text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.col(id_col).isNull(), F.xxhash64(F.col(text_col))]
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text_at: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
