@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sentencepiece_codec, simhash, token_counts, topk, warc
+from . import decontaminate, line_dedup, sentencepiece_codec, simhash, token_counts, topk, warc
 from .common import table
 
 
@@ -41,12 +41,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"), removed_col="n_removed")
+    return docs.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_topk, op6_simhash, op8_token_counts, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_topk, op6_simhash, op8_token_counts, op9_line_dedup, op10_warc)}
 
 #: DuckDB SQL over the same tables.
 ORACLE_SQL: dict[str, str] = {
@@ -76,6 +81,27 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op9_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, i AS pos, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))
+        ), full_lines AS (
+            SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM lines WHERE replace(line, ' ', '') <> ''
+        ), windows AS (
+            SELECT a.doc_id, a.pos AS first, c.pos AS last, a.line AS x, b.line AS y, c.line AS z
+            FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.n = a.n + 1 JOIN full_lines c ON a.doc_id = c.doc_id AND c.n = a.n + 2
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, first) AS r FROM windows
+        ), covered AS (
+            SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS pos FROM ranked WHERE r > 1
+        ), joined AS (
+            SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.pos) FILTER (c.pos IS NULL) AS left_text, count(c.pos) AS n_removed
+            FROM lines l LEFT JOIN covered c ON l.doc_id = c.doc_id AND l.pos = c.pos GROUP BY l.doc_id
+        ), result AS (
+            SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, CASE WHEN coalesce(n_removed, 0) = 0 THEN text ELSE coalesce(left_text, '') END AS text
+            FROM documents d LEFT JOIN joined j USING (doc_id)
+        )
+        SELECT doc_id, n_removed, length(text) AS n_chars_left, sha256(text) AS text_sha256 FROM result
+    """,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS body, CAST(CAST(from_hex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits FROM pages
