@@ -12,6 +12,7 @@ text; rows are kept one for one, repeated rows and null ids too; other columns a
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ _CODECS: dict[tuple, "PieceCodec"] = {}
 class PieceCodec:
     """Encoder and decoder of one model file. cache_limit bounds the segments kept in memory."""
 
-    def __init__(self, model_path: str, cache_limit: int = 400_000):
+    def __init__(self, model_path: str, cache_limit: int = 600_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -45,6 +46,7 @@ class PieceCodec:
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.cost = {p: -sp.get_score(i) for p, i in self.ids.items()}
         self.bytes_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.ordinary = frozenset(self.ids.values())
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         self.cache: dict[str, tuple[str, str]] = {}
@@ -52,6 +54,29 @@ class PieceCodec:
 
     def merge(self, segment: str) -> list[str]:
         """The segment's symbols after all merges."""
+        return self.merge_short(segment) if len(segment) <= 48 else self.merge_long(segment)
+
+    def merge_short(self, segment: str) -> list[str]:
+        """The agenda is a flat list with the cost of every adjacent pair, in which the first smallest one is looked up."""
+        cost, never = self.cost.get, math.inf
+        symbols = list(segment)
+        agenda = [cost(a + b, never) for a, b in zip(segment, segment[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            pair = symbols[i] + symbols[i + 1]
+            symbols[i : i + 2] = (pair,)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(pair + symbols[i + 1], never)
+            if i:
+                agenda[i - 1] = cost(symbols[i - 1] + pair, never)
+        return symbols
+
+    def merge_long(self, segment: str) -> list[str]:
+        """The agenda is a heap; entries whose symbols have changed since are passed over."""
         cost = self.cost.get
         symbols: list = list(segment)
         n = len(symbols)
@@ -85,8 +110,12 @@ class PieceCodec:
         return [s for s in symbols if s is not None]
 
     def segment_ids(self, segment: str) -> list[int]:
-        out, ids = [], self.ids
-        for s in self.merge(segment):
+        ids, symbols = self.ids, self.merge(segment)
+        try:
+            return [ids[s] for s in symbols]
+        except KeyError:
+            out = []
+        for s in symbols:
             if s in ids:
                 out.append(ids[s])
             else:
@@ -95,6 +124,8 @@ class PieceCodec:
 
     def pieces_text(self, ids: list[int]) -> str:
         """Text of the ids, space marks as spaces and the leading one kept."""
+        if self.ordinary.issuperset(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
         out, pending = [], bytearray()
         for i in ids:
             b = self.bytes_of.get(i)
