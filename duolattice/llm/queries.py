@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, sentencepiece_codec, simhash, token_counts, topk, warc
+from . import decontaminate, line_dedup, quality, sentencepiece_codec, simhash, token_counts, topk, warc
 from .common import table
 
 
@@ -36,6 +36,21 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def remainder(n: int):
+    """crc32 of the id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.AdditiveModel:
+    return quality.fit(docs, table(spark, sf_dir, "labels"), usable=remainder(5) != 0)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality_model(spark, sf_dir, docs))
+    return scored.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -51,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_topk, op6_simhash, op8_token_counts, op9_line_dedup, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_topk, op6_simhash, op7_quality, op8_token_counts, op9_line_dedup, op10_warc)}
 
 #: DuckDB SQL over the same tables.
 ORACLE_SQL: dict[str, str] = {
