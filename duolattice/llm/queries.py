@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality, sentencepiece_codec, simhash, token_counts, topk, warc
+from . import decontaminate, line_dedup, quality, sentencepiece_codec, simhash, token_counts, topk, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(n: int):
+    """crc32 of the id as text, mod n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -28,6 +33,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=remainder(3) != 1)
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -36,11 +47,6 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def remainder(n: int):
-    """crc32 of the id as text, mod n."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
-
-
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.AdditiveModel:
     return quality.fit(docs, table(spark, sf_dir, "labels"), usable=remainder(5) != 0)
 
@@ -66,7 +72,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op5_topk, op6_simhash, op7_quality, op8_token_counts, op9_line_dedup, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_toxicity, op5_topk, op6_simhash, op7_quality, op8_token_counts, op9_line_dedup, op10_warc)}
 
 #: DuckDB SQL over the same tables.
 ORACLE_SQL: dict[str, str] = {
