@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality, sentencepiece_codec, simhash, token_counts, topk, toxicity, warc
+from . import decontaminate, line_dedup, quality, sentencepiece_codec, simhash, token_counts, token_shards, topk, toxicity, warc
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_shards.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+    return index.select("slot", "shard", "row", "doc_ids", "n_tokens", "tokens_sha256")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=remainder(3) != 1)
@@ -72,7 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op4_toxicity, op5_topk, op6_simhash, op7_quality, op8_token_counts, op9_line_dedup, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_decontamination, op3_token_shards, op4_toxicity, op5_topk, op6_simhash, op7_quality, op8_token_counts, op9_line_dedup, op10_warc)}
 
 #: DuckDB SQL over the same tables.
 ORACLE_SQL: dict[str, str] = {
