@@ -1,13 +1,14 @@
 """Token-ID output in training order.
 
-Documents are tokenised, each followed by the end token, and the tokens of a scan partition are packed into sequences of equal
-length (only the last one of a partition is filled up with end tokens). A first pass counts each partition's tokens; so every
-sequence has a global number, and a keyed Feistel permutation with cycle-walking gives it a global slot. Sequences are dealt to
-tasks by ranges of slots, and each task writes its range as one shard of fixed stride: the sequence of slot s stands in shard
-s // rows at byte (s % rows) * stride. Readers go through shards one after another and can go on at any slot.
+Documents are tokenised, each followed by the end token, and the tokens of a task are packed into sequences of equal length
+(only a task's last one is filled up with end tokens). The packed sequences are written to the shared folder in compressed
+blocks, whose counts give every sequence a global number; a keyed Feistel permutation with cycle-walking turns the number into
+a global slot. Sequences are dealt to tasks by ranges of slots, many in one compressed row, and each task writes its range as
+one shard of fixed stride: the sequence of slot s stands in shard s // rows at byte (s % rows) * stride. Readers go through
+shards one after another and can go on at any slot.
 
-Only token ids are shuffled, once. A shard is written under another name and then renamed, and holds the same bytes whenever it
-is written again. Numbers follow the scan's partitions: the second pass stops with an error if these aren't those of the first.
+Texts are tokenised once, and only token ids are shuffled, once. What a repeated task would pack anew has been written before
+it is numbered; a shard is written under another name and then renamed, and holds the same bytes whenever it is written again.
 
 Defined results: null and empty texts are an end token alone; repeated rows and null ids are documents like others; an empty
 table gives no shards and no rows; other columns are not read.
@@ -32,6 +33,8 @@ from .token_counts import PATTERN
 from .warc import file_system
 
 _ENCODERS: dict = {}
+#: Tokens in bytes that a task collects before it deals them to the shards.
+DEAL_BYTES = 64 << 20
 
 
 def encoder(path: str):
@@ -93,90 +96,133 @@ def token_type(vocabulary_path: str) -> np.dtype:
     return np.dtype("<u2") if encoder(vocabulary_path).n_vocab < 1 << 16 else np.dtype("<u4")
 
 
-def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows: int = 8192, key: int = 42, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards and returns their index, already written: slot, shard, row, path, doc_ids, n_tokens, tokens_sha256 (of the stored bytes)."""
-    spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "token-shards")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+def _compressed(data: bytes) -> bytes:
+    import zstandard
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, n = encoder(vocabulary_path), 0
-        for batch in chunks(batches, limit=2 << 20):
-            n += sum(map(len, e.encode_ordinary_batch([t or "" for t in batch.column(1).to_pylist()], num_threads=1))) + batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
+    return zstandard.ZstdCompressor(level=6).compress(data)
 
-    # One row for each partition of the scan.
-    tokens = {r.part: r.n for r in texts.mapInArrow(count, "part int, n long").collect()}
-    first, total = {}, 0
-    for part in sorted(tokens):
-        first[part] = total
-        total += -(-tokens[part] // length)
-    schema = "slot long, shard int, row int, doc_ids array<long>, n_tokens int, tokens binary"
-    if not total:
-        empty = spark.createDataFrame([], schema.replace("tokens binary", "path string, tokens_sha256 string"))
-        return empty.select("slot", "shard", "row", "path", "doc_ids", "n_tokens", "tokens_sha256")
-    order, dtype = Permutation(total, key), token_type(vocabulary_path)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, part = encoder(vocabulary_path), TaskContext.get().partitionId()
-        end, seen, made = e.n_vocab, 0, 0
-        held, owners = np.zeros(0, dtype), []  # tokens not yet given out; (tokens that follow, document) of their documents
+def _plain(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+PACKED = "part int, first int, doc_ids array<array<long>>, sizes array<int>, tokens binary"
+DEALT = "shard int, slots array<long>, doc_ids array<array<long>>, sizes array<int>, tokens binary"
+INDEX = "slot long, shard int, row int, path string, doc_ids array<long>, n_tokens int, tokens_sha256 string"
+_LISTS = pa.list_(pa.list_(pa.int64()))
+
+
+def pack(docs: DataFrame, vocabulary_path: str, length: int, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of sequences: the task's number, the block's first sequence in it, documents and token counts of the sequences, their tokens."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e, dtype, part = encoder(vocabulary_path), token_type(vocabulary_path), TaskContext.get().partitionId()
+        end, made = e.n_vocab, 0
+        held, owners = np.zeros(0, dtype), []  # tokens not yet given out; (tokens that are left, document) of their documents
 
         def give(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, owners, made
             n = -(-len(held) // length) if last else len(held) // length
             if not n:
                 return
-            filled = np.full(n * length, end, dtype)
             used = min(len(held), n * length)
+            filled = np.full(n * length, end, dtype)
             filled[:used] = held[:used]
-            slots = order.slots(np.arange(first[part] + made, first[part] + made + n))
             ends = np.cumsum([size for size, _ in owners])
-            begins = ends - [size for size, _ in owners]
-            lists = [[owners[k][1] for k in range(*np.searchsorted(ends, [i * length, min((i + 1) * length, used) - 1], "right") + [0, 1])] for i in range(n)]
-            sizes = [min(length, used - i * length) for i in range(n)]
-            stored = [filled[i * length : (i + 1) * length].tobytes() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(slots // rows, pa.int32()), pa.array(slots % rows, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array(stored, pa.binary())], ["slot", "shard", "row", "doc_ids", "n_tokens", "tokens"])
+            cuts = np.arange(n + 1) * length
+            cuts[-1] = used
+            # A sequence holds the documents from the one of its first token to the one of its last.
+            low, high = np.searchsorted(ends, cuts[:-1], "right"), np.searchsorted(ends, cuts[1:] - 1, "right")
+            lists = [[d for _, d in owners[a : b + 1]] for a, b in zip(low.tolist(), high.tolist())]
+            columns = [pa.array([part], pa.int32()), pa.array([made], pa.int32()), pa.array([lists], _LISTS), pa.array([np.diff(cuts)], pa.list_(pa.int32())), pa.array([_compressed(filled.tobytes())], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "first", "doc_ids", "sizes", "tokens"])
             held, made = held[used:], made + n
-            owners = [(int(b - max(used, a)), d) for a, b, (_, d) in zip(begins, ends, owners) if b > used]
+            owners = [(int(b - max(used, b - size)), d) for b, (size, d) in zip(ends, owners) if b > used]
 
         for batch in chunks(batches, limit=1 << 20):
             parts = [held]
             for d, ids in zip(batch.column(0).to_pylist(), e.encode_ordinary_batch([t or "" for t in batch.column(1).to_pylist()], num_threads=1)):
-                parts.append(np.array([*ids, end], dtype))
-                owners.append((len(ids) + 1, d))
-                seen += len(ids) + 1
+                ids.append(end)
+                parts.append(np.array(ids, dtype))
+                owners.append((len(ids), d))
             held = np.concatenate(parts)
             yield from give(False)
         yield from give(True)
-        if seen != tokens.get(part, 0):
-            raise RuntimeError(f"partition {part} has {seen} tokens, not {tokens.get(part, 0)} as before")
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(kernel, PACKED)
+
+
+def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows: int = 8192, key: int = 42, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes the shards and returns their index, already written: slot, shard, row, path, doc_ids, n_tokens, tokens_sha256 (of the stored bytes)."""
+    spark = docs.sparkSession
+    folder = folder or scratch_path(spark, "token-shards")
+    packed = materialized(pack(docs, vocabulary_path, length, id_col, text_col), "packed")
+    # One row for each task that packed.
+    counts = {r.part: r.n for r in packed.groupBy("part").agg(F.sum(F.size("sizes")).alias("n")).collect()}
+    first, total = {}, 0
+    for part in sorted(counts):
+        first[part] = total
+        total += counts[part]
+    if not total:
+        return spark.createDataFrame([], INDEX)
+    order, dtype = Permutation(total, key), token_type(vocabulary_path)
+    stride = length * dtype.itemsize
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for shard, own in sorted(held.items()):
+                own.sort(key=lambda r: r[0])
+                slots, lists, sizes, tokens = zip(*own)
+                columns = [pa.array([shard], pa.int32()), pa.array([slots], pa.list_(pa.int64())), pa.array([lists], _LISTS), pa.array([sizes], pa.list_(pa.int32())), pa.array([_compressed(b"".join(tokens))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "slots", "doc_ids", "sizes", "tokens"])
+            held.clear()
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, begin, lists, sizes, tokens = (c[k].as_py() for c in batch.columns)
+                tokens = _plain(tokens)
+                slots = order.slots(np.arange(len(sizes)) + first[part] + begin)
+                for i, slot in enumerate(slots.tolist()):
+                    held.setdefault(slot // rows, []).append((slot, lists[i], sizes[i], tokens[i * stride : (i + 1) * stride]))
+                size += len(tokens)
+                if size > DEAL_BYTES:
+                    yield from flush()
+                    size = 0
+        yield from flush()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = expected = where = temporary = fs = None
+        own: list[tuple] = []
+        shard = None
         for batch in batches:
-            if out is None:
-                shard = batch.column(1)[0].as_py()
-                fs, where = file_system(f"{folder}/shard-{shard:07d}.bin")
-                fs.create_dir(where.rpartition("/")[0], recursive=True)
-                temporary, expected = f"{where}.{uuid.uuid4().hex}", 0
-                out = fs.open_output_stream(temporary)
-            hashes = []
-            for row, stored in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist()):
-                if row != expected:
-                    raise RuntimeError(f"row {expected} of {where} is missing")
-                expected += 1
-                out.write(stored)
-                hashes.append(hashlib.sha256(stored).hexdigest())
-            path = pa.array([f"{folder}/shard-{shard:07d}.bin"] * batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], path, *batch.columns[3:5], pa.array(hashes)], ["slot", "shard", "row", "path", "doc_ids", "n_tokens", "tokens_sha256"])
-        if out is not None:
-            out.close()
-            fs.move(temporary, where)
-
-    packed = texts.mapInArrow(pack, schema)
-    ranges = packed.repartitionById(-(-total // rows), F.col("shard")).sortWithinPartitions("slot")
-    return materialized(ranges.mapInArrow(write, "slot long, shard int, row int, path string, doc_ids array<long>, n_tokens int, tokens_sha256 string"), "token-index")
+            for k in range(batch.num_rows):
+                shard, slots, lists, sizes, tokens = (c[k].as_py() for c in batch.columns)
+                tokens = _plain(tokens)
+                own += [(slot, d, n, tokens[i * stride : (i + 1) * stride]) for i, (slot, d, n) in enumerate(zip(slots, lists, sizes))]
+        if shard is None:
+            return
+        own.sort(key=lambda r: r[0])
+        slots, lists, sizes, tokens = zip(*own)
+        if list(slots) != list(range(shard * rows, min(total, (shard + 1) * rows))):
+            raise RuntimeError(f"shard {shard} lacks sequences")
+        path = f"{folder}/shard-{shard:07d}.bin"
+        fs, where = file_system(path)
+        fs.create_dir(where.rpartition("/")[0], recursive=True)
+        temporary = f"{where}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(temporary) as out:
+            for t in tokens:
+                out.write(t)
+        fs.move(temporary, where)
+        n = len(slots)
+        columns = [pa.array(slots, pa.int64()), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array([path] * n), pa.array(lists, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array([hashlib.sha256(t).hexdigest() for t in tokens])]
+        yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "row", "path", "doc_ids", "n_tokens", "tokens_sha256"])
+
+    ranges = packed.mapInArrow(deal, DEALT).repartitionById(-(-total // rows), F.col("shard"))
+    return materialized(ranges.mapInArrow(write, INDEX), "token-index")
 
 
 def read_slots(folder: str, first: int, n: int, vocabulary_path: str, length: int = 1024, rows: int = 8192) -> Iterator[np.ndarray]:
