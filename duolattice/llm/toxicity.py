@@ -33,9 +33,9 @@ from .common import chunks, materialized
 WORD = re.compile(r"[^\W\d_]{4,}")
 LENGTHS = (4, 5, 6)
 MOST = 4
-#: Labelled rows that are learnt from, terms kept and the ratio they need, examples of each label in the index.
-LABELLED, TERMS, RATIO, EXAMPLES = 30_000, 1024, 24.0, 2000
-BLOCK = 64
+#: Labelled rows that are learnt from, terms kept, the ratio they need (at least, and for each row), examples of each label in the index.
+LABELLED, TERMS, RATIO, RATIO_PER_ROW, EXAMPLES = 20_000, 512, 15.0, 0.003, 1500
+BLOCK = 32
 FLUSH = 400_000
 
 
@@ -62,20 +62,21 @@ class Matcher:
     def __init__(self, vocabulary: list[str]):
         self.number = {t: i for i, t in enumerate(vocabulary)}
         self.stems = {t.partition("@")[0] for t in vocabulary}
-        self.words: dict[str, tuple] = {}
-
-    def find(self, text: str | None) -> list[int]:
-        known, counts = self.words, Counter()
-        if len(known) > 300_000:
-            known.clear()
-        for w in WORD.findall((text or "").lower()):
-            stems = known.get(w)
-            if stems is None:
-                stems = known[w] = tuple(w[:k] for k in LENGTHS if len(w) >= k and w[:k] in self.stems)
-            if stems:
-                counts.update(stems)
+        self.seen: set[str] = set()
+        self.telling: dict[str, tuple] = {}
+
+    def find(self, text: str | None) -> tuple[int, ...]:
+        words = WORD.findall((text or "").lower())
+        for w in set(words) - self.seen:
+            if stems := tuple(w[:k] for k in LENGTHS if len(w) >= k and w[:k] in self.stems):
+                self.telling[w] = stems
+            self.seen.add(w)
+        counts = Counter(s for w in filter(self.telling.__contains__, words) for s in self.telling[w])
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+            self.telling.clear()
         number = self.number
-        return sorted(number[t] for s, n in counts.items() for i in range(1, min(n, MOST) + 1) if (t := f"{s}@{i}") in number)
+        return tuple(sorted(number[t] for s, n in counts.items() for i in range(1, min(n, MOST) + 1) if (t := f"{s}@{i}") in number))
 
 
 @dataclass
@@ -87,9 +88,13 @@ class Model:
     weights: np.ndarray  # training rows that an example stands for
     rows: list[list[int]]  # terms of the examples
     none_rate: float
-    k: int = 25
+    k: int = 15
 
     def __post_init__(self):
+        # Examples that share their weightiest terms stand together, which makes block maxima telling.
+        order = sorted(range(len(self.rows)), key=lambda i: (sorted(self.rows[i], key=lambda t: (-self.idf[t], t)), self.ids[i]))
+        self.ids, self.labels, self.weights, self.rows = self.ids[order], self.labels[order], self.weights[order], [self.rows[i] for i in order]
+        self.memory: dict[tuple, tuple] = {}
         self.n_blocks = -(-len(self.rows) // BLOCK)
         norm = np.array([np.sqrt((self.idf[r] ** 2).sum()) or 1.0 for r in self.rows])
         postings: list[list[int]] = [[] for _ in self.vocabulary]
@@ -106,10 +111,11 @@ class Model:
         self.steps, self.rates = np.array([0.0]), np.array([0.0])
         self.calibrate()
 
-    def nearest(self, found: list[int], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, found: tuple[int, ...], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, nearest first; examples without a common term are no neighbours."""
         if not found or not len(self.rows):
             return np.zeros(0, np.int64), np.zeros(0)
+        found = list(found)
         q = self.idf[found]
         q = q / np.sqrt((q**2).sum())
         bound = q @ self.most[found]
@@ -125,11 +131,11 @@ class Model:
             at = np.flatnonzero(acc > 0)
             at = at[at + b * BLOCK != skip]
             best, cosines = np.concatenate([best, at + b * BLOCK]), np.concatenate([cosines, acc[at]])
-            order = np.lexsort((best, -np.round(cosines, 12)))[: self.k]
+            order = np.lexsort((self.ids[best], -np.round(cosines, 12)))[: self.k]
             best, cosines = best[order], cosines[order]
         return best, cosines
 
-    def vote(self, found: list[int], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, found: tuple[int, ...], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of toxic among the neighbours, by weights that fall with the distance; -1 without neighbours."""
         best, cosines = self.nearest(found, skip)
         if not len(best):
@@ -154,12 +160,17 @@ class Model:
             self.steps, self.rates = g[:, 0], (g[:, 2] + 0.05) / (g[:, 1] + 0.5)
             self.rates = np.maximum.accumulate(self.rates)
 
-    def score(self, found: list[int]) -> tuple[float, list[int], list[float]]:
-        vote, best, cosines = self.vote(found)
-        if vote < 0:
-            return self.none_rate, [], []
-        at = max(0, int(np.searchsorted(self.steps, round(vote, 3), "right")) - 1)
-        return float(self.rates[at]), self.ids[best[:5]].tolist(), cosines[:5].tolist()
+    def score(self, found: tuple[int, ...]) -> tuple[float, list[int], list[float]]:
+        """Score, ids and cosines of the nearest examples; texts with the same terms are looked up once while they are remembered."""
+        known = self.memory.get(found)
+        if known is None:
+            vote, best, cosines = self.vote(found)
+            at = max(0, int(np.searchsorted(self.steps, round(vote, 3), "right")) - 1)
+            known = (self.none_rate, [], []) if vote < 0 else (float(self.rates[at]), self.ids[best[:5]].tolist(), cosines[:5].tolist())
+            if len(self.memory) > 50_000:
+                self.memory.clear()
+            self.memory[found] = known
+        return known
 
 
 def _counted(rows: DataFrame, kernel) -> DataFrame:
@@ -203,14 +214,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Co
     absent = lambda seen, rows_of: F.when(rows_of - seen > 0, (rows_of - seen) * F.log((rows_of - seen) * all_rows / ((all_rows - n0 - n1) * rows_of))).otherwise(0.0)
     ratio = 2 * (part(n0, float(total0)) + part(n1, float(total1)) + absent(n0, float(total0)) + absent(n1, float(total1)))
     tied = n1 * float(total0) > n0 * float(total1)
-    chosen = _counted(rows, label_counts).filter(tied).withColumn("g", ratio).filter(F.col("g") >= RATIO).orderBy(F.desc("g"), "term").limit(TERMS)
+    chosen = _counted(rows, label_counts).filter(tied).withColumn("g", ratio).filter(F.col("g") >= max(RATIO, RATIO_PER_ROW * all_rows)).orderBy(F.desc("g"), "term").limit(TERMS)
     vocabulary = sorted(r.term for r in chosen.collect())
 
     def all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, n, seen = Matcher(vocabulary), np.zeros(len(vocabulary), np.int64), 0
         for batch in chunks(batches, text_at=0):
             for t in batch.column(0).to_pylist():
-                n[matcher.find(t)] += 1
+                n[list(matcher.find(t))] += 1
                 seen += 1
         yield pa.RecordBatch.from_arrays([pa.array([*vocabulary, ""], pa.string()), pa.array([*n, seen], pa.int64()), pa.array(np.zeros(len(n) + 1, np.int64))], ["term", "n0", "n1"])
 
