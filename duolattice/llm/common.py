@@ -106,18 +106,22 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: its bytes as digits in an odd base, mixed. Equal words have equal hashes; callers verify matches by bytes."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    length = end - begin
-    with np.errstate(over="ignore"):
-        inside = np.flatnonzero(low)
-        at = np.arange(len(inside)) - np.repeat(np.cumsum(length) - length, length)
-        terms = (low[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[at]
-        h = np.add.reduceat(terms, np.cumsum(length) - length)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        h += length.astype(np.uint64)
-    return h
+def word_hashes(low: np.ndarray, begin: np.ndarray, end: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes as digits in an odd base, mixed. Equal words have equal hashes; callers verify matches by bytes.
+
+    Words are taken some at a time, as every byte needs several numbers."""
+    out = np.zeros(len(begin), np.uint64)
+    powers = _powers(int((end - begin).max())) if len(begin) else None
+    for k in range(0, len(begin), at_once):
+        b, length = begin[k : k + at_once], (end - begin)[k : k + at_once]
+        first = np.cumsum(length) - length
+        inside = np.arange(int(length.sum())) - np.repeat(first, length)
+        digits = low[inside + np.repeat(b, length)].astype(np.uint64) + np.uint64(1)
+        with np.errstate(over="ignore"):
+            h = np.add.reduceat(digits * powers[inside], first)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+            h += length.astype(np.uint64)
+        out[k : k + at_once] = h
+    return out

@@ -27,7 +27,7 @@ from .common import chunks, text_bytes, word_hashes, word_spans
 
 #: Bytes of benchmark text that go to the tasks at once.
 ITEM_BYTES = 16 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 
 
 class Items:

@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=4 << 20):
+        for batch in chunks(batches, limit=3 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.predict(features(batch.column(1))))], [id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {id_type}, score double")
@@ -235,7 +235,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, tex
     at = docs.columns.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_at=at, limit=4 << 20):
+        for batch in chunks(batches, text_at=at, limit=3 << 20):
             yield batch.filter(pa.array(model.predict(features(batch.column(at))) >= threshold))
 
     return docs.mapInArrow(kernel, docs.schema)

@@ -29,7 +29,7 @@ _CODECS: dict[tuple, "PieceCodec"] = {}
 class PieceCodec:
     """Encoder and decoder of one model file. cache_limit bounds the segments kept in memory."""
 
-    def __init__(self, model_path: str, cache_limit: int = 600_000):
+    def __init__(self, model_path: str, cache_limit: int = 500_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -49,7 +49,8 @@ class PieceCodec:
         self.ordinary = frozenset(self.ids.values())
         self.silent = {i for i in range(n) if sp.is_control(i)}
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
-        self.cache: dict[str, tuple[str, str]] = {}
+        self.cache: dict[str, str] = {}  # a segment's ids
+        self.odd: dict[str, str] = {}  # texts of the few segments that decode to something else than themselves
         self.cache_limit = cache_limit
 
     def merge(self, segment: str) -> list[str]:
@@ -153,20 +154,29 @@ class PieceCodec:
         return [i for s in self.segments(text) for i in self.segment_ids(s)]
 
     def learn(self, segmented: list[list[str]]) -> None:
-        """Fills the cache with the segments' (ids, text), new ones checked against the library."""
+        """Fills the cache with the segments' ids, new ones checked against the library."""
         if len(self.cache) > self.cache_limit:
             self.cache.clear()
+            self.odd.clear()
         known = self.cache
         new = [s for s in set().union(*segmented) if s not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
             expected = self.library.encode([s[1:].replace(SPACE, " ") for s in part], num_threads=1)
             for s, theirs in zip(part, expected):
                 # A single space mark is the library's empty text, which has no pieces there.
                 ids = self.segment_ids(s)
                 if ids != theirs and s != SPACE:
                     raise RuntimeError(f"the library encodes {s!r} as {theirs}, not {ids}")
-                known[s] = (" ".join(map(str, ids)), self.pieces_text(ids))
+                known[s] = " ".join(map(str, ids))
+                text = self.pieces_text(ids)
+                if text != s.replace(SPACE, " "):
+                    self.odd[s] = text
+
+    def both_ways(self, segments: list[str]) -> tuple[list[str], str]:
+        """Ids of a text's learnt segments, and the text that those ids decode to."""
+        texts = segments if self.odd.keys().isdisjoint(segments) else [self.odd.get(s, s) for s in segments]
+        return [self.cache[s] for s in segments], "".join(texts).replace(SPACE, " ").removeprefix(" ")
 
 
 def codec(model_path: str) -> PieceCodec:
@@ -186,12 +196,12 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         for batch in chunks(batches, limit=2 << 20):
             segmented = [c.segments(t or "") for t in batch.column(1).to_pylist()]
             c.learn(segmented)
-            known, ids, counts, decoded = c.cache, [], [], []
+            ids, counts, decoded = [], [], []
             for segments in segmented:
-                found = [known[s] for s in segments]
-                ids.append(" ".join([*head, *[f[0] for f in found], *tail]))
+                found, text = c.both_ways(segments)
+                ids.append(" ".join([*head, *found, *tail]))
                 counts.append(ids[-1].count(" ") + bool(ids[-1]))
-                decoded.append("".join([f[1] for f in found]).removeprefix(" "))
+                decoded.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(counts, pa.int64()), pa.array(decoded, pa.string())], [id_col, "ids", "n_tokens", "decoded"])
 
     return docs.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {id_type}, ids string, n_tokens long, decoded string")
