@@ -40,6 +40,11 @@ class WordAlignment:
     vowels: str = ""
     normalize: bool = True
 
+    @property
+    def positional(self) -> bool:
+        """Whether features depend on more than the history."""
+        return self.window > 0 or self.bigrams
+
     def _backoff(self, name: str) -> list[str]:
         """The name, and with known vowels also its vowel and consonant classes."""
         if not self.vowels:
@@ -110,6 +115,7 @@ class SentenceAlignment:
     align_unigrams_only: bool = False
     state_ngrams: bool = True
     normalize: bool = True
+    positional = False
 
     def names(self, history: list[Part], source: list[str], target: list[str], i_prev: int, j_prev: int, i: int, j: int, no_op: bool) -> set[str]:
         recent = history[-(self.order + 1) :]
@@ -143,6 +149,7 @@ class NoLatent:
 
     order: int = 0
     normalize: bool = False
+    positional = False
 
     def names(self, *_) -> set[str]:
         return set()

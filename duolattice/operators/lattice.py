@@ -31,7 +31,7 @@ class LatticeOptions:
     markers: bool = False
 
 
-@dataclass
+@dataclass(slots=True)
 class Edge:
     src: int
     dst: int
@@ -42,11 +42,21 @@ class Edge:
     names: frozenset[str]
 
 
-def pair_edges(source: list[str], target: list[str], machine: Machine, generator, options: LatticeOptions = LatticeOptions(), allowed: Allowed | None = None) -> tuple[list[Edge], int, int, int]:
+def pair_edges(source: list[str], target: list[str], machine: Machine, generator, options: LatticeOptions = LatticeOptions(), allowed: Allowed | None = None, known: dict | None = None) -> tuple[list[Edge], int, int, int]:
     """Edges of one pair's lattice, the number of its nodes, its root and its goal (the last node).
 
-    Nodes are visited in order of what they have consumed, so each is complete before it is left."""
+    Nodes are visited in order of what they have consumed, so each is complete before it is left. known: names by history, for
+    generators that look at nothing else."""
     n, m = len(source), len(target)
+
+    def named(history: list, i_prev: int, j_prev: int, i: int, j: int, no_op: bool) -> frozenset[str]:
+        if known is None or generator.positional:
+            return frozenset(generator.names(history, source, target, i_prev, j_prev, i, j, no_op))
+        key = (tuple(history), no_op)
+        if key not in known:
+            known[key] = frozenset(generator.names(history, source, target, i_prev, j_prev, i, j, no_op))
+        return known[key]
+
     node: dict[tuple[int, int, int], int] = {}
     parts: dict[int, list] = {}  # the steps that a node's state remembers
 
@@ -83,17 +93,15 @@ def pair_edges(source: list[str], target: list[str], machine: Machine, generator
                 history = [*parts[me], step]
                 parts.setdefault(other, history[-keep:] if keep else [step])
                 # Order 0 forgets everything but that a step has been made.
-                names = generator.names(history, source, target, i, j, i2, j2, False)
-                edges.append(Edge(me, other, level + 1, *step, frozenset(names)))
+                edges.append(Edge(me, other, level + 1, *step, named(history, i, j, i2, j2, False)))
     goal = len(node)
     for me in finals:
-        names = generator.names([*parts[me], start], source, target, n, m, n, m, True) if options.final_features else ()
-        edges.append(Edge(me, goal, n + m + 1, *start, frozenset(names)))
+        names = named([*parts[me], start], n, m, n, m, True) if options.final_features else frozenset()
+        edges.append(Edge(me, goal, n + m + 1, *start, names))
     root, count = first, goal + 1
     if options.start_arc:
         root, count = count, count + 1
-        names = generator.names([start], source, target, 0, 0, 0, 0, True)
-        edges.insert(0, Edge(root, first, 0, *start, frozenset(names)))
+        edges.insert(0, Edge(root, first, 0, *start, named([start], 0, 0, 0, 0, True)))
     return edges, count, root, goal
 
 
@@ -116,9 +124,9 @@ class Batch:
         self.n = len(pairs)
         edges, pair_of, roots, goals, total = [], [], [], [], 0
         src, dst, level = [], [], []
-        ptr, ids, values = [0], [], []
+        ptr, ids, values, known = [0], [], [], {}
         for p, (s, t) in enumerate(pairs):
-            own, count, root, goal = pair_edges(s, t, machine, generator, options, allowed)
+            own, count, root, goal = pair_edges(s, t, machine, generator, options, allowed, known)
             size = max(len(s), len(t)) - (2 if options.markers else 0)
             value = 1.0 / size if generator.normalize and size > 0 else 1.0
             for e in own:
@@ -247,7 +255,8 @@ class Batch:
         return score, [self.path_vector(self.best_path(p, chosen)) for p in range(self.n)]
 
     def k_best(self, w: np.ndarray, k: int) -> list[list[tuple[float, list[int]]]]:
-        """The k best paths of each pair, best first: a search from the root whose bounds are the exact best completions."""
+        """The k best paths of each pair, best first: a search from the root whose bounds are the exact best completions. Of equal
+        bounds the latest is followed first, so ties end in whole paths, and the first one takes first edges."""
         best = np.full(self.n_nodes, NEG_INF)
         best[self.goal] = 0.0
         for e, starts, nodes in reversed(self._backward):
@@ -259,7 +268,7 @@ class Batch:
         out = []
         for p in range(self.n):
             root, goal, found, n = int(self.root[p]), int(self.goal[p]), [], 0
-            heap = [(-best[root], 0, 0.0, root, None)] if np.isfinite(best[root]) else []
+            heap = [(-round(best[root], 9), 0, 0.0, root, None)] if np.isfinite(best[root]) else []
             while heap and len(found) < k:
                 _, _, score, node, trail = heapq.heappop(heap)
                 if node == goal:
@@ -269,11 +278,11 @@ class Batch:
                         path.append(e)
                     found.append((score, path[::-1]))
                     continue
-                for e in leaving.get(node, ()):
+                for e in reversed(leaving.get(node, ())):
                     d = int(self.dst[e])
                     if np.isfinite(best[d]):
                         n += 1
-                        heapq.heappush(heap, (-(score + w[e] + best[d]), n, score + w[e], d, (e, trail)))
+                        heapq.heappush(heap, (-round(score + w[e] + best[d], 9), -n, score + w[e], d, (e, trail)))
             out.append(found)
         return out
 
@@ -342,7 +351,7 @@ def topological_order(batch: Batch, p: int, reverse: bool = False) -> list[int]:
 MODES = ("log_partition", "viterbi", "expected_ops", "k_best")
 
 
-def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, float], mode: str, options: LatticeOptions = LatticeOptions(), k: int = 2, per_batch: int = 256) -> DataFrame:
+def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, float], mode: str, options: LatticeOptions = LatticeOptions(), k: int = 2, per_batch: int = 32) -> DataFrame:
     """Inference over pairs (id, source, target) with weights by feature name, in Arrow batches.
 
     log_partition, viterbi: id, value. expected_ops: id, op, value (expected number of uses). k_best: id, rank, value, ops."""
