@@ -213,7 +213,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows
         fs, where = file_system(path)
         fs.create_dir(where.rpartition("/")[0], recursive=True)
         temporary = f"{where}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(temporary) as out:
+        with fs.open_output_stream(temporary, compression=None) as out:
             for t in tokens:
                 out.write(t)
         fs.move(temporary, where)
@@ -250,7 +250,7 @@ def read_shards(spark: SparkSession, index: DataFrame, vocabulary_path: str, len
         for batch in batches:
             for shard, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, where = file_system(path)
-                with fs.open_input_stream(where) as f:
+                with fs.open_input_stream(where, compression=None) as f:
                     row = 0
                     while stored := f.read(1024 * length * dtype.itemsize):
                         t = np.frombuffer(stored, dtype).reshape(-1, length)

@@ -94,7 +94,7 @@ class ArchiveWriter:
         self.path = f"{folder}/part-{uuid.uuid4().hex}.warc.zst"
         fs, where = file_system(self.path)
         fs.create_dir(where.rpartition("/")[0], recursive=True)
-        self.out = fs.open_output_stream(where)
+        self.out = fs.open_output_stream(where, compression=None)
         self.waiting: list[bytes] = []
         self.waiting_bytes = self.size = self.records = 0
         self.press = None
@@ -136,7 +136,7 @@ def frames(uri: str) -> Iterator[bytes]:
     import zstandard
 
     fs, where = file_system(uri)
-    with fs.open_input_stream(where) as f:
+    with fs.open_input_stream(where, compression=None) as f:
         head = f.read(8)
         if len(head) < 8:
             raise ValueError(f"{uri}: no leading frame")
