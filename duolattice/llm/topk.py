@@ -86,7 +86,7 @@ class Queries:
 
     def __init__(self, ids: np.ndarray, rows: list[np.ndarray], k: int):
         self.ids, self.rows, self.k = ids, rows, k
-        self.width = max((len(r) for r in rows), default=0)
+        self.width = max((len(r) for r in rows), default=0) or 1
         self.large = np.array([bool(len(r)) and (np.abs(r).max() >= EXACT) for r in rows], bool)
         self.matrix = dense([np.zeros(0) if big else r for r, big in zip(rows, self.large)], self.width)
         self.floors = np.full(len(rows), -np.inf)
@@ -94,7 +94,7 @@ class Queries:
     def seed(self, ids: np.ndarray, rows: list[np.ndarray]) -> None:
         """Lower bounds of the k-th scores from some rows."""
         kept = [i for i, r in enumerate(rows) if not len(r) or np.abs(r).max() < EXACT]
-        if len(kept) <= self.k or not self.width:
+        if len(kept) <= self.k or not len(self.ids):
             return
         ids, rows = ids[kept], dense([rows[i] for i in kept], self.width)
         for a in range(0, len(self.ids), 1024):
@@ -108,6 +108,8 @@ class Queries:
 
     def offer(self, best: list[Best], ids: np.ndarray, rows: list[np.ndarray]) -> None:
         """Scores a range of rows for all queries."""
+        if not len(self.ids):
+            return
         big = np.array([bool(len(r)) and np.abs(r).max() >= EXACT for r in rows], bool)
         for q in range(len(self.ids)):
             if (which := np.arange(len(ids)) if self.large[q] else np.flatnonzero(big)).size:
@@ -149,15 +151,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     n_rows = rows.count()
     size = wanted.agg(F.sum(8 * F.greatest(F.size("v"), F.lit(1)).cast("long"))).first()[0] or 0
     n_chunks = math.ceil(size / QUERY_BYTES) or 1
-    seeds = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n_rows / SEED_ROWS)))) == 0).toArrow().combine_chunks()
-    arrays = lambda t: [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
-    single = lambda c: c.chunk(0) if isinstance(c, pa.ChunkedArray) and c.num_chunks == 1 else (pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c)
-    seed = integer_rows(*map(single, arrays(seeds)), scale) if seeds.num_rows else (np.zeros(0, np.int64), [])
+    seeds = rows.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n_rows / SEED_ROWS)))) == 0).toArrow()
+    taken = lambda t: integer_rows(*(pa.concat_arrays(c.chunks) for c in t.columns), scale) if t.num_rows else (np.zeros(0, np.int64), [])
+    seed = taken(seeds)
 
     def of_chunk(c: int) -> Queries:
-        part = wanted if n_chunks == 1 else wanted.filter(F.pmod(F.xxhash64("id", F.lit(c * 0)), F.lit(n_chunks)) == c)
-        t = part.toArrow().combine_chunks()
-        ids, found = integer_rows(*map(single, arrays(t)), scale) if t.num_rows else (np.zeros(0, np.int64), [])
+        part = wanted if n_chunks == 1 else wanted.filter(F.pmod(F.xxhash64("id"), F.lit(n_chunks)) == c)
+        ids, found = taken(part.toArrow())
         first: dict[int, tuple] = {}
         for i, r in zip(ids.tolist(), found):
             if i not in first or tuple(r) < tuple(first[i]):
