@@ -20,6 +20,7 @@ def char_pair_alphabet(pairs: DataFrame) -> DataFrame:
     The number of different characters bounds both sides of the product."""
     side = lambda c: pairs.select(F.explode(F.concat(c, F.array(F.lit("-"), F.lit("^"), F.lit("$")))).alias(c)).distinct()
     product = side("source").crossJoin(F.broadcast(side("target"))).filter(~((F.col("source") == "-") & (F.col("target") == "-")))
+    # Weights of matches and of substitutions.
     weight = F.when(F.col("source") == F.col("target"), F.log(F.lit(1e8))).when((F.col("source") == "-") | (F.col("target") == "-"), F.lit(0.0)).otherwise(F.log(F.lit(1 / 3)))
     named = product.select(F.concat(F.lit("A:"), "source", F.lit(">"), "target").alias("feature"), weight.alias("weight"))
     return with_dense_index(named, "feature", "base_id").select("base_id", "feature", "weight")
@@ -127,11 +128,9 @@ def metrics_table(rows: list[dict], html: bool = False) -> str:
 
 def zip_lines(left: DataFrame, right: DataFrame) -> DataFrame:
     """Lines (id, value) of two files side by side, with a tab between, by their number; lines of the first that begin with -- go before it is numbered again."""
-    from .numbering import with_dense_index as _number
-
     kept = left.filter(~F.col("value").startswith("--"))
     key = F.format_string("%020d", F.col("id"))
-    numbered = _number(kept.withColumn("__k", key), "__k", "n").select(F.col("n").cast("long").alias("id"), F.col("value").alias("a"))
+    numbered = with_dense_index(kept.withColumn("__k", key), "__k", "n").select(F.col("n").cast("long").alias("id"), F.col("value").alias("a"))
     return right.withColumnRenamed("value", "b").join(numbered, "id").select("id", F.concat_ws("\t", "b", "a").alias("value"))
 
 

@@ -10,6 +10,7 @@ import re
 import string
 from dataclasses import dataclass
 
+#: Markers and separators within feature names.
 BEGIN, END, EPSILON, PHRASE, PART, OP, WORD = "^", "$", "-", "+", "_", ">", "~"
 Part = tuple[str, str, str]
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .latent import class_patterns
 
+#: Names and marks of features.
 EPSILON, BIAS, NED, MISMATCH = "-", "Bias", "NED", "MM:"
 
 

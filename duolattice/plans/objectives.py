@@ -29,7 +29,8 @@ from ..operators.observed import mismatches, phrase_pairs
 
 @dataclass
 class ModelSpec:
-    """What a model looks at. index: base id of each feature name; labels: those of a multiclass model."""
+    """What a model looks at. index: base id of each feature name (models of observed features alone don't need it, only how many
+    there are: n_features); labels: those of a multiclass model."""
 
     machine: Machine
     latent: object
@@ -39,10 +40,11 @@ class ModelSpec:
     labels: tuple[int, ...] = (0, 1)
     k_best: int = 5
     global_size: int = 2
+    n_features: int = 0
 
     @property
     def size(self) -> int:
-        return len(self.index)
+        return len(self.index) or self.n_features
 
     @property
     def has_latent(self) -> bool:
@@ -489,6 +491,9 @@ class LocalLoss:
     def subset(self, rows: np.ndarray) -> "LocalLoss":
         return LocalLoss(self.objective, [self.rows[i] for i in rows])
 
+    def minibatch(self, buckets: int, k: int, seed: int = 0) -> "LocalLoss":
+        return self.subset(np.flatnonzero(np.random.default_rng(seed).permutation(self.n) % buckets == k))
+
     def fix(self, theta: np.ndarray | None) -> "LocalLoss":
         other = object.__new__(LocalLoss)
         other.__dict__.update(self.__dict__)
@@ -506,13 +511,14 @@ class DistributedLoss:
         self.objective, self.examples, self.per_batch = objective, examples, per_batch
         self.n = examples.count()
         self.key = hashlib.sha1(pickle.dumps(objective.spec)).hexdigest()
+        self.sent = examples.sparkSession.sparkContext.broadcast(objective)
 
     def __call__(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
-        objective, key, per_batch = self.objective, self.key, self.per_batch
+        shared, dim, key, per_batch = self.sent, self.objective.dim, self.key, self.per_batch
         sent = self.examples.sparkSession.sparkContext.broadcast(np.asarray(theta, float))
 
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            loss, grad = 0.0, np.zeros(objective.dim)
+            objective, loss, grad = shared.value, 0.0, np.zeros(dim)
             for b in batches:
                 for a in range(0, b.num_rows, per_batch):
                     rows = list(zip(*(c.to_pylist() for c in b.slice(a, per_batch).columns)))
@@ -523,7 +529,7 @@ class DistributedLoss:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at]), pa.int64()), pa.array(np.concatenate([[loss], grad[at]]))], ["idx", "val"])
 
         parts = self.examples.select("source", "target", "y", "obs_ids", "obs_values").mapInArrow(kernel, "idx long, val double")
-        loss, grad = 0.0, np.zeros(objective.dim)
+        loss, grad = 0.0, np.zeros(dim)
         for r in parts.groupBy("idx").agg(F.sum("val").alias("val")).collect():
             if r.idx < 0:
                 loss = r.val
@@ -540,21 +546,36 @@ class DistributedLoss:
         other = object.__new__(DistributedLoss)
         other.__dict__.update(self.__dict__)
         other.objective = type(self.objective)(self.objective.spec, theta)
+        other.sent = self.examples.sparkSession.sparkContext.broadcast(other.objective)
         return other
 
 
+#: Rows up to which a loss is worked out on the driver, with and without lattices.
+LOCAL_ROWS, LOCAL_LATTICES = 50_000, 200
+
+
+def make_loss(objective: Objective, examples: DataFrame):
+    """A loss over vectorize()d examples: on the driver if they are few, which saves a job for each evaluation, else on the cluster."""
+    most = LOCAL_LATTICES if objective.needs_lattice else LOCAL_ROWS
+    if examples.count() > most:
+        return DistributedLoss(objective, examples)
+    rows = examples.select("id", "source", "target", "y", "obs_ids", "obs_values").orderBy("id").collect()
+    return LocalLoss(objective, [tuple(r)[1:] for r in rows])
+
+
 def score_examples(objective: Objective, examples: DataFrame, thetas: list[np.ndarray], per_batch: int = 256) -> DataFrame:
     """model, id, y, label, score for every example, label and parameter vector; each lattice is built once for all vectors."""
     labels = (0, 1) if objective.binary else objective.spec.labels
-    sent = examples.sparkSession.sparkContext.broadcast([np.asarray(t, float) for t in thetas])
+    sent = examples.sparkSession.sparkContext.broadcast((objective, [np.asarray(t, float) for t in thetas]))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        objective, vectors = sent.value
         for b in batches:
             for a in range(0, b.num_rows, per_batch):
                 part = b.slice(a, per_batch)
                 ids, *columns = (c.to_pylist() for c in part.columns)
                 batch = ExampleBatch(objective.spec, list(zip(*columns)), objective.needs_lattice)
-                for m, theta in enumerate(sent.value):
+                for m, theta in enumerate(vectors):
                     s = objective.scores(batch, theta)
                     n, k = s.shape
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n * k, m, np.int32)), pa.array(np.repeat(np.array(ids, np.int64), k)), pa.array(np.repeat(batch.y, k), pa.int32()), pa.array(np.tile(labels, n), pa.int32()), pa.array(s.ravel())], ["model", "id", "y", "label", "score"])

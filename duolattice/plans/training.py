@@ -16,7 +16,7 @@ from ..operators.lattice import LatticeOptions
 from ..operators.machine import Allowed, build
 from ..operators.observed import OBSERVED, observed_features
 from ..sources import pairs as files
-from .objectives import OBJECTIVES, DistributedLoss, ModelSpec, gather_latent, score_examples, vectorize
+from .objectives import OBJECTIVES, ModelSpec, gather_latent, make_loss, score_examples, vectorize
 from .optimizers import Result, Status, Validation, bmrm, default_optimizer, em, estimate_rate, lbfgs, lbfgs_minibatch, sgd
 from .regularizers import L2, NoRegularizer, Regularized, SoftTying
 
@@ -153,7 +153,8 @@ def model_spec(c: Config, labels: tuple[int, ...]) -> ModelSpec:
 def gather(examples: DataFrame, c: Config, spec: ModelSpec) -> tuple[Dictionary, ModelSpec]:
     """The dictionary of all features of the examples (binary models: of those with label 1), and the model with it.
 
-    The dictionary goes to every task; its size is what the model's own weights have."""
+    Models of observed features alone leave the names in the dictionary's table. Others send them to every task, so their number
+    is bounded by MAX_INDEX; the weights, of which each label has as many, are on the driver in any case."""
     objective = OBJECTIVES[c.model]
     seen = examples
     names = []
@@ -169,8 +170,20 @@ def gather(examples: DataFrame, c: Config, spec: ModelSpec) -> tuple[Dictionary,
     for n in names[1:]:
         together = together.unionByName(n)
     dictionary = Dictionary.fit(together, [1] if objective.binary else list(spec.labels))
-    index = {r.feature: r.base_id for r in dictionary.features.toLocalIterator()}
-    return dictionary, replace(spec, index=index)
+    return dictionary, with_index(spec, dictionary, objective)
+
+
+#: Feature names that go to every task, at most.
+MAX_INDEX = 2_000_000
+
+
+def with_index(spec: ModelSpec, dictionary: Dictionary, objective: type) -> ModelSpec:
+    """The model with the dictionary's size, and with its names if its kernels need them."""
+    if not objective.needs_lattice:
+        return replace(spec, n_features=dictionary.size)
+    if dictionary.size > MAX_INDEX:
+        raise ValueError(f"{dictionary.size} feature names are more than {MAX_INDEX}; leave out n-grams or windows, or lower the order")
+    return replace(spec, index={r.feature: r.base_id for r in dictionary.features.toLocalIterator()}, n_features=dictionary.size)
 
 
 def _regularizer(c: Config, objective, beta: float):
@@ -213,7 +226,7 @@ def prepare(examples: DataFrame, c: Config, dictionary: Dictionary | None = None
     if dictionary is None:
         dictionary, spec = gather(examples, c, spec)
     else:
-        spec = replace(spec, index={r.feature: r.base_id for r in dictionary.features.toLocalIterator()})
+        spec = with_index(spec, dictionary, OBJECTIVES[c.model])
     return dictionary, spec, vectorize(examples, observed(examples, c), dictionary).persist()
 
 
@@ -222,7 +235,7 @@ def train(examples: DataFrame, c: Config, dictionary: Dictionary | None = None,
     dictionary, spec, vectors = prepare(examples, c, dictionary)
     objective = OBJECTIVES[c.model](spec)
     start = initial(dictionary, c, objective) if theta0 is None else theta0
-    result = optimize(DistributedLoss(objective, vectors), c, start, c.beta, c.tolerance, validation)
+    result = optimize(make_loss(objective, vectors), c, start, c.beta, c.tolerance, validation)
     vectors.unpersist()
     theta = validation.best_theta if validation is not None and validation.best_theta is not None else result.theta
     return Trained(c, spec, dictionary, theta, result)
@@ -238,7 +251,7 @@ def grid_search(examples: DataFrame, c: Config, tolerances: list[float], betas:
     once. When the convex solver runs out of iterations, the other betas of that tolerance are left out."""
     dictionary, spec, vectors = prepare(examples, c)
     objective = OBJECTIVES[c.model](spec)
-    start, loss, out = initial(dictionary, c, objective), DistributedLoss(objective, vectors), []
+    start, loss, out = initial(dictionary, c, objective), make_loss(objective, vectors), []
     for tolerance in sorted(tolerances, reverse=True):
         for beta in sorted(betas, reverse=True):
             result = optimize(loss, c, start, beta, tolerance)
@@ -280,7 +293,7 @@ def resume(spark: SparkSession, examples: DataFrame, c: Config, folder: str) ->
         trained.save(spark, folder)
         return trained
     dictionary = Dictionary(features, labels, features.count())
-    spec = replace(model_spec(c, tuple(labels)), index={r.feature: r.base_id for r in features.toLocalIterator()})
+    spec = with_index(model_spec(c, tuple(labels)), dictionary, OBJECTIVES[c.model])
     theta = np.zeros(OBJECTIVES[c.model](spec).dim)
     for r in rows:
         theta[r.idx] += r.weight
