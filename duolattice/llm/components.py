@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star steps over an edge table.
 
 Each round, every node hands its larger neighbours to its smallest one, then its smaller neighbours to the smallest of them;
-after O(log^2 n) rounds each component is a star around its smallest node. Minima are aggregated before they are joined, joins
-leave hot nodes to the skew handling of adaptive execution, and each round's edges are written to the shared folder.
+after O(log^2 n) rounds each component is a star around its smallest node. Minima and edges are written to the shared folder
+before they are joined: the joins are then plain joins of two shuffles, whose hot nodes adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ from .common import materialized
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    least = materialized(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
     return both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialized(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -34,5 +34,5 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state.n == 0 or (state.n, state.h) == seen:
             return edges
         seen = (state.n, state.h)
-        edges = materialized(_small_star(_large_star(edges)), "edges")
+        edges = materialized(_small_star(materialized(_large_star(edges), "edges")), "edges")
     raise RuntimeError(f"components are not found after {max_rounds} rounds")

@@ -169,7 +169,8 @@ def groups(prints: DataFrame, radius: int = 4) -> DataFrame:
     members = star.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     reps = members.join(by_fp, "fp").groupBy("root").agg(F.min("rep").alias("group_rep"))
     grouped = members.join(reps, "root").select("fp", "group_rep")
-    return by_fp.join(grouped, "fp", "left").select("fp", F.coalesce("group_rep", "rep").alias("rep"))
+    # Written, so that what joins it next is a plain join of two shuffles, whose hot keys can be split.
+    return materialized(by_fp.join(grouped, "fp", "left").select("fp", F.coalesce("group_rep", "rep").alias("rep")), "groups")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
