@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, row_key
+from .common import free_name, materialized, row_key
 
 KEY = ("k1", "no_id", "k2")
 
@@ -41,7 +41,8 @@ def covered_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_c
     """Documents with later occurrences: their key, and the numbers of all covered lines."""
     all_windows = windows(docs, size, id_col, text_col)
     place = F.struct(*KEY, "first")
-    kept = all_windows.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Written, so that the join is a plain one of two shuffles, whose hot windows can be split.
+    kept = materialized(all_windows.groupBy("a", "b").agg(F.min(place).alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n"), "windows")
     later = all_windows.join(kept, ["a", "b"]).filter(place > F.col("kept"))
     lines = later.select(*KEY, F.explode(F.sequence("first", "last")).alias("at"))
     return lines.groupBy(*KEY).agg(F.collect_set("at").alias("covered"))
