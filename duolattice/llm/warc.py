@@ -212,7 +212,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or scratch_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= min_bytes
-    kept = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    # Written, so that the join is a plain one of two shuffles, whose hot payloads can be split.
+    kept = materialized(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("keeper")), "payloads")
     judged = rows.join(kept.withColumn("known", F.lit(True)), "digest", "left")
     judged = judged.select("page_id", "payload", "url", "digest", "keeper", (F.col("known").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("keeper"))).alias("revisit"))
 
