@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import posixpath
 import re
 import tempfile
@@ -18,6 +21,21 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 8 << 20
 
 
+#: What modules remember between the tasks of a worker process (name to dict).
+MEMORIES: dict[str, dict] = {}
+
+
+def forget_others(*mine: str) -> None:
+    """Empties the memories of other operators when a task begins in a worker that has run them before."""
+    held = [m for name, m in MEMORIES.items() if name not in mine and m]
+    if held:
+        for m in held:
+            m.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes, word_hashes, word_spans
+from .common import chunks, forget_others, text_bytes, word_hashes, word_spans
 
 #: Bytes of benchmark text that go to the tasks at once.
 ITEM_BYTES = 16 << 20
@@ -225,6 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
     def report(block: Items):
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget_others()
             done = 0
             for batch in chunks(batches, limit=SHARD_BYTES):
                 r = scan(batch.column(1), block)
@@ -278,6 +279,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     def clean(block: Items):
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget_others()
             for batch in chunks(batches, text_at=at, limit=SHARD_BYTES):
                 yield batch.filter(pa.array(scan(batch.column(at), block)["n_hit"] == 0))
 

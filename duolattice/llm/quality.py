@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes, word_hashes
+from .common import chunks, forget_others, text_bytes, word_hashes
 
 FEATURES = ("log_bytes", "mean_word", "upper", "digits", "stops", "marks", "bars", "bangs", "spaces", "bare", "stutter", "distinct", "top_word", "pairs", "line_words", "log_words")
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": b"0123456789", "stops": b".,;:?", "marks": b"#$%&*@^~<>{}[]\\/=+_", "bars": b"|", "bangs": b"!", "spaces": b" \t\r\n\x0b\x0c"}
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable:
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(known), "__id").select("__id", "__t", "__y")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in chunks(batches):
             x = features(batch.column(1))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
@@ -224,6 +225,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in chunks(batches, limit=3 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.predict(features(batch.column(1))))], [id_col, "score"])
 
@@ -235,6 +237,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, threshold: float = 0.3, tex
     at = docs.columns.index(text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in chunks(batches, text_at=at, limit=3 << 20):
             yield batch.filter(pa.array(model.predict(features(batch.column(at))) >= threshold))
 

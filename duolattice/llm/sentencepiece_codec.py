@@ -19,17 +19,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import MEMORIES, chunks, forget_others
 
 SPACE = "▁"
 _SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*")
-_CODECS: dict[tuple, "PieceCodec"] = {}
+_CODECS: dict[tuple, "PieceCodec"] = MEMORIES.setdefault("pieces", {})
 
 
 class PieceCodec:
     """Encoder and decoder of one model file. cache_limit bounds the segments kept in memory."""
 
-    def __init__(self, model_path: str, cache_limit: int = 500_000):
+    def __init__(self, model_path: str, cache_limit: int = 450_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -191,6 +191,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("pieces")
         c = codec(model_path)
         head, tail = ([str(c.bos)] if add_bos else []), ([str(c.eos)] if add_eos else [])
         for batch in chunks(batches, limit=2 << 20):
@@ -212,6 +213,7 @@ def decode_ids(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
     id_type = df.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("pieces")
         c = codec(model_path)
         for batch in chunks(batches):
             texts = [c.decode([int(i) for i in (ids or "").split()]) for ids in batch.column(1).to_pylist()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, free_name, materialized, row_key
+from .common import chunks, forget_others, free_name, materialized, row_key
 from .components import stars
 
 #: Variants that a task holds at a time.
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, id_col: str
     k1, no_id, k2 = row_key(id_col, text_col)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in chunks(batches, text_at=4):
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(4).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(fps)], [id_col, "k1", "no_id", "k2", "fp"])

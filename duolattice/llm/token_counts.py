@@ -19,11 +19,11 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import MEMORIES, chunks, forget_others
 
 #: Fixed value: the pre-token pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_COUNTERS: dict[str, "PrefixCounter"] = {}
+_COUNTERS: dict[str, "PrefixCounter"] = MEMORIES.setdefault("counters", {})
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -195,6 +195,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("counters")
         c = counter(path)
         for batch in chunks(batches):
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
@@ -209,6 +210,7 @@ def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("counters")
         c = counter(path)
         for batch in chunks(batches, limit=1 << 20):
             counts = [c.at_prefixes(t or "") for t in batch.column(1).to_pylist()]

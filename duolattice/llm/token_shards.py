@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialized, scratch_path
+from .common import MEMORIES, chunks, forget_others, materialized, scratch_path
 from .token_counts import PATTERN
 from .warc import file_system
 
-_ENCODERS: dict = {}
+_ENCODERS: dict = MEMORIES.setdefault("encoders", {})
 #: Tokens in bytes that a task collects before it deals them to the shards.
 DEAL_BYTES = 64 << 20
 
@@ -118,6 +118,7 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int, id_col: str, text_c
     """Blocks of sequences: the task's number, the block's first sequence in it, documents and token counts of the sequences, their tokens."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("encoders")
         e, dtype, part = encoder(vocabulary_path), token_type(vocabulary_path), TaskContext.get().partitionId()
         end, made = e.n_vocab, 0
         held, owners = np.zeros(0, dtype), []  # tokens not yet given out; (tokens that are left, document) of their documents
