@@ -10,27 +10,31 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import log_add
 
-
-def _fold(source: Column, target: Column, delete: float, insert: float, substitute: float, match: float, plus: Callable[[Column, Column], Column]) -> Column:
-    """Value of the last cell; plus joins what reaches a cell, weights are added along paths."""
+def _fold(source: Column, target: Column, delete: float, insert: float, substitute: float, match: float, join: Callable[..., Column]) -> Column:
+    """Value of the last cell; join takes the three values that reach a cell, weights are added along paths."""
     places = F.sequence(F.lit(0), F.size(target))
     first = F.transform(places, lambda j: j.cast("double") * insert)
 
     def row(above: Column, token: Column) -> Column:
         def cell(acc: Column, j: Column) -> Column:
             diagonal = F.get(above, j - 1) + F.when(F.get(target, j - 1) == token, match).otherwise(substitute)
-            return F.concat(acc, F.array(plus(plus(F.get(above, j) + delete, diagonal), F.element_at(acc, -1) + insert)))
+            return F.concat(acc, F.array(join(F.get(above, j) + delete, diagonal, F.element_at(acc, -1) + insert)))
 
         return F.aggregate(F.filter(places, lambda j: j > 0), F.array(F.get(above, F.lit(0)) + delete), cell)
 
     return F.element_at(F.aggregate(source, first, row), -1)
 
 
+def _log_sum(*values: Column) -> Column:
+    """Log of the summed exponentials of finite values."""
+    top = F.greatest(*values)
+    return top + F.log(sum((F.exp(v - top) for v in values[1:]), F.exp(values[0] - top)))
+
+
 def fold_log_partition(source: Column, target: Column, delete: float = 0.0, insert: float = 0.0, substitute: float = 0.0, match: float = 0.0) -> Column:
     """Log of the summed weights of all alignments; with zero weights the log of their number."""
-    return _fold(source, target, delete, insert, substitute, match, log_add)
+    return _fold(source, target, delete, insert, substitute, match, _log_sum)
 
 
 def fold_viterbi(source: Column, target: Column, delete: float, insert: float, substitute: float, match: float) -> Column:
