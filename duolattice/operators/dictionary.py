@@ -27,7 +27,8 @@ class Dictionary:
     @classmethod
     def fit(cls, values: DataFrame, labels: list[int]) -> "Dictionary":
         """From rows with a feature column; features are distinct before they are numbered."""
-        names = values.select("feature").distinct()
+        # Kept, as counts, boundaries and numbers are taken from it one after the other.
+        names = values.select("feature").distinct().persist()
         return cls(with_dense_index(names, "feature", "base_id").select("base_id", "feature"), sorted(labels), names.count())
 
     @classmethod

@@ -26,6 +26,7 @@ def precision_recall(ranked: DataFrame, buckets: int = 64) -> DataFrame:
 
     Scores are cut into ranges by approximate quantiles; each range is ranked by itself and moved by the counts before it, so no
     task sorts everything."""
+    ranked = ranked.select("id", "y", "score").persist()  # read for its size, cuts, counts and rows
     n = ranked.count()
     cuts = sorted(set(ranked.approxQuantile("score", [k / buckets for k in range(1, buckets)], 0.001))) if n > 100_000 else []
     part = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c > F.col("score"))) if cuts else F.lit(0)
