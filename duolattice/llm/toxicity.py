@@ -1,15 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are word beginnings (of 4, 5 and 6 letters, lower-cased), and their occurrences count one by one: the second occurrence
-of a beginning in a text is a term of its own, up to the fourth, so that vectors tell how often something is said although
-cosines forget lengths. The vocabulary holds the terms that the labels of the training rows are most surely tied to (log-
-likelihood ratio). Document frequencies are counted over all documents. The examples are a bounded, balanced sample of the
-training rows that have such terms (EXAMPLES, a documented parameter).
+of a beginning in a text is a term of its own, and so on without end, so that vectors tell how often something is said although
+cosines forget lengths. The vocabulary holds all terms that the labels of the training rows are surely tied to (log-likelihood
+ratio of at least RATIO). Document frequencies are counted over all documents. All training rows are examples; those without a
+term of the vocabulary have no direction, so they are nobody's neighbours and count in the rate of such texts alone.
 
 Each term's postings are cut into blocks of examples with their largest weight; for a text, blocks are ordered by the sum of
-its terms' block maxima and scored until the next sum falls below the k-th cosine. The k nearest examples vote with weights
-that fall with their distance; votes are made probabilities by a monotone map fitted to the examples' own leave-one-out votes,
-weighted as the training rows they stand for. Texts without any term of the vocabulary get the smoothed rate of such texts.
+its terms' block maxima. The first ones are scored one by one, until the next sum falls below the k-th cosine; if many are left
+then, they are scored together. The k nearest examples vote with weights that fall with their distance; votes are made
+probabilities by a monotone map fitted to the examples' own leave-one-out votes, which tasks share. Texts without any term of
+the vocabulary get the smoothed rate of such texts.
 
 Defined results: null and empty texts are texts without terms; without usable labels every score is 0; ties between neighbours
 go to the smaller example id; rows with null labels or labels other than 0 and 1 are not learnt from; every document row is
@@ -32,10 +33,10 @@ from .common import chunks, materialized
 
 WORD = re.compile(r"[^\W\d_]{4,}")
 LENGTHS = (4, 5, 6)
-MOST = 4
-#: Labelled rows that are learnt from, terms kept, the ratio they need (at least, and for each row), examples of each label in the index.
-LABELLED, TERMS, RATIO, RATIO_PER_ROW, EXAMPLES = 20_000, 512, 15.0, 0.003, 1500
-BLOCK = 32
+#: Labelled rows that are learnt from, the ratio that terms need.
+LABELLED, RATIO = 20_000, 15.0
+#: Examples of a block, blocks that are scored one by one.
+BLOCK, SINGLY = 32, 4
 FLUSH = 400_000
 
 
@@ -52,7 +53,7 @@ def beginnings(words: Counter) -> Counter:
 def terms(text: str | None) -> Iterator[str]:
     """The terms of a text: a beginning and the number of its occurrence."""
     for b, n in beginnings(Counter(WORD.findall((text or "").lower()))).items():
-        for i in range(1, min(n, MOST) + 1):
+        for i in range(1, n + 1):
             yield f"{b}@{i}"
 
 
@@ -60,8 +61,10 @@ class Matcher:
     """Finds a vocabulary's terms in texts, with a bounded memory of words."""
 
     def __init__(self, vocabulary: list[str]):
-        self.number = {t: i for i, t in enumerate(vocabulary)}
-        self.stems = {t.partition("@")[0] for t in vocabulary}
+        self.stems: dict[str, list[tuple[int, int]]] = {}  # occurrence, term
+        for i, t in enumerate(vocabulary):
+            stem, _, n = t.partition("@")
+            self.stems.setdefault(stem, []).append((int(n), i))
         self.seen: set[str] = set()
         self.telling: dict[str, tuple] = {}
 
@@ -75,8 +78,7 @@ class Matcher:
         if len(self.seen) > 500_000:
             self.seen.clear()
             self.telling.clear()
-        number = self.number
-        return tuple(sorted(number[t] for s, n in counts.items() for i in range(1, min(n, MOST) + 1) if (t := f"{s}@{i}") in number))
+        return tuple(sorted(t for s, n in counts.items() for i, t in self.stems[s] if i <= n))
 
 
 @dataclass
@@ -89,6 +91,7 @@ class Model:
     rows: list[list[int]]  # terms of the examples
     none_rate: float
     k: int = 15
+    calibrated: bool = True  # else calibrate() is called when the votes are known
 
     def __post_init__(self):
         # Examples that share their weightiest terms stand together, which makes block maxima telling.
@@ -109,7 +112,8 @@ class Model:
             np.maximum.at(self.most[t], p // BLOCK, self.values[t])
             self.cuts.append(np.searchsorted(p, np.arange(self.n_blocks + 1) * BLOCK))
         self.steps, self.rates = np.array([0.0]), np.array([0.0])
-        self.calibrate()
+        if self.calibrated:
+            self.calibrate(np.array([self.vote(r, i)[0] for i, r in enumerate(self.rows)]))
 
     def nearest(self, found: tuple[int, ...], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, nearest first; examples without a common term are no neighbours."""
@@ -120,19 +124,29 @@ class Model:
         q = q / np.sqrt((q**2).sum())
         bound = q @ self.most[found]
         best, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < cosines[-1] - 1e-12:
+        for n, b in enumerate(np.argsort(-bound, kind="stable")):
+            least = cosines[-1] - 1e-11 if len(best) == self.k else 0.0
+            if bound[b] <= 0 or bound[b] < least:
                 break
-            acc = np.zeros(BLOCK)
-            for w, t in zip(q, found):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    acc[self.postings[t][lo:hi] - b * BLOCK] += w * self.values[t][lo:hi]
-            at = np.flatnonzero(acc > 0)
+            if together := n == SINGLY:
+                # All examples, those of the blocks before too.
+                b, acc = 0, np.zeros(len(self.rows))
+                for w, t in zip(q, found):
+                    acc[self.postings[t]] += w * self.values[t]
+                best, cosines = best[:0], cosines[:0]
+            else:
+                acc = np.zeros(BLOCK)
+                for w, t in zip(q, found):
+                    lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
+                    if lo < hi:
+                        acc[self.postings[t][lo:hi] - b * BLOCK] += w * self.values[t][lo:hi]
+            at = np.flatnonzero((acc > 0) & (acc >= least))
             at = at[at + b * BLOCK != skip]
             best, cosines = np.concatenate([best, at + b * BLOCK]), np.concatenate([cosines, acc[at]])
             order = np.lexsort((self.ids[best], -np.round(cosines, 12)))[: self.k]
             best, cosines = best[order], cosines[order]
+            if together:
+                break
         return best, cosines
 
     def vote(self, found: tuple[int, ...], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
@@ -143,9 +157,8 @@ class Model:
         w = 1 / (1 - cosines + 0.05)
         return float((w * self.labels[best]).sum() / w.sum()), best, cosines
 
-    def calibrate(self) -> None:
+    def calibrate(self, votes: np.ndarray) -> None:
         """Isotonic regression of the labels on the leave-one-out votes (pool adjacent violators), lightly smoothed."""
-        votes = np.array([self.vote(r, i)[0] for i, r in enumerate(self.rows)])
         use = np.flatnonzero(votes >= 0)
         groups: list[list[float]] = []  # lowest vote, weight, weight of toxic
         for v in np.unique(np.round(votes[use], 3)):
@@ -177,7 +190,7 @@ def _counted(rows: DataFrame, kernel) -> DataFrame:
     return rows.mapInArrow(kernel, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, labelled: int = LABELLED, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Vocabulary, document frequencies, examples and calibration; at most about `labelled` of the usable label rows are learnt from."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     known = (known if usable is None else known.filter(usable)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
@@ -213,8 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Co
     part = lambda seen, rows_of: F.when(seen > 0, seen * F.log(seen * all_rows / ((n0 + n1) * rows_of))).otherwise(0.0)
     absent = lambda seen, rows_of: F.when(rows_of - seen > 0, (rows_of - seen) * F.log((rows_of - seen) * all_rows / ((all_rows - n0 - n1) * rows_of))).otherwise(0.0)
     ratio = 2 * (part(n0, float(total0)) + part(n1, float(total1)) + absent(n0, float(total0)) + absent(n1, float(total1)))
-    tied = n1 * float(total0) > n0 * float(total1)
-    chosen = _counted(rows, label_counts).filter(tied).withColumn("g", ratio).filter(F.col("g") >= max(RATIO, RATIO_PER_ROW * all_rows)).orderBy(F.desc("g"), "term").limit(TERMS)
+    chosen = _counted(rows, label_counts).filter(ratio >= RATIO).select("term")
     vocabulary = sorted(r.term for r in chosen.collect())
 
     def all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,17 +249,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Co
     vectors = materialized(rows.mapInArrow(found, "id long, y int, found array<int>"), "vectors")
     with_terms = {r.y: r.n for r in vectors.filter(F.size("found") > 0).groupBy("y").agg(F.count("*").alias("n")).collect()}
     none = [totals.get(y, 0) - with_terms.get(y, 0) for y in (0, 1)]
-    ids, labels_, weights, kept = [], [], [], []
-    for y in (0, 1):
-        part_ = vectors.filter((F.col("y") == y) & (F.size("found") > 0)).orderBy(F.xxhash64("id"), "id", "found").limit(examples).collect()
-        for r in part_:
-            ids.append(r.id)
-            labels_.append(y)
-            weights.append(with_terms[y] / len(part_))
-            kept.append(list(r.found))
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], kept[i]))
-    pick = lambda x, t: np.array([x[i] for i in order], t)
-    return Model(vocabulary, idf, pick(ids, np.int64), pick(labels_, float), pick(weights, float), [kept[i] for i in order], (none[1] + 0.05) / (sum(none) + 0.5))
+    # Bounded by `labelled`, too.
+    kept = sorted((r.id, list(r.found), r.y) for r in vectors.filter(F.size("found") > 0).collect())
+    pick = lambda at, t: np.array([r[at] for r in kept], t)
+    model = Model(vocabulary, idf, pick(0, np.int64), pick(2, float), np.ones(len(kept)), [r[1] for r in kept], (none[1] + 0.05) / (sum(none) + 0.5), calibrated=False)
+
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes = [model.vote(model.rows[i], i)[0] for i in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["id", "vote"])
+
+    votes = docs.sparkSession.range(0, len(kept), 1, max(1, len(kept) // 500)).mapInArrow(own_votes, "id long, vote double")
+    model.calibrate(np.array([r.vote for r in sorted(votes.collect())]))
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -122,6 +122,15 @@ def test_terms_count_occurrences():
     assert m.find("STUPID, stupor?") == (0, 1) and m.find(None) == () and m.find("stupid") == (0,)
 
 
+def test_all_labelled_rows_are_examples(spark):
+    n = 3200
+    docs = spark.createDataFrame([(i, "rude " * 6 if i % 2 else "rude " * 5 + "kind") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert model.vocabulary == ["kind@1", "rude@6"] and sorted(model.ids.tolist()) == list(range(n))
+    assert all((r.score > 0.9) == (r.doc_id % 2) for r in toxicity.score(docs, model).collect())
+
+
 # Top-k
 
 
