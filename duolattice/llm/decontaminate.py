@@ -2,7 +2,8 @@
 
 Each chunk of documents becomes a shard: its words are numbered, and the positions of all words are sorted by the words that
 follow them (a suffix array, by prefix doubling that only re-sorts what is still tied). Every suffix of every benchmark item is
-then binary-searched in every shard, one word deeper at a time, which gives its longest verbatim match and all its locations.
+then binary-searched in every shard, one word deeper at a time up to its window, which gives all locations of the window;
+`matches` goes on from there word by word.
 Nothing is shuffled: shards are built and searched where their documents are read; the benchmark goes to the tasks in blocks
 of at most ITEM_BYTES, and what several blocks find for a document is merged by document.
 
@@ -137,24 +138,34 @@ class Shard:
                     same &= k != v
         return np.where(same, k + 1, -1)
 
-    def search(self, items: Items) -> dict[str, np.ndarray]:
-        """For every suffix of the items: length of its longest match and the range of the suffix array that has it; the range of the window that starts there (empty if none occurs)."""
-        want = np.concatenate([self.numbers(items), np.full(1, -1)])
+    def search(self, items: Items) -> tuple[np.ndarray, np.ndarray]:
+        """For every suffix of the items: the range of the suffix array that has the window that starts there (empty if none does or none occurs)."""
+        want = self.numbers(items)
         n = len(items.hashes)
         lo, hi = np.zeros(n, np.int64), np.full(n, len(self.order), np.int64)
-        out = {k: np.zeros(n, np.int64) for k in ("longest", "lo", "hi", "window_lo", "window_hi")}
-        live, depth = np.arange(n), 0
+        window_lo, window_hi = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        live, depth = np.flatnonzero(items.windowed), 0
         while live.size:
-            word = np.where(items.length[live] > depth, want[np.minimum(live + depth, n)], -1)
+            word = want[live + depth]
             live, word = live[word > 0], word[word > 0]
             a, b = _narrow(self.ids, self.order, lo[live], hi[live], depth, word)
             kept = a < b
             live, a, b = live[kept], a[kept], b[kept]
             lo[live], hi[live] = a, b
             depth += 1
-            out["longest"][live], out["lo"][live], out["hi"][live] = depth, a, b
-            whole = live[items.windowed[live] == depth]
-            out["window_lo"][whole], out["window_hi"][whole] = lo[whole], hi[whole]
+            whole = items.windowed[live] == depth
+            window_lo[live[whole]], window_hi[live[whole]] = a[whole], b[whole]
+            live = live[~whole]
+        return window_lo, window_hi
+
+    def common(self, place: np.ndarray, suffix: np.ndarray, items: Items, known: int) -> np.ndarray:
+        """How many words each place shares with its suffix of the items, where the first `known` are the same."""
+        want = self.numbers(items)
+        out = np.full(len(place), known)
+        live = np.arange(len(place))
+        while (live := live[items.length[suffix[live]] > out[live]]).size:
+            live = live[self.ids[place[live] + out[live]] == want[suffix[live] + out[live]]]
+            out[live] += 1
         return out
 
     def places(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,9 +177,8 @@ class Shard:
 
 
 def scan(texts: pa.Array, items: Items, min_match: int = 0) -> dict:
-    """What a shard of these texts has of the items: per document words, hit spans, items; with min_match, the longest matches too."""
-    depth = int(min(max(items.length, default=1), 4096))
-    shard = Shard(texts, depth)
+    """What a shard of these texts has of the items: per document words, hit spans, items; with min_match, the items' window then, the maximal matches too."""
+    shard = Shard(texts, int(max(items.windowed, default=1)))
     n = len(shard.n_words)
     spans: list[list] = [[] for _ in range(n)]
     found: list[list] = [[] for _ in range(n)]
@@ -176,10 +186,10 @@ def scan(texts: pa.Array, items: Items, min_match: int = 0) -> dict:
     result = {"n_words": shard.n_words, "n_hit": n_hit, "spans": spans, "items": found, "matches": []}
     if not len(shard.order) or not len(items.hashes):
         return result
-    got = shard.search(items)
-    hits = np.flatnonzero(got["window_hi"] > got["window_lo"])
+    lo, hi = shard.search(items)
+    hits = np.flatnonzero(hi > lo)
     if hits.size:
-        place, which = shard.places(got["window_lo"][hits], got["window_hi"][hits])
+        place, which = shard.places(lo[hits], hi[hits])
         cover = np.zeros(len(shard.order) + 1, np.int64)
         np.add.at(cover, place, 1)
         np.add.at(cover, place + items.windowed[hits][which], -1)
@@ -193,17 +203,18 @@ def scan(texts: pa.Array, items: Items, min_match: int = 0) -> dict:
             d, i = divmod(int(p), len(items.names))
             found[d].append(items.names[i])
     if min_match:
-        long = np.flatnonzero((got["longest"] >= min_match) & (got["hi"] > got["lo"]))
+        long = hits[items.windowed[hits] == min_match]
         # A suffix whose match is the rest of the match before it says nothing new at the same places.
-        place, which = shard.places(got["lo"][long], got["hi"][long])
+        place, which = shard.places(lo[long], hi[long])
         suffix = long[which]
         before = shard.ids[np.maximum(place - 1, 0)]
         want = shard.numbers(items)
         inner = (place > 0) & (suffix > 0) & (items.item[np.maximum(suffix - 1, 0)] == items.item[suffix]) & (before == want[np.maximum(suffix - 1, 0)]) & (before > 0)
-        for p, s in zip(place[~inner], suffix[~inner]):
+        place, suffix = place[~inner], suffix[~inner]
+        for p, s, length in zip(place, suffix, shard.common(place, suffix, items, min_match)):
             d = int(shard.doc[p])
             item = int(items.item[s])
-            result["matches"].append((d, int(p - shard.first[d]), items.names[item], int(s - np.searchsorted(items.item, item)), int(got["longest"][s])))
+            result["matches"].append((d, int(p - shard.first[d]), items.names[item], int(s - np.searchsorted(items.item, item)), int(length)))
     return result
 
 
@@ -253,7 +264,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Longest verbatim matches of at least min_words: id_col, start (word of the document), item_id, item_start, n_words."""
+    """All maximal verbatim matches of at least min_words (not part of a longer one at the same places): id_col, start (word of the document), item_id, item_start, n_words."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def report(block: Items):

@@ -180,6 +180,24 @@ def test_suffix_array_order():
     assert keys == sorted(keys) and sorted(order) == list(range(300))
 
 
+def test_shorter_matches_beside_longer_ones():
+    import pyarrow as pa
+
+    r, n = random.Random(8), 12
+    for _ in range(40):
+        words = r.choices("ab", k=n)
+        texts = [" ".join(words), " ".join(["y", *words[: n - 3], "z"]), " ".join(words[2:9])]
+        got = decontaminate.scan(pa.array(texts), decontaminate.Items([("7", " ".join(words))], 4), 4)["matches"]
+        want = set()
+        for d, t in enumerate(map(str.split, texts)):
+            for i in range(len(t)):
+                for j in range(n):
+                    size = next(m for m in range(n + 1) if i + m >= len(t) or j + m >= n or t[i + m] != words[j + m])
+                    if size >= 4 and not (i and j and t[i - 1] == words[j - 1]):
+                        want.add((d, i, "7", j, size))
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "x a b c d y a b"), (2, "a b c")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "z a b c d q")], "item_id long, text string")
