@@ -56,14 +56,14 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     padded = np.concatenate([ids, np.zeros(2, np.int64)])
     # What stands after an end belongs to another document and doesn't count.
     second = np.where(ids == 0, 0, padded[1 : n + 1])
-    third = np.where(second == 0, 0, padded[2 : n + 2])
-    key = ids << 42 | second << 21 | third
+    # Three symbols make a key, or two of more than 21 bits.
+    known = 3 if ids.max(initial=0) < 1 << 21 else 2
+    key = ids << 42 | second << 21 | np.where(second == 0, 0, padded[2 : n + 2]) if known == 3 else ids << 32 | second
     order = np.argsort(key)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     ordered = key[order]
     head = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    known = 3
     while True:
         start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
         rank[order] = start
@@ -120,8 +120,6 @@ class Shard:
         self.doc[ends[:-1] + 1] = 1
         self.doc = np.cumsum(self.doc)
         self.first = np.concatenate([[0], ends[:-1] + 1]) if n_docs else np.zeros(0, np.int64)
-        if len(self.vocabulary) >= 1 << 21:
-            raise ValueError("a shard has too many different words")
         self.order = suffix_array(self.ids[:size], depth)
 
     def numbers(self, items: Items) -> np.ndarray:

@@ -180,6 +180,20 @@ def test_suffix_array_order():
     assert keys == sorted(keys) and sorted(order) == list(range(300))
 
 
+def test_text_of_many_different_words():
+    import pyarrow as pa
+
+    n = (1 << 21) + 10
+    text = " ".join(map(str, range(n))) + " 7 8 9"
+    items = decontaminate.Items([("a", f"x {n - 3} {n - 2} {n - 1} 7"), ("b", "7 8 9 11"), ("c", "7 9 10")], 3)
+    got = decontaminate.scan(pa.array([text, "7 8 9"]), items)
+    assert got["n_hit"].tolist() == [9, 3] and [sorted(set(i)) for i in got["items"]] == [["a", "b"], ["b"]]
+    ids = np.random.default_rng(6).integers(0, 3, 300)
+    ends = [int(np.flatnonzero(np.append(ids, 0)[i:] == 0)[0]) + i for i in range(300)]
+    keys = [tuple(ids[i : ends[i]]) for i in decontaminate.suffix_array(np.where(ids, ids + (1 << 21), 0), 400) if ids[i]]
+    assert len(keys) == (ids > 0).sum() and keys == sorted(keys)
+
+
 def test_shorter_matches_beside_longer_ones():
     import pyarrow as pa
 
