@@ -8,7 +8,7 @@ import random
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .numbering import with_dense_index
@@ -70,12 +70,14 @@ def seed_pool_split(examples: DataFrame, id_col: str = "id", y_col: str = "y") -
     return joined.withColumn("part", F.when((F.col(y_col) == 1) | (F.col(id_col) == F.col("__first")), "seed").otherwise("pool")).drop("__first")
 
 
-def sample_train(examples: DataFrame, size: float, keep_positives: bool = False, negative_ratio: float | None = None, id_col: str = "id", y_col: str = "y", seed: int = 0) -> DataFrame:
+def sample_train(examples: DataFrame, size: float, keep_positives: bool = False, negative_ratio: float | None = None, id_col: str = "id", y_col: str = "y", seed: int = 0, order: Column | None = None) -> DataFrame:
     """Adds selected. size: a share (up to 1) or a number of rows; with keep_positives all positives are among them; with
-    negative_ratio all positives and that many times as many others are selected. The order is that of a hash of the id."""
+    negative_ratio all positives and that many times as many others are selected. The order is the given one, then
+    by id, or else that of a hash of the id; rows are counted one by one, those of the same id too."""
     n = examples.count()
     positives = examples.filter(F.col(y_col) == 1).count()
-    order = [F.xxhash64(F.lit(seed), id_col), F.col(id_col)]
+    hashed = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30))
+    by = [hashed, F.xxhash64(F.lit(seed), id_col), F.col(id_col)] if order is None else [order, F.col(id_col)]
     keep = F.col(y_col) == 1 if keep_positives or negative_ratio is not None else F.lit(False)
     wanted = int(size * n) if size <= 1 else int(size)
     if negative_ratio is not None:
@@ -83,14 +85,17 @@ def sample_train(examples: DataFrame, size: float, keep_positives: bool = False,
     elif keep_positives:
         wanted = max(0, wanted - positives)
     # A threshold on the hash leaves about the wanted rows (and some more); only those are ranked, at their exact number.
+    # Where ids repeat it may leave too few, and all rows are ranked.
     others = examples.filter(~keep)
     n_others = n - positives if keep_positives or negative_ratio is not None else n
     share = min(1.0, 1.2 * wanted / max(1, n_others) + 100 / max(1, n_others))
-    near = others if share >= 1 else others.filter(F.pmod(order[0], F.lit(1 << 30)) < int(share * (1 << 30)))
-    by = [F.pmod(order[0], F.lit(1 << 30)), *order]
-    chosen = near.orderBy(*by).limit(wanted).select(F.col(id_col).alias("__id")).withColumn("__in", F.lit(True))
-    joined = examples.join(chosen, F.col(id_col) == F.col("__id"), "left")
-    return joined.withColumn("selected", keep | F.coalesce("__in", F.lit(False))).drop("__id", "__in")
+    near = others if share >= 1 or order is not None else others.filter(hashed < int(share * (1 << 30)))
+    if near is not others and near.count() < wanted:
+        near = others
+    chosen = near.orderBy(*by).limit(wanted).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__take"))
+    joined = examples.withColumn("__other", ~keep).join(chosen, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    joined = joined.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__other").orderBy(y_col)))
+    return joined.withColumn("selected", keep | (F.col("__n") <= F.coalesce("__take", F.lit(0)))).drop("__id", "__take", "__other", "__n")
 
 
 def complement(examples: DataFrame, selected: DataFrame, id_col: str = "id") -> DataFrame:

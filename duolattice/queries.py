@@ -185,11 +185,7 @@ SAMPLE_SQL = """marked AS (
 def _sampled(spark, sf_dir):
     """All positives and twice as many others, in an order by arithmetic on the id that SQL has too."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y"))
-    wanted = 2 * labels.filter("y = 1").count()
-    key = (F.col("doc_id") * 7919) % 100003
-    chosen = labels.filter("y <> 1").orderBy(key, "doc_id").limit(wanted).select("doc_id", F.lit(True).alias("chosen"))
-    joined = labels.join(chosen, "doc_id", "left")
-    return joined.select("doc_id", "y", ((F.col("y") == 1) | F.coalesce("chosen", F.lit(False))).alias("selected"))
+    return experiments.sample_train(labels, 1, negative_ratio=2, id_col="doc_id", order=(F.col("doc_id") * 7919) % 100003)
 
 
 @query(f"WITH {SAMPLE_SQL} SELECT doc_id, y FROM marked WHERE selected")

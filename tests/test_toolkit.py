@@ -105,6 +105,16 @@ def test_splits(spark):
     assert ratio.count() == 30 and ratio.filter("y = 1").count() == 10
 
 
+def test_samples_of_repeated_ids(spark):
+    for seed in range(4):
+        # One id holds a third of the rows.
+        df = spark.createDataFrame([(max(i, 1000), 0) for i in range(3000)], "id long, y int")
+        marked = E.sample_train(df, 0.2, seed=seed)
+        assert marked.count() == 3000 and marked.filter("selected").count() == 600
+    first = E.sample_train(df.distinct(), 10, order=-F.col("id")).filter("selected")
+    assert sorted(r.id for r in first.collect()) == list(range(2990, 3000))
+
+
 def test_logs(spark):
     lines = spark.createDataFrame([("r1", "0-Accuracy: 0.9000 ( 9 of 10 )"), ("r1", "noise"), ("r1", "0-Eval-Fscore: 0.5"), ("r2", "1-Accuracy: 0.1 ( 1 of 10 )")], "run string, value string")
     wide = E.pivot_metrics(E.parse_metric_lines(lines), spark.createDataFrame([("r1", "b=1"), ("r2", "b=2")], "run string, opts string"))
