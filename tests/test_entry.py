@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import bench
 from duolattice import queries as core
 
 
@@ -40,3 +41,7 @@ def test_queries_against_sql(spark, name):
     value = lambda v: round(float(v), 5) if isinstance(v, (float, Decimal)) else v
     rows = lambda found: Counter(tuple(map(value, r)) for r in found)
     assert rows(got.select(*columns).collect()) == rows(want.select(", ".join(f'"{c}"' for c in columns)).fetchall())
+
+
+def test_bench_names_queries():
+    assert set(bench.HEADLINE) <= set(entry.queries()) and "lattice_log_partition" in bench.HEADLINE
