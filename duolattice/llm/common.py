@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at a time, so that memory doesn't follow the size of Arrow batches.
@@ -72,6 +72,31 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type of a column, as kernels see it."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column | None, most: int, id_col: str, text_col: str) -> DataFrame:
+    """id, text and y (0 or 1) of at most `most` documents, chosen by a hash of the id among those with a usable label.
+
+    Labels that are null or others than 0 and 1, labels without an id, and ids whose labels disagree are not usable. An id that
+    stands on several document rows is taken once, with the text of the smallest hash."""
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    known = (known if usable is None else known.filter(usable)).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("other"))
+    known = known.filter(F.col("y") == F.col("other")).select("id", F.col("y").cast("int").alias("y"))
+    # Of a row's hash the upper bits choose about twice as many as wanted, so that few are put in order.
+    n, by = known.count(), F.xxhash64("id")
+    if n > most:
+        near = known.filter(F.pmod(F.shiftright(by, 20), F.lit(1 << 20)) < F.lit(min(1 << 20, (2 * most + 1000) * (1 << 20) // n)))
+        known = near.orderBy(by, "id").limit(most)
+    # At most `most` labels: they can go to every task.
+    met = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    return met.groupBy("id").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", F.col("t.text").alias("text"), "y")
+
+
 def row_key(id_col: str, text_col: str) -> list:
     """Three columns, never null, that tell rows apart and order them by id, nulls last: the id, whether it is null, a hash of the text."""
     return [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.col(id_col).isNull(), F.xxhash64(F.col(text_col))]

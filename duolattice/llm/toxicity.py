@@ -1,282 +1,319 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are word beginnings (of 4, 5 and 6 letters, lower-cased), and their occurrences count one by one: the second occurrence
-of a beginning in a text is a term of its own, and so on without end, so that vectors tell how often something is said although
-cosines forget lengths. The vocabulary holds all terms that the labels of the training rows are surely tied to (log-likelihood
-ratio of at least RATIO). Document frequencies are counted over all documents. All training rows are examples; those without a
-term of the vocabulary have no direction, so they are nobody's neighbours and count in the rate of such texts alone.
-
-Each term's postings are cut into blocks of examples with their largest weight; for a text, blocks are ordered by the sum of
-its terms' block maxima. The first ones are scored one by one, until the next sum falls below the k-th cosine; if many are left
-then, they are scored together. The k nearest examples vote with weights that fall with their distance; votes are made
-probabilities by a monotone map fitted to the examples' own leave-one-out votes, which tasks share. Texts without any term of
-the vocabulary get the smoothed rate of such texts.
+Terms are all words of a text (lower-cased) and the beginnings (4, 5 and 6 letters) of its words, each with its number of
+occurrences. A term weighs occurrences x IDF x relevance: document frequencies are counted over all documents, and the relevance
+r = FLOOR + (g / (g + RATIO))^2 rises with the log-likelihood ratio g that ties the term to either label among the training rows.
+So every word counts, and words that tell the labels apart count most. All training rows are examples.
+
+Examples that share their weightiest terms stand together in blocks. Each term has postings (examples and their weights) and, for
+each block that it occurs in, its largest weight there. For a text the blocks are ordered by the sum of its terms' block maxima;
+the first ones are scored through their postings, then all others whose sum reaches the k-th cosine found. The k nearest examples
+vote with weights that fall with their distance; votes are made probabilities by a monotone map fitted to the examples' own
+leave-one-out votes, which tasks share. The evidence of a score is all examples that voted. Texts that have no term in common with
+any example get the smoothed rate of the training rows without words.
 
 Defined results: null and empty texts are texts without terms; without usable labels every score is 0; ties between neighbours
-go to the smaller example id; rows with null labels or labels other than 0 and 1 are not learnt from; every document row is
-kept, repeated rows and null ids too; other columns are not read.
+go to the smaller example id; rows with null labels, labels other than 0 and 1 or labels that disagree are not learnt from; an id
+that several documents share is learnt from once; every document row is kept, repeated rows and null ids too; ids may be of any
+type that can be ordered; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialized
+from .common import arrow_type, chunks, labelled_rows, materialized
 
-WORD = re.compile(r"[^\W\d_]{4,}")
+WORD = re.compile(r"\w+")
 LENGTHS = (4, 5, 6)
-#: Labelled rows that are learnt from, the ratio that terms need.
-LABELLED, RATIO = 20_000, 15.0
-#: Examples of a block, blocks that are scored one by one.
-BLOCK, SINGLY = 32, 4
+#: Labelled rows that are learnt from, at most; the log-likelihood ratio at which relevance is a quarter, and what every term has at least.
+LABELLED, RATIO, FLOOR = 3_000, 15.0, 0.03
+#: Examples of a block, blocks that are scored before the others are held against the k-th cosine.
+BLOCK, FIRST = 64, 3
 FLUSH = 400_000
+#: Words longer than this are known by a hash, so that terms stay short.
+LONG = 64
 
 
-def beginnings(words: Counter) -> Counter:
-    """Occurrences of word beginnings; a word shorter than a length counts once, in whole."""
+def terms(word: str) -> list[str]:
+    """The terms of a word: itself and its beginnings, which a star marks."""
+    whole = word if len(word) <= LONG else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
+    return [whole, *(word[:k] + "*" for k in LENGTHS if len(word) >= k and not word[:k].isdigit())]
+
+
+def words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def counts(text: str | None) -> Counter:
+    """Occurrences of a text's terms."""
     out: Counter = Counter()
-    for w, n in words.items():
-        for k in LENGTHS:
-            if len(w) >= k:
-                out[w[:k]] += n
+    for w, n in Counter(words(text)).items():
+        for t in terms(w):
+            out[t] += n
     return out
 
 
-def terms(text: str | None) -> Iterator[str]:
-    """The terms of a text: a beginning and the number of its occurrence."""
-    for b, n in beginnings(Counter(WORD.findall((text or "").lower()))).items():
-        for i in range(1, n + 1):
-            yield f"{b}@{i}"
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, size), one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 class Matcher:
     """Finds a vocabulary's terms in texts, with a bounded memory of words."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.stems: dict[str, list[tuple[int, int]]] = {}  # occurrence, term
-        for i, t in enumerate(vocabulary):
-            stem, _, n = t.partition("@")
-            self.stems.setdefault(stem, []).append((int(n), i))
-        self.seen: set[str] = set()
-        self.telling: dict[str, tuple] = {}
-
-    def find(self, text: str | None) -> tuple[int, ...]:
-        words = WORD.findall((text or "").lower())
-        for w in set(words) - self.seen:
-            if stems := tuple(w[:k] for k in LENGTHS if len(w) >= k and w[:k] in self.stems):
-                self.telling[w] = stems
-            self.seen.add(w)
-        counts = Counter(s for w in filter(self.telling.__contains__, words) for s in self.telling[w])
-        if len(self.seen) > 500_000:
-            self.seen.clear()
-            self.telling.clear()
-        return tuple(sorted(t for s, n in counts.items() for i, t in self.stems[s] if i <= n))
+    def __init__(self, vocabulary: list[str], most: int = 300_000):
+        index, outer = {t: i for i, t in enumerate(vocabulary)}, self
+        self.size, self.most = max(1, len(vocabulary)), most
+
+        class Known(dict):
+            def __missing__(self, word: str) -> tuple[int, ...]:
+                if len(self) >= outer.most:
+                    self.clear()
+                found = self[word] = tuple(index[t] for t in terms(word) if t in index)
+                return found
+
+        self.known = Known()
+
+    def find(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of all texts, text after text and in order, their occurrences, and where each text's terms begin (n + 1 places)."""
+        found, sizes = [], []
+        for t in texts:
+            own = np.fromiter(chain.from_iterable(map(self.known.__getitem__, words(t))), np.int64)
+            found.append(own)
+            sizes.append(len(own))
+        key = np.repeat(np.arange(len(texts)), sizes) * self.size + np.concatenate(found) if texts else np.zeros(0, np.int64)
+        key, n = np.unique(key, return_counts=True)
+        return key % self.size, n, np.searchsorted(key, np.arange(len(texts) + 1) * self.size)
 
 
 @dataclass
 class Model:
+    """rows: terms and occurrences of each example; weight: IDF x relevance of each term."""
+
     vocabulary: list[str]
-    idf: np.ndarray
-    ids: np.ndarray
+    weight: np.ndarray
+    ids: list
     labels: np.ndarray
-    weights: np.ndarray  # training rows that an example stands for
-    rows: list[list[int]]  # terms of the examples
+    rows: list[tuple[np.ndarray, np.ndarray]]
     none_rate: float
     k: int = 15
     calibrated: bool = True  # else calibrate() is called when the votes are known
 
     def __post_init__(self):
+        scaled = [n * self.weight[t] for t, n in self.rows]
         # Examples that share their weightiest terms stand together, which makes block maxima telling.
-        order = sorted(range(len(self.rows)), key=lambda i: (sorted(self.rows[i], key=lambda t: (-self.idf[t], t)), self.ids[i]))
-        self.ids, self.labels, self.weights, self.rows = self.ids[order], self.labels[order], self.weights[order], [self.rows[i] for i in order]
-        self.memory: dict[tuple, tuple] = {}
-        self.n_blocks = -(-len(self.rows) // BLOCK)
-        norm = np.array([np.sqrt((self.idf[r] ** 2).sum()) or 1.0 for r in self.rows])
-        postings: list[list[int]] = [[] for _ in self.vocabulary]
-        for i, r in enumerate(self.rows):
-            for t in r:
-                postings[t].append(i)
-        self.postings = [np.array(p, np.int64) for p in postings]
-        self.values = [self.idf[t] / norm[p] if len(p) else np.zeros(0) for t, p in enumerate(self.postings)]
-        self.most = np.zeros((len(self.vocabulary), self.n_blocks))
-        self.cuts = []
-        for t, p in enumerate(self.postings):
-            np.maximum.at(self.most[t], p // BLOCK, self.values[t])
-            self.cuts.append(np.searchsorted(p, np.arange(self.n_blocks + 1) * BLOCK))
+        heavy = [t[np.lexsort((t, -v))][:4].tolist() for (t, _), v in zip(self.rows, scaled)]
+        order = sorted(range(len(self.rows)), key=lambda i: (heavy[i], self.ids[i]))
+        self.ids, self.labels, self.rows = [self.ids[i] for i in order], np.asarray(self.labels, float)[order], [self.rows[i] for i in order]
+        place = sorted(range(len(order)), key=lambda i: self.ids[i])
+        self.by_id = np.empty(len(order), np.int64)  # examples' ranks in order of id
+        self.by_id[place] = np.arange(len(order))
+        self.n_blocks = -(-len(order) // BLOCK)
+        norms = [np.sqrt((scaled[i] ** 2).sum()) or 1.0 for i in order]
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.rows)])
+        owner = np.repeat(np.arange(len(order)), [len(t) for t, _ in self.rows])
+        value = np.concatenate([np.zeros(0), *(scaled[i] / n for i, n in zip(order, norms))])
+        by = np.lexsort((owner, term))
+        # Postings by term and example; entries: one for each term and block, with its range of postings and its largest value.
+        term, self.owner, self.value = term[by], owner[by].astype(np.int32), value[by]
+        key = term * max(1, self.n_blocks) + self.owner // BLOCK
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        self.entry_block, self.entry_start = (key[at] % max(1, self.n_blocks)).astype(np.int32), at.astype(np.int32)
+        self.entry_size = np.diff(np.append(at, len(key))).astype(np.int32)
+        self.entry_most = np.maximum.reduceat(self.value, at) if len(at) else np.zeros(0)
+        self.entries = np.searchsorted(key[at], np.arange(len(self.vocabulary) + 1) * max(1, self.n_blocks))
         self.steps, self.rates = np.array([0.0]), np.array([0.0])
         if self.calibrated:
-            self.calibrate(np.array([self.vote(r, i)[0] for i, r in enumerate(self.rows)]))
-
-    def nearest(self, found: tuple[int, ...], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, nearest first; examples without a common term are no neighbours."""
-        if not found or not len(self.rows):
-            return np.zeros(0, np.int64), np.zeros(0)
-        found = list(found)
-        q = self.idf[found]
-        q = q / np.sqrt((q**2).sum())
-        bound = q @ self.most[found]
-        best, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for n, b in enumerate(np.argsort(-bound, kind="stable")):
-            least = cosines[-1] - 1e-11 if len(best) == self.k else 0.0
-            if bound[b] <= 0 or bound[b] < least:
+            self.calibrate(np.array([self.vote(*r, i)[0] for i, r in enumerate(self.rows)]))
+
+    def nearest(self, found: np.ndarray, n: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples of a text with these terms, so many times each, and their cosines, nearest first; examples without
+        a common term are no neighbours."""
+        none = np.zeros(0, np.int64), np.zeros(0)
+        q = n * self.weight[found]
+        norm = np.sqrt((q**2).sum())
+        if not norm or not len(self.rows):
+            return none
+        q = q / norm
+        first, sizes = self.entries[found], self.entries[found + 1] - self.entries[found]
+        e, weight = spread(first, sizes), np.repeat(q, sizes)
+        block = self.entry_block[e]
+        bound = np.bincount(block, weight * self.entry_most[e], self.n_blocks)
+        line = np.argsort(-bound, kind="stable")
+        line = line[bound[line] > 0]
+        best, cosines = none
+        for part in (line[:FIRST], line[FIRST:]):
+            if len(best) == self.k:
+                # Rounding must not cost a neighbour.
+                part = part[bound[part] >= cosines[-1] - 1e-11]
+            if not len(part):
                 break
-            if together := n == SINGLY:
-                # All examples, those of the blocks before too.
-                b, acc = 0, np.zeros(len(self.rows))
-                for w, t in zip(q, found):
-                    acc[self.postings[t]] += w * self.values[t]
-                best, cosines = best[:0], cosines[:0]
-            else:
-                acc = np.zeros(BLOCK)
-                for w, t in zip(q, found):
-                    lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                    if lo < hi:
-                        acc[self.postings[t][lo:hi] - b * BLOCK] += w * self.values[t][lo:hi]
-            at = np.flatnonzero((acc > 0) & (acc >= least))
-            at = at[at + b * BLOCK != skip]
-            best, cosines = np.concatenate([best, at + b * BLOCK]), np.concatenate([cosines, acc[at]])
-            order = np.lexsort((self.ids[best], -np.round(cosines, 12)))[: self.k]
+            chosen = np.zeros(self.n_blocks, bool)
+            chosen[part] = True
+            mine = chosen[block]
+            runs = self.entry_size[e[mine]].astype(np.int64)
+            p = spread(self.entry_start[e[mine]].astype(np.int64), runs)
+            acc = np.bincount(self.owner[p], np.repeat(weight[mine], runs) * self.value[p], len(self.rows))
+            at = np.flatnonzero(acc)
+            at = at[at != skip]
+            if len(at) > 4 * self.k:
+                least = np.partition(acc[at], len(at) - self.k)[len(at) - self.k] - 1e-11
+                at = at[acc[at] >= least]
+            best, cosines = np.concatenate([best, at]), np.concatenate([cosines, acc[at]])
+            order = np.lexsort((self.by_id[best], -np.round(cosines, 12)))[: self.k]
             best, cosines = best[order], cosines[order]
-            if together:
-                break
         return best, cosines
 
-    def vote(self, found: tuple[int, ...], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, found: np.ndarray, n: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Share of toxic among the neighbours, by weights that fall with the distance; -1 without neighbours."""
-        best, cosines = self.nearest(found, skip)
+        best, cosines = self.nearest(found, n, skip)
         if not len(best):
             return -1.0, best, cosines
-        w = 1 / (1 - cosines + 0.05)
+        w = 1 / (1 - np.minimum(cosines, 1.0) + 0.05)
         return float((w * self.labels[best]).sum() / w.sum()), best, cosines
 
     def calibrate(self, votes: np.ndarray) -> None:
         """Isotonic regression of the labels on the leave-one-out votes (pool adjacent violators), lightly smoothed."""
-        use = np.flatnonzero(votes >= 0)
-        groups: list[list[float]] = []  # lowest vote, weight, weight of toxic
-        for v in np.unique(np.round(votes[use], 3)):
-            who = use[np.round(votes[use], 3) == v]
-            groups.append([v, self.weights[who].sum(), (self.weights[who] * self.labels[who]).sum()])
+        use = votes >= 0
+        values, which = np.unique(np.round(votes[use], 3), return_inverse=True)
+        n, toxic = np.bincount(which, minlength=len(values)), np.bincount(which, self.labels[use], len(values))
+        groups: list[list[float]] = []  # lowest vote, rows, toxic rows
+        for g in zip(values.tolist(), n.tolist(), toxic.tolist()):
+            groups.append(list(g))
             while len(groups) > 1 and groups[-2][2] * groups[-1][1] >= groups[-1][2] * groups[-2][1]:
-                _, w, t = groups.pop()
-                groups[-1][1] += w
+                _, m, t = groups.pop()
+                groups[-1][1] += m
                 groups[-1][2] += t
         if groups:
             g = np.array(groups)
-            self.steps, self.rates = g[:, 0], (g[:, 2] + 0.05) / (g[:, 1] + 0.5)
-            self.rates = np.maximum.accumulate(self.rates)
+            self.steps, self.rates = g[:, 0], np.maximum.accumulate((g[:, 2] + 0.05) / (g[:, 1] + 0.5))
 
-    def score(self, found: tuple[int, ...]) -> tuple[float, list[int], list[float]]:
-        """Score, ids and cosines of the nearest examples; texts with the same terms are looked up once while they are remembered."""
-        known = self.memory.get(found)
-        if known is None:
-            vote, best, cosines = self.vote(found)
-            at = max(0, int(np.searchsorted(self.steps, round(vote, 3), "right")) - 1)
-            known = (self.none_rate, [], []) if vote < 0 else (float(self.rates[at]), self.ids[best[:5]].tolist(), cosines[:5].tolist())
-            if len(self.memory) > 50_000:
-                self.memory.clear()
-            self.memory[found] = known
-        return known
-
-
-def _counted(rows: DataFrame, kernel) -> DataFrame:
-    return rows.mapInArrow(kernel, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    def score(self, found: np.ndarray, n: np.ndarray) -> tuple[float, list, list[float]]:
+        """Score, ids and cosines of all examples that voted."""
+        vote, best, cosines = self.vote(found, n)
+        at = max(0, int(np.searchsorted(self.steps, round(vote, 3), "right")) - 1)
+        return (self.none_rate, [], []) if vote < 0 else (float(self.rates[at]), [self.ids[b] for b in best], cosines.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Vocabulary, document frequencies, examples and calibration; at most about `labelled` of the usable label rows are learnt from."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    known = (known if usable is None else known.filter(usable)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
-    n = known.count()
-    if n > labelled:
-        known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < F.lit(labelled * (1 << 20) // n))
-    # The chosen labels are bounded by `labelled`, so they can go to every task.
-    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(known), "__id").select("__id", "__t", "__y")
-    rows = materialized(joined, "labelled")
+    """Vocabulary, document frequencies, examples and calibration; at most `labelled` of the usable label rows are learnt from."""
+    rows = materialized(labelled_rows(docs, labels, label_col, usable, labelled, id_col, text_col), "labelled")
 
     def label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = {0: Counter(), 1: Counter()}
+        n = (Counter(), Counter())
 
         def out() -> pa.RecordBatch:
             names = list(n[0].keys() | n[1].keys())
-            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[0][t] for t in names], pa.int64()), pa.array([n[1][t] for t in names], pa.int64())], ["term", "n0", "n1"])
-            n[0].clear()
-            n[1].clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in n)], ["term", "n0", "n1"])
+            for c in n:
+                c.clear()
             return batch
 
         for batch in chunks(batches):
             for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                n[y].update(terms(t))
+                n[y].update(counts(t).keys())
                 if len(n[0]) + len(n[1]) > FLUSH:
                     yield out()
         yield out()
 
-    totals = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    total0, total1 = totals.get(0, 0), totals.get(1, 0)
-    if not total0 + total1:
-        return Model([], np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), [], 0.0)
-    n0, n1, all_rows = F.col("n0").cast("double"), F.col("n1").cast("double"), float(total0 + total1)
-    part = lambda seen, rows_of: F.when(seen > 0, seen * F.log(seen * all_rows / ((n0 + n1) * rows_of))).otherwise(0.0)
-    absent = lambda seen, rows_of: F.when(rows_of - seen > 0, (rows_of - seen) * F.log((rows_of - seen) * all_rows / ((all_rows - n0 - n1) * rows_of))).otherwise(0.0)
-    ratio = 2 * (part(n0, float(total0)) + part(n1, float(total1)) + absent(n0, float(total0)) + absent(n1, float(total1)))
-    chosen = _counted(rows, label_counts).filter(ratio >= RATIO).select("term")
-    vocabulary = sorted(r.term for r in chosen.collect())
+    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows_of = np.array([totals.get(0, 0), totals.get(1, 0)], float)
+    if not rows_of.sum():
+        return Model([], np.zeros(0), [], np.zeros(0), [], 0.0)
+    # All terms of at most `labelled` texts.
+    seen = rows.mapInArrow(label_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("term").toArrow()
+    vocabulary = seen.column("term").to_pylist()
+    relevance = FLOOR + (lambda g: (g / (g + RATIO)) ** 2)(likelihood_ratio(np.stack([seen.column(c).to_numpy() for c in ("n0", "n1")]).astype(float), rows_of))
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, n, seen = Matcher(vocabulary), np.zeros(len(vocabulary), np.int64), 0
-        for batch in chunks(batches, text_at=0):
-            for t in batch.column(0).to_pylist():
-                n[list(matcher.find(t))] += 1
-                seen += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*vocabulary, ""], pa.string()), pa.array([*n, seen], pa.int64()), pa.array(np.zeros(len(n) + 1, np.int64))], ["term", "n0", "n1"])
-
-    df = {r.term: r.n0 for r in _counted(docs.select(text_col), all_counts).collect()}
-    idf = np.log((1 + df.get("", 0)) / (1 + np.array([df.get(t, 0) for t in vocabulary], float))) + 1
+        matcher = Matcher(sent.value)
+        n, texts = np.zeros(matcher.size, np.int64), 0
+        for batch in chunks(batches, text_at=0, limit=2 << 20):
+            n += np.bincount(matcher.find(batch.column(0).to_pylist())[0], minlength=matcher.size)
+            texts += batch.num_rows
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1), pa.int32()), pa.array(np.append(n[met], texts), pa.int64())], ["term", "n"])
+
+    met = docs.select(text_col).mapInArrow(all_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, n = met.column("term").to_numpy(), met.column("n").to_numpy()
+    df = np.zeros(len(vocabulary))
+    df[at[at >= 0]] = n[at >= 0]
+    idf = np.log((1 + n[at < 0].sum()) / (1 + df)) + 1
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(vocabulary)
-        for batch in chunks(batches):
-            hits = [matcher.find(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), pa.array(hits, pa.list_(pa.int32()))], ["id", "y", "found"])
+        matcher = Matcher(sent.value)
+        for batch in chunks(batches, limit=2 << 20):
+            t, n, cuts = matcher.find(batch.column(1).to_pylist())
+            lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (t, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["id", "y", "t", "n"])
 
-    vectors = materialized(rows.mapInArrow(found, "id long, y int, found array<int>"), "vectors")
-    with_terms = {r.y: r.n for r in vectors.filter(F.size("found") > 0).groupBy("y").agg(F.count("*").alias("n")).collect()}
-    none = [totals.get(y, 0) - with_terms.get(y, 0) for y in (0, 1)]
+    id_type = docs.schema[id_col].dataType.simpleString()
     # Bounded by `labelled`, too.
-    kept = sorted((r.id, list(r.found), r.y) for r in vectors.filter(F.size("found") > 0).collect())
-    pick = lambda at, t: np.array([r[at] for r in kept], t)
-    model = Model(vocabulary, idf, pick(0, np.int64), pick(2, float), np.ones(len(kept)), [r[1] for r in kept], (none[1] + 0.05) / (sum(none) + 0.5), calibrated=False)
+    vectors = rows.mapInArrow(found, f"id {id_type}, y int, t array<int>, n array<int>").orderBy("id").toArrow()
+    sent.unpersist()
+    ids, y = vectors.column("id").to_pylist(), vectors.column("y").to_numpy().astype(float)
+    pairs = [(t.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.int64)) for t, n in zip(vectors.column("t"), vectors.column("n"))]
+    wordless = np.array([not len(t) for t, _ in pairs], bool)
+    model = Model(vocabulary, idf * relevance, ids, y, pairs, float((y[wordless].sum() + 0.05) / (wordless.sum() + 0.5)), calibrated=False)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            votes = [model.vote(model.rows[i], i)[0] for i in batch.column(0).to_pylist()]
+            votes = [model.vote(*model.rows[i], i)[0] for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["id", "vote"])
 
-    votes = docs.sparkSession.range(0, len(kept), 1, max(1, len(kept) // 500)).mapInArrow(own_votes, "id long, vote double")
+    votes = docs.sparkSession.range(0, len(ids), 1, max(1, len(ids) // 300)).mapInArrow(own_votes, "id long, vote double")
     model.calibrate(np.array([r.vote for r in sorted(votes.collect())]))
+    shared.unpersist()
     return model
 
 
+def likelihood_ratio(with_term: np.ndarray, rows_of: np.ndarray) -> np.ndarray:
+    """How surely each term is tied to a label: twice the log-likelihood ratio of the table of label and presence. with_term: rows of each label (2 x terms)."""
+    total, has = rows_of.sum(), with_term.sum(0)
+    out = np.zeros(with_term.shape[1])
+    for seen, margin in ((with_term, has), (rows_of[:, None] - with_term, total - has)):
+        expected = rows_of[:, None] * margin[None, :] / total
+        out += 2 * np.where(seen > 0, seen * np.log(np.where(seen > 0, seen, 1) / np.where(expected > 0, expected, 1)), 0).sum(0)
+    return np.maximum(out, 0)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id_col, score (0 to 1), evidence (ids and cosines of the nearest examples)."""
+    """Per document: id_col, score (0 to 1), evidence (ids and cosines of the examples that voted, nearest first)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    evidence_type = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64())]))
+    evidence_type = pa.list_(pa.struct([("example", arrow_type(docs, id_col)), ("cosine", pa.float64())]))
+    # The model is bounded by the rows that it has learnt from.
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.vocabulary)
-        for batch in chunks(batches):
-            scores, evidence = [], []
-            for t in batch.column(1).to_pylist():
-                s, ids, cosines = model.score(matcher.find(t))
-                scores.append(s)
-                evidence.append([{"example": i, "cosine": c} for i, c in zip(ids, cosines)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, evidence_type)], [id_col, "score", "evidence"])
-
-    return docs.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {id_type}, score double, evidence array<struct<example:long,cosine:double>>")
+        model = shared.value
+        matcher, memory = Matcher(model.vocabulary), {}
+        for batch in chunks(batches, limit=2 << 20):
+            texts = batch.column(1).to_pylist()
+            # Equal texts are scored once while they are remembered.
+            digests = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
+            new = {d: t for d, t in zip(digests, texts) if d not in memory}
+            t, n, cuts = matcher.find(list(new.values()))
+            fresh = {d: model.score(t[a:b], n[a:b]) for d, a, b in zip(new, cuts[:-1], cuts[1:])}
+            rows = [fresh.get(d) or memory[d] for d in digests]
+            if len(memory) > 5_000:
+                memory.clear()
+            memory.update(fresh)
+            evidence = [[{"example": i, "cosine": c} for i, c in zip(ids, cosines)] for _, ids, cosines in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array(evidence, evidence_type)], [id_col, "score", "evidence"])
+
+    return docs.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {id_type}, score double, evidence array<struct<example:{id_type},cosine:double>>")

@@ -73,62 +73,139 @@ def test_op7_on_held_out_rows(spark):
 
 def test_op4_on_held_out_rows(spark):
     r = accuracy(spark, "op4_toxicity", "toxic", 3, 1)
-    assert (r[:, 0] == r[:, 1]).mean() > 0.93 and r[r[:, 1] == 0, 0].mean() < 0.02 and r[r[:, 1] == 1, 0].mean() > 0.4
+    assert (r[:, 0] == r[:, 1]).mean() > 0.95 and r[r[:, 1] == 0, 0].mean() < 0.02 and r[r[:, 1] == 1, 0].mean() > 0.8
+
+
+def test_op4_gives_evidence(spark):
+    rows = QUERIES["op4_toxicity"](spark, LARGER).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}
+    full = [r for r in rows if toxicity.words(texts[r.doc_id])]
+    assert sum(len(r.evidence) == 15 for r in full) >= 0.9 * len(full)
+
+
+def test_op4_against_brute_force(spark):
+    """Scores, neighbours and cosines of op4, worked out again with dictionaries over all pairs."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op4_toxicity"](spark, SF).collect()}
+    bag = {i: Counter(t for w in (t or "").lower().translate(SPLIT).split() for t in [w, *(w[:k] + "*" for k in (4, 5, 6) if len(w) >= k and not w[:k].isdigit())]) for i, t in docs.items()}
+    train = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    df, of = Counter(t for b in bag.values() for t in b), {y: [i for i in train if labels[i] == y] for y in (0, 1)}
+    weight = {}
+    for t in {t for i in train for t in bag[i]}:
+        g = 0.0
+        has = sum(t in bag[i] for i in train)
+        for y in (0, 1):
+            for n, margin in ((sum(t in bag[i] for i in of[y]), has), (sum(t not in bag[i] for i in of[y]), len(train) - has)):
+                g += 2 * n * np.log(n * len(train) / (len(of[y]) * margin)) if n else 0
+        weight[t] = (np.log((1 + len(docs)) / (1 + df[t])) + 1) * (0.03 + (g / (g + 15)) ** 2)
+    vector = {}
+    for i, b in bag.items():
+        v = {t: n * weight[t] for t, n in b.items() if t in weight}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        vector[i] = {t: x / norm for t, x in v.items()}
+
+    def vote(i, examples):
+        c = {j: sum(x * vector[j].get(t, 0) for t, x in vector[i].items()) for j in examples}
+        near = sorted((j for j in examples if c[j] > 0), key=lambda j: (-round(c[j], 12), j))[:15]
+        w = [1 / (1.05 - min(1, c[j])) for j in near]
+        return near, [c[j] for j in near], sum(a * labels[j] for a, j in zip(w, near)) / sum(w) if near else -1
+
+    own = {i: vote(i, [j for j in train if j != i])[2] for i in train}
+    steps = sorted({round(v, 3) for v in own.values() if v >= 0})
+    n, toxic = ([sum(f(i) for i in train if round(own[i], 3) == s) for s in steps] for f in (lambda i: 1, lambda i: labels[i]))
+    # Isotonic regression by its formula: the largest over beginnings of the smallest over ends of the means, pooled where they are the same.
+    means = [max(min(sum(toxic[a:b]) / sum(n[a:b]) for b in range(k + 1, len(steps) + 1)) for a in range(k + 1)) for k in range(len(steps))]
+    pool = lambda k: [j for j in range(len(steps)) if abs(means[j] - means[k]) < 1e-12]
+    rate = [(sum(toxic[j] for j in pool(k)) + 0.05) / (sum(n[j] for j in pool(k)) + 0.5) for k in range(len(steps))]
+    rate = [max(rate[: k + 1]) for k in range(len(steps))]
+    for i in docs:
+        near, cosines, v = vote(i, train)
+        assert [e.example for e in got[i].evidence] == near and np.allclose([e.cosine for e in got[i].evidence], cosines)
+        if near:
+            assert got[i].score == pytest.approx(rate[max([k for k, s in enumerate(steps) if s <= round(v, 3)], default=0)])
+
+
+#: Everything but letters, digits and the underscore (of the characters of these documents) stands between words.
+SPLIT = {c: " " for c in range(0x3000) if not (chr(c).isalnum() or chr(c) == "_")}
 
 
 def test_toxicity_of_awkward_rows(spark, awkward, none):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(8, None), (9, 7), (None, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)] + [(8, None), (9, 7), (None, 1), (10, 0), (10, 1)], "doc_id long, toxic int")
     model = toxicity.fit(awkward, labels)
+    assert sorted(model.ids) == list(range(8))
     got = toxicity.score(awkward, model).collect()
     assert len(got) == awkward.count() and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(none, model).count() == 0
     blank = toxicity.fit(awkward, labels.filter("false"))
     assert {r.score for r in toxicity.score(awkward, blank).collect()} == {0.0}
+    named = awkward.withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+    texts = toxicity.fit(named, labels.withColumn("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string"))))
+    assert Counter((r.doc_id, r.score) for r in toxicity.score(named, texts).collect()) == Counter((None if r.doc_id is None else f"doc {r.doc_id}", r.score) for r in got)
 
 
 @pytest.fixture(scope="module")
 def examples():
     r = np.random.default_rng(2)
     n, t = 300, 40
-    rows = [sorted(r.choice(t, r.integers(1, 8), replace=False).tolist()) for _ in range(n)]
+    rows = [(np.sort(r.choice(t, k, replace=False)), r.integers(1, 4, k)) for k in r.integers(1, 8, n)]
     rows[5] = rows[6] = rows[200]
-    idf = r.random(t) + 0.5
-    return toxicity.Model([f"t{i:02d}@1" for i in range(t)], idf, np.arange(n) * 3, (r.random(n) < 0.4).astype(float), np.ones(n), rows, 0.1), idf
-
-
-def test_neighbours_against_all(examples):
-    model, idf = examples
-    dense = np.zeros((len(model.rows), len(idf)))
-    for i, r in enumerate(model.rows):
-        dense[i, r] = idf[r]
-    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
-    r = np.random.default_rng(4)
+    rows[7] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    weight = r.random(t) + 0.5
+    return toxicity.Model([f"t{i:02d}" for i in range(t)], weight, (np.arange(n) * 3).tolist(), (r.random(n) < 0.4).astype(float), rows, 0.1), weight
+
+
+def test_neighbours_against_all(examples, monkeypatch):
+    model, weight = examples
+    dense = np.zeros((len(model.rows), len(weight)))
+    for i, (t, n) in enumerate(model.rows):
+        dense[i, t] = n * weight[t]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    r, ids = np.random.default_rng(4), np.array(model.ids)
+    assert ids.tolist() != sorted(ids.tolist())  # the blocks are in another order
     for _ in range(60):
-        found = tuple(sorted(r.choice(len(idf), r.integers(1, 9), replace=False).tolist()))
-        q = np.zeros(len(idf))
-        q[list(found)] = idf[list(found)]
+        found = np.sort(r.choice(len(weight), r.integers(1, 9), replace=False))
+        n = r.integers(1, 5, len(found))
+        q = np.zeros(len(weight))
+        q[found] = n * weight[found]
         cosines = dense @ (q / np.linalg.norm(q))
-        want = [i for i in np.lexsort((model.ids, -np.round(cosines, 12))) if cosines[i] > 0][: model.k]
-        best, c = model.nearest(found)
-        assert model.ids[best].tolist() == model.ids[want].tolist() and np.allclose(c, cosines[want])
-        score, ids, _ = model.score(found)
-        assert 0 <= score <= 1 and ids == model.ids[best[:5]].tolist()
-    assert model.score(()) == (0.1, [], []) and (np.diff(model.rates) >= 0).all()
-
-
-def test_terms_count_occurrences():
-    assert set(toxicity.terms("Stupid stupid x")) == {f"{b}@{i}" for b in ("stup", "stupi", "stupid") for i in (1, 2)}
-    m = toxicity.Matcher(["stup@1", "stup@2", "none@1"])
-    assert m.find("STUPID, stupor?") == (0, 1) and m.find(None) == () and m.find("stupid") == (0,)
-
-
-def test_all_labelled_rows_are_examples(spark):
-    n = 3200
-    docs = spark.createDataFrame([(i, "rude " * 6 if i % 2 else "rude " * 5 + "kind") for i in range(n)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+        want = [i for i in np.lexsort((ids, -np.round(cosines, 12))) if cosines[i] > 0][: model.k]
+        best, c = model.nearest(found, n)
+        assert ids[best].tolist() == ids[want].tolist() and np.allclose(c, cosines[want])
+        score, near, _ = model.score(found, n)
+        assert 0 <= score <= 1 and near == ids[best].tolist()
+    nothing = np.zeros(0, np.int64)
+    assert model.score(nothing, nothing) == (0.1, [], []) and (np.diff(model.rates) >= 0).all()
+
+
+def test_blocks_below_the_last_neighbour_are_passed_over(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 20)
+    rows = [(np.array([i // 20, 40]), np.array([9, 1])) for i in range(800)]
+    model = toxicity.Model([f"t{i}" for i in range(41)], np.ones(41), list(range(800)), np.zeros(800), rows, 0.1)
+    scored = []
+    plain = np.bincount
+    monkeypatch.setattr(toxicity.np, "bincount", lambda x, w=None, minlength=0: scored.append(len(x)) or plain(x, w, minlength))
+    best, _ = model.nearest(np.array([7, 40]), np.array([1, 1]))
+    # Bounds over the entries of both terms, then three blocks of 20 examples: one with both terms, two with the common one.
+    assert scored == [1 + 40, 2 * 20 + 20 + 20] and best.tolist() == list(range(140, 155))
+
+
+def test_terms_of_texts():
+    assert toxicity.counts("Stupid stupid x 12345") == Counter({"stupid": 2, "stup*": 2, "stupi*": 2, "stupid*": 2, "x": 1, "12345": 1})
+    m = toxicity.Matcher(["stup*", "x", "none"], most=1)
+    t, n, cuts = m.find(["STUPID, stupor? x", None, "none stupid none"])
+    assert t.tolist() == [0, 1, 0, 2] and n.tolist() == [2, 1, 1, 2] and cuts.tolist() == [0, 2, 2, 4]
+    assert len(toxicity.terms("y" * 1000)[0]) == 33 and m.find([])[2].tolist() == [0]
+
+
+def test_all_labelled_rows_are_examples_up_to_the_bound(spark):
+    n = 1600
+    docs = spark.createDataFrame([(i, "rude " * 6 if i % 2 else "rude " * 5 + "kind") for i in range(n)] + [(4, "rude")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)] + [(5, 1)] * 9, "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert model.vocabulary == ["kind@1", "rude@6"] and sorted(model.ids.tolist()) == list(range(n))
-    assert all((r.score > 0.9) == (r.doc_id % 2) for r in toxicity.score(docs, model).collect())
+    assert {"kind", "rude", "rude*"} <= set(model.vocabulary) and sorted(model.ids) == list(range(n))
+    assert all((r.score > 0.9) == (r.doc_id % 2) for r in toxicity.score(docs, model).filter("doc_id <> 4").collect())
+    assert len(toxicity.fit(docs, labels, labelled=100).ids) == 100
 
 
 # Top-k
