@@ -1,13 +1,14 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are all words of a text (lower-cased) and the beginnings (4, 5 and 6 letters) of its words, each with its number of
+Terms are all words of a text (lower-cased) and the beginnings (5 letters) of its words, each with its number of
 occurrences. A term weighs occurrences x IDF x relevance: document frequencies are counted over all documents, and the relevance
 r = FLOOR + (g / (g + RATIO))^2 rises with the log-likelihood ratio g that ties the term to either label among the training rows.
 So every word counts, and words that tell the labels apart count most. All training rows are examples.
 
-Examples that share their weightiest terms stand together in blocks. Each term has postings (examples and their weights) and, for
-each block that it occurs in, its largest weight there. For a text the blocks are ordered by the sum of its terms' block maxima;
-the first ones are scored through their postings, then all others whose sum reaches the k-th cosine found. The k nearest examples
+Examples that share their weightiest terms stand together in blocks. Each term has postings (examples and their weights; those of
+common terms as a row of all examples) and, for each block that it occurs in, its largest weight there. For a text the blocks are
+ordered by the sum of its terms' block maxima; the first ones are scored through their postings, then all others whose sum reaches
+the k-th cosine found. Texts are scored some at a time, block by block. The k nearest examples
 vote with weights that fall with their distance; votes are made probabilities by a monotone map fitted to the examples' own
 leave-one-out votes, which tasks share. The evidence of a score is all examples that voted. Texts that have no term in common with
 any example get the smoothed rate of the training rows without words.
@@ -35,11 +36,13 @@ from pyspark.sql import functions as F
 from .common import arrow_type, chunks, labelled_rows, materialized
 
 WORD = re.compile(r"\w+")
-LENGTHS = (4, 5, 6)
+LENGTHS = (5,)
 #: Labelled rows that are learnt from, at most; the log-likelihood ratio at which relevance is a quarter, and what every term has at least.
 LABELLED, RATIO, FLOOR = 3_000, 15.0, 0.03
-#: Examples of a block, blocks that are scored before the others are held against the k-th cosine.
-BLOCK, FIRST = 64, 3
+#: Examples of a block, blocks that are scored before the others are held against the k-th cosine, texts that are scored side by side.
+BLOCK, FIRST, AT_ONCE = 64, 3, 256
+#: Terms that more than one in so many examples has are kept as rows of all examples.
+COMMON = 12
 FLUSH = 400_000
 #: Words longer than this are known by a hash, so that terms stay short.
 LONG = 64
@@ -76,25 +79,38 @@ class Matcher:
     def __init__(self, vocabulary: list[str], most: int = 300_000):
         index, outer = {t: i for i, t in enumerate(vocabulary)}, self
         self.size, self.most = max(1, len(vocabulary)), most
+        self.found: list[list[int]] = []  # terms of each word that is remembered
 
         class Known(dict):
-            def __missing__(self, word: str) -> tuple[int, ...]:
-                if len(self) >= outer.most:
-                    self.clear()
-                found = self[word] = tuple(index[t] for t in terms(word) if t in index)
-                return found
+            def __missing__(self, word: str) -> int:
+                n = self[word] = len(self)
+                outer.found.append([index[t] for t in terms(word) if t in index])
+                return n
 
         self.known = Known()
 
     def find(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms of all texts, text after text and in order, their occurrences, and where each text's terms begin (n + 1 places)."""
-        found, sizes = [], []
-        for t in texts:
-            own = np.fromiter(chain.from_iterable(map(self.known.__getitem__, words(t))), np.int64)
-            found.append(own)
-            sizes.append(len(own))
-        key = np.repeat(np.arange(len(texts)), sizes) * self.size + np.concatenate(found) if texts else np.zeros(0, np.int64)
-        key, n = np.unique(key, return_counts=True)
+        if len(self.known) > self.most:
+            self.known.clear()
+            self.found.clear()
+        split = [words(t) for t in texts]
+        sizes = [len(w) for w in split]
+        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
+        # First each text's different words, then what their terms add up to.
+        m = max(1, len(self.known))
+        key, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * m + word, return_counts=True)
+        text, word = np.divmod(key, m)
+        met, place = np.unique(word, return_inverse=True)
+        lists = [self.found[w] for w in met.tolist()]
+        lengths = np.array([len(x) for x in lists], np.int64)
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum()))
+        runs = lengths[place]
+        key = np.repeat(text, runs) * self.size + flat[spread((np.cumsum(lengths) - lengths)[place], runs)]
+        by = np.argsort(key)
+        key, n = key[by], np.repeat(n, runs)[by]
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        key, n = key[at], np.add.reduceat(n, at) if len(at) else n
         return key % self.size, n, np.searchsorted(key, np.arange(len(texts) + 1) * self.size)
 
 
@@ -117,72 +133,114 @@ class Model:
         heavy = [t[np.lexsort((t, -v))][:4].tolist() for (t, _), v in zip(self.rows, scaled)]
         order = sorted(range(len(self.rows)), key=lambda i: (heavy[i], self.ids[i]))
         self.ids, self.labels, self.rows = [self.ids[i] for i in order], np.asarray(self.labels, float)[order], [self.rows[i] for i in order]
-        place = sorted(range(len(order)), key=lambda i: self.ids[i])
-        self.by_id = np.empty(len(order), np.int64)  # examples' ranks in order of id
-        self.by_id[place] = np.arange(len(order))
-        self.n_blocks = -(-len(order) // BLOCK)
-        norms = [np.sqrt((scaled[i] ** 2).sum()) or 1.0 for i in order]
+        self.steps, self.rates = np.array([0.0]), np.array([0.0])
+        self._index()
+        if self.calibrated:
+            self.calibrate(np.array(self.own_votes(list(range(len(self.rows))))))
+
+    def _index(self) -> None:
+        """Postings by term and example; entries: one for each term and block, with its range of postings and its largest value."""
+        n, self.n_blocks = len(self.rows), -(-len(self.rows) // BLOCK)
+        self.by_id = np.empty(n, np.int64)  # examples' ranks in order of id
+        self.by_id[sorted(range(n), key=lambda i: self.ids[i])] = np.arange(n)
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.rows)])
-        owner = np.repeat(np.arange(len(order)), [len(t) for t, _ in self.rows])
-        value = np.concatenate([np.zeros(0), *(scaled[i] / n for i, n in zip(order, norms))])
+        owner = np.repeat(np.arange(n), [len(t) for t, _ in self.rows])
+        value = np.concatenate([np.zeros(0), *(m for _, m in self.rows)]) * self.weight[term]
+        norms = np.sqrt(np.bincount(owner, value**2, n))
+        value /= np.where(norms > 0, norms, 1.0)[owner]
         by = np.lexsort((owner, term))
-        # Postings by term and example; entries: one for each term and block, with its range of postings and its largest value.
-        term, self.owner, self.value = term[by], owner[by].astype(np.int32), value[by]
+        term, owner, value = term[by], owner[by], value[by]
+        # Common terms: a row of all examples' weights each, and one of all blocks' maxima.
+        often = np.bincount(term, minlength=len(self.vocabulary)) > n / COMMON
+        self.column = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), self.n_blocks * BLOCK))
+        self.dense[self.column[term[often[term]]], owner[often[term]]] = value[often[term]]
+        self.dense_most = self.dense.reshape(len(self.dense), self.n_blocks, BLOCK).max(2) if n else np.zeros((len(self.dense), 0))
+        # Others: postings, and entries with their ranges of postings.
+        rare = ~often[term]
+        term, self.owner, self.value = term[rare], owner[rare].astype(np.int32), value[rare]
         key = term * max(1, self.n_blocks) + self.owner // BLOCK
         at = np.flatnonzero(np.diff(key, prepend=-1))
-        self.entry_block, self.entry_start = (key[at] % max(1, self.n_blocks)).astype(np.int32), at.astype(np.int32)
-        self.entry_size = np.diff(np.append(at, len(key))).astype(np.int32)
+        self.entry_block, self.entry_start = (key[at] % max(1, self.n_blocks)).astype(np.int32), at
+        self.entry_size = np.diff(np.append(at, len(key)))
         self.entry_most = np.maximum.reduceat(self.value, at) if len(at) else np.zeros(0)
         self.entries = np.searchsorted(key[at], np.arange(len(self.vocabulary) + 1) * max(1, self.n_blocks))
-        self.steps, self.rates = np.array([0.0]), np.array([0.0])
-        if self.calibrated:
-            self.calibrate(np.array([self.vote(*r, i)[0] for i, r in enumerate(self.rows)]))
 
-    def nearest(self, found: np.ndarray, n: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples of a text with these terms, so many times each, and their cosines, nearest first; examples without
-        a common term are no neighbours."""
-        none = np.zeros(0, np.int64), np.zeros(0)
+    def __getstate__(self) -> dict:
+        """What tasks need to build the index again, as few bytes as that takes."""
+        flat = [np.concatenate([np.zeros(0, np.int32), *(r[k] for r in self.rows)]).astype(np.int32) for k in (0, 1)]
+        kept = ("weight", "ids", "labels", "none_rate", "k", "calibrated", "steps", "rates")
+        return {"words": "\n".join(self.vocabulary), "flat": flat, "sizes": [len(t) for t, _ in self.rows], **{name: getattr(self, name) for name in kept}}
+
+    def __setstate__(self, state: dict) -> None:
+        words, flat, cuts = state.pop("words"), state.pop("flat"), np.cumsum(state.pop("sizes"))[:-1]
+        self.__dict__.update(state)
+        self.vocabulary = words.split("\n") if words else []
+        self.rows = list(zip(*(np.split(f.astype(np.int64), cuts) for f in flat))) if len(self.ids) else []
+        self._index()
+
+    def nearest(self, found: np.ndarray, n: np.ndarray, cuts: np.ndarray, skip: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (terms found[a:b], so many times each) its k nearest examples and their cosines, nearest first; examples
+        without a common term are no neighbours, nor is the example `skip` of a text."""
+        texts, width = len(cuts) - 1, self.n_blocks * BLOCK
+        if not texts or not width:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * texts
+        owner = np.repeat(np.arange(texts), np.diff(cuts))
         q = n * self.weight[found]
-        norm = np.sqrt((q**2).sum())
-        if not norm or not len(self.rows):
-            return none
-        q = q / norm
-        first, sizes = self.entries[found], self.entries[found + 1] - self.entries[found]
-        e, weight = spread(first, sizes), np.repeat(q, sizes)
+        norms = np.sqrt(np.bincount(owner, q**2, texts))
+        q = q / np.where(norms > 0, norms, 1.0)[owner]
+        column = self.column[found]
+        common = np.zeros((texts, len(self.dense)))
+        common[owner[column >= 0], column[column >= 0]] = q[column >= 0]
+        first, runs = self.entries[found], self.entries[found + 1] - self.entries[found]
+        e, text, weight = spread(first, runs), np.repeat(owner, runs), np.repeat(q, runs)
         block = self.entry_block[e]
-        bound = np.bincount(block, weight * self.entry_most[e], self.n_blocks)
-        line = np.argsort(-bound, kind="stable")
-        line = line[bound[line] > 0]
-        best, cosines = none
-        for part in (line[:FIRST], line[FIRST:]):
-            if len(best) == self.k:
-                # Rounding must not cost a neighbour.
-                part = part[bound[part] >= cosines[-1] - 1e-11]
-            if not len(part):
-                break
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[part] = True
-            mine = chosen[block]
-            runs = self.entry_size[e[mine]].astype(np.int64)
-            p = spread(self.entry_start[e[mine]].astype(np.int64), runs)
-            acc = np.bincount(self.owner[p], np.repeat(weight[mine], runs) * self.value[p], len(self.rows))
-            at = np.flatnonzero(acc)
-            at = at[at != skip]
-            if len(at) > 4 * self.k:
-                least = np.partition(acc[at], len(at) - self.k)[len(at) - self.k] - 1e-11
-                at = at[acc[at] >= least]
-            best, cosines = np.concatenate([best, at]), np.concatenate([cosines, acc[at]])
-            order = np.lexsort((self.by_id[best], -np.round(cosines, 12)))[: self.k]
-            best, cosines = best[order], cosines[order]
-        return best, cosines
-
-    def vote(self, found: np.ndarray, n: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic among the neighbours, by weights that fall with the distance; -1 without neighbours."""
-        best, cosines = self.nearest(found, n, skip)
-        if not len(best):
-            return -1.0, best, cosines
-        w = 1 / (1 - np.minimum(cosines, 1.0) + 0.05)
-        return float((w * self.labels[best]).sum() / w.sum()), best, cosines
+        bound = common @ self.dense_most + np.bincount(text * self.n_blocks + block, weight * self.entry_most[e], texts * self.n_blocks).reshape(texts, self.n_blocks)
+        acc, least = np.zeros((texts, width)), np.zeros(texts)
+        line = np.argsort(-bound, axis=1, kind="stable")
+        chosen = np.zeros(bound.shape, bool)
+        np.put_along_axis(chosen, line[:, :FIRST], True, axis=1)
+        chosen &= bound > 0
+        self.scored = chosen.sum(1)
+        for last in (False, True):
+            for b in np.flatnonzero(chosen.any(0)):
+                who = np.flatnonzero(chosen[:, b])
+                acc[who, b * BLOCK : (b + 1) * BLOCK] += common[who] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+            mine = np.flatnonzero(chosen[text, block])
+            size = self.entry_size[e[mine]]
+            p = spread(self.entry_start[e[mine]], size)
+            acc += np.bincount(np.repeat(text[mine], size) * width + self.owner[p], np.repeat(weight[mine], size) * self.value[p], texts * width).reshape(texts, width)
+            if skip is not None:
+                acc[np.flatnonzero(skip >= 0), skip[skip >= 0]] = 0
+            if not last:
+                if width > self.k:
+                    least = np.partition(acc, width - self.k, axis=1)[:, width - self.k]
+                # All other blocks that may hold a neighbour; rounding must not cost one.
+                chosen = ~chosen & (bound > 0) & (bound >= least[:, None] - 1e-11)
+                self.scored += chosen.sum(1)
+        out = []
+        if width > self.k:
+            least = np.partition(acc, width - self.k, axis=1)[:, width - self.k]
+        for row, limit in zip(acc, least):
+            at = np.flatnonzero((row > 0) & (row >= limit - 1e-11))
+            order = np.lexsort((self.by_id[at], -np.round(row[at], 12)))[: self.k]
+            out.append((at[order], row[at[order]]))
+        return out
+
+    def votes(self, found: np.ndarray, n: np.ndarray, cuts: np.ndarray, skip: np.ndarray | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text the share of toxic among its neighbours, by weights that fall with the distance (-1 without neighbours), and these."""
+        out = []
+        for a in range(0, len(cuts) - 1, AT_ONCE):
+            part = cuts[a : a + AT_ONCE + 1]
+            for best, cosines in self.nearest(found[part[0] : part[-1]], n[part[0] : part[-1]], part - part[0], None if skip is None else skip[a : a + AT_ONCE]):
+                w = 1 / (1 - np.minimum(cosines, 1.0) + 0.05)
+                out.append((float((w * self.labels[best]).sum() / w.sum()) if len(best) else -1.0, best, cosines))
+        return out
+
+    def own_votes(self, examples: list[int]) -> list[float]:
+        """The votes of examples for each other: what it would have been without itself among them."""
+        t, n = (np.concatenate([np.zeros(0, np.int64), *(self.rows[i][k] for i in examples)]) for k in (0, 1))
+        return [v for v, _, _ in self.votes(t, n, np.cumsum([0, *(len(self.rows[i][0]) for i in examples)]), np.array(examples, np.int64))]
 
     def calibrate(self, votes: np.ndarray) -> None:
         """Isotonic regression of the labels on the leave-one-out votes (pool adjacent violators), lightly smoothed."""
@@ -200,11 +258,13 @@ class Model:
             g = np.array(groups)
             self.steps, self.rates = g[:, 0], np.maximum.accumulate((g[:, 2] + 0.05) / (g[:, 1] + 0.5))
 
-    def score(self, found: np.ndarray, n: np.ndarray) -> tuple[float, list, list[float]]:
-        """Score, ids and cosines of all examples that voted."""
-        vote, best, cosines = self.vote(found, n)
-        at = max(0, int(np.searchsorted(self.steps, round(vote, 3), "right")) - 1)
-        return (self.none_rate, [], []) if vote < 0 else (float(self.rates[at]), [self.ids[b] for b in best], cosines.tolist())
+    def score(self, found: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> list[tuple[float, list, list[float]]]:
+        """For each text its score, and ids and cosines of all examples that voted."""
+        out = []
+        for vote, best, cosines in self.votes(found, n, cuts):
+            at = max(0, int(np.searchsorted(self.steps, round(vote, 3), "right")) - 1)
+            out.append((self.none_rate, [], []) if vote < 0 else (float(self.rates[at]), [self.ids[b] for b in best], cosines.tolist()))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -263,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Co
     id_type = docs.schema[id_col].dataType.simpleString()
     # Bounded by `labelled`, too.
     vectors = rows.mapInArrow(found, f"id {id_type}, y int, t array<int>, n array<int>").orderBy("id").toArrow()
-    sent.unpersist()
+    sent.destroy()
     ids, y = vectors.column("id").to_pylist(), vectors.column("y").to_numpy().astype(float)
     pairs = [(t.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.int64)) for t, n in zip(vectors.column("t"), vectors.column("n"))]
     wordless = np.array([not len(t) for t, _ in pairs], bool)
@@ -273,12 +333,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Co
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            votes = [model.vote(*model.rows[i], i)[0] for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], ["id", "vote"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.own_votes(batch.column(0).to_pylist()), pa.float64())], ["id", "vote"])
 
     votes = docs.sparkSession.range(0, len(ids), 1, max(1, len(ids) // 300)).mapInArrow(own_votes, "id long, vote double")
     model.calibrate(np.array([r.vote for r in sorted(votes.collect())]))
-    shared.unpersist()
+    shared.destroy()
     return model
 
 
@@ -307,8 +366,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             # Equal texts are scored once while they are remembered.
             digests = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
             new = {d: t for d, t in zip(digests, texts) if d not in memory}
-            t, n, cuts = matcher.find(list(new.values()))
-            fresh = {d: model.score(t[a:b], n[a:b]) for d, a, b in zip(new, cuts[:-1], cuts[1:])}
+            fresh = dict(zip(new, model.score(*matcher.find(list(new.values())))))
             rows = [fresh.get(d) or memory[d] for d in digests]
             if len(memory) > 5_000:
                 memory.clear()

@@ -1,3 +1,4 @@
+import pickle
 import zlib
 from collections import Counter
 
@@ -170,30 +171,30 @@ def test_neighbours_against_all(examples, monkeypatch):
         q[found] = n * weight[found]
         cosines = dense @ (q / np.linalg.norm(q))
         want = [i for i in np.lexsort((ids, -np.round(cosines, 12))) if cosines[i] > 0][: model.k]
-        best, c = model.nearest(found, n)
+        best, c = model.nearest(found, n, np.array([0, len(found)]))[0]
         assert ids[best].tolist() == ids[want].tolist() and np.allclose(c, cosines[want])
-        score, near, _ = model.score(found, n)
-        assert 0 <= score <= 1 and near == ids[best].tolist()
-    nothing = np.zeros(0, np.int64)
-    assert model.score(nothing, nothing) == (0.1, [], []) and (np.diff(model.rates) >= 0).all()
+        (empty, (score, near, _)) = model.score(found, n, np.array([0, 0, len(found)]))
+        assert 0 <= score <= 1 and near == ids[best].tolist() and empty == (0.1, [], [])
+    assert (np.diff(model.rates) >= 0).all()
+    again = pickle.loads(pickle.dumps(model))
+    assert again.score(found, n, np.array([0, len(found)])) == model.score(found, n, np.array([0, len(found)]))
 
 
 def test_blocks_below_the_last_neighbour_are_passed_over(monkeypatch):
     monkeypatch.setattr(toxicity, "BLOCK", 20)
     rows = [(np.array([i // 20, 40]), np.array([9, 1])) for i in range(800)]
     model = toxicity.Model([f"t{i}" for i in range(41)], np.ones(41), list(range(800)), np.zeros(800), rows, 0.1)
-    scored = []
-    plain = np.bincount
-    monkeypatch.setattr(toxicity.np, "bincount", lambda x, w=None, minlength=0: scored.append(len(x)) or plain(x, w, minlength))
-    best, _ = model.nearest(np.array([7, 40]), np.array([1, 1]))
-    # Bounds over the entries of both terms, then three blocks of 20 examples: one with both terms, two with the common one.
-    assert scored == [1 + 40, 2 * 20 + 20 + 20] and best.tolist() == list(range(140, 155))
+    (best, _), (_, c) = model.nearest(np.array([7, 40, 40]), np.array([1, 1, 1]), np.array([0, 2, 3]))
+    # With both terms the block of the seventh is enough; with the common one alone all blocks may hold neighbours.
+    assert model.scored.tolist() == [3, 40] and best.tolist() == list(range(140, 155)) and len(c) == 15
+    assert len(model.dense) == 1 and len(model.owner) == 800
 
 
 def test_terms_of_texts():
-    assert toxicity.counts("Stupid stupid x 12345") == Counter({"stupid": 2, "stup*": 2, "stupi*": 2, "stupid*": 2, "x": 1, "12345": 1})
-    m = toxicity.Matcher(["stup*", "x", "none"], most=1)
-    t, n, cuts = m.find(["STUPID, stupor? x", None, "none stupid none"])
+    assert toxicity.counts("Stupid stupid x 12345") == Counter({"stupid": 2, "stupi*": 2, "x": 1, "12345": 1})
+    m = toxicity.Matcher(["stupi*", "x", "none"], most=1)
+    m.find(["x none y"])
+    t, n, cuts = m.find(["STUPID, stupified? x", None, "none stupid none"])
     assert t.tolist() == [0, 1, 0, 2] and n.tolist() == [2, 1, 1, 2] and cuts.tolist() == [0, 2, 2, 4]
     assert len(toxicity.terms("y" * 1000)[0]) == 33 and m.find([])[2].tolist() == [0]
 
@@ -203,7 +204,7 @@ def test_all_labelled_rows_are_examples_up_to_the_bound(spark):
     docs = spark.createDataFrame([(i, "rude " * 6 if i % 2 else "rude " * 5 + "kind") for i in range(n)] + [(4, "rude")] * 3, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(n)] + [(5, 1)] * 9, "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
-    assert {"kind", "rude", "rude*"} <= set(model.vocabulary) and sorted(model.ids) == list(range(n))
+    assert {"kind", "rude"} <= set(model.vocabulary) and sorted(model.ids) == list(range(n))
     assert all((r.score > 0.9) == (r.doc_id % 2) for r in toxicity.score(docs, model).filter("doc_id <> 4").collect())
     assert len(toxicity.fit(docs, labels, labelled=100).ids) == 100
 
