@@ -1,14 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are all words of a text (lower-cased) and the beginnings (5 letters) of its words, each with its number of
-occurrences. A term weighs occurrences x IDF x relevance: document frequencies are counted over all documents, and the relevance
+Terms are all words of a text (runs of digits, letters and non-ASCII characters, A-Z lower-cased) and the beginnings (5 characters)
+of its words, each with its number of occurrences; they are known by 64-bit hashes. A term weighs occurrences x IDF x relevance: document frequencies are counted over all documents, and the relevance
 r = FLOOR + (g / (g + RATIO))^2 rises with the log-likelihood ratio g that ties the term to either label among the training rows.
 So every word counts, and words that tell the labels apart count most. All training rows are examples.
 
-Examples that share their weightiest terms stand together in blocks. Each term has postings (examples and their weights; those of
-common terms as a row of all examples) and, for each block that it occurs in, its largest weight there. For a text the blocks are
-ordered by the sum of its terms' block maxima; the first ones are scored through their postings, then all others whose sum reaches
-the k-th cosine found. Texts are scored some at a time, block by block. The k nearest examples
+Examples that share their weightiest terms stand together in blocks. Each term has postings, the examples that have it and their
+weights; those of common terms stand as a row of all examples, with the largest weight of each block. For a text the postings of
+its rarer terms are added up; a block's largest sum and its common terms' block maxima bound its cosines. The blocks of the largest
+bounds are scored in whole, then all others whose bound reaches the k-th cosine found. Texts are scored some at a time, block by
+block. The k nearest examples
 vote with weights that fall with their distance; votes are made probabilities by a monotone map fitted to the examples' own
 leave-one-out votes, which tasks share. The evidence of a score is all examples that voted. Texts that have no term in common with
 any example get the smoothed rate of the training rows without words.
@@ -22,8 +23,6 @@ type that can be ordered; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -33,38 +32,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, chunks, labelled_rows, materialized
+from .common import arrow_type, chunks, labelled_rows, materialized, text_bytes, word_hashes, word_spans
 
-WORD = re.compile(r"\w+")
-LENGTHS = (5,)
+#: Characters of a word's beginning.
+BEGINNING = 5
 #: Labelled rows that are learnt from, at most; the log-likelihood ratio at which relevance is a quarter, and what every term has at least.
 LABELLED, RATIO, FLOOR = 3_000, 15.0, 0.03
 #: Examples of a block, blocks that are scored before the others are held against the k-th cosine, texts that are scored side by side.
-BLOCK, FIRST, AT_ONCE = 64, 3, 256
+BLOCK, FIRST, AT_ONCE = 64, 3, 64
+#: Cosines that agree to so many digits are ties; bounds are taken for reached if they fall short by less than that.
+DIGITS, SLACK = 9, 2e-9
 #: Terms that more than one in so many examples has are kept as rows of all examples.
 COMMON = 12
-FLUSH = 400_000
-#: Words longer than this are known by a hash, so that terms stay short.
-LONG = 64
+FLUSH = 2_000_000
 
 
-def terms(word: str) -> list[str]:
-    """The terms of a word: itself and its beginnings, which a star marks."""
-    whole = word if len(word) <= LONG else "#" + hashlib.blake2b(word.encode(), digest_size=16).hexdigest()
-    return [whole, *(word[:k] + "*" for k in LENGTHS if len(word) >= k and not word[:k].isdigit())]
-
-
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
-
-
-def counts(text: str | None) -> Counter:
-    """Occurrences of a text's terms."""
-    out: Counter = Counter()
-    for w, n in Counter(words(text)).items():
-        for t in terms(w):
-            out[t] += n
-    return out
+def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of all texts as 64-bit hashes, one for each occurrence, and the number of each one's text."""
+    flat, starts = text_bytes(texts)
+    low, begin, end = word_spans(flat)
+    text = np.searchsorted(starts, begin, "right") - 1
+    whole = word_hashes(low, begin, end)
+    # Where characters begin; between words every byte does.
+    chars = np.flatnonzero((low & 0xC0) != 0x80)
+    past = chars[np.minimum(np.searchsorted(chars, begin) + BEGINNING, len(chars) - 1)] if len(chars) else begin
+    long = past <= end
+    with np.errstate(over="ignore"):
+        first = word_hashes(low, begin[long], past[long]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
+    return np.concatenate([whole, first]).view(np.int64), np.concatenate([text, text[long]])
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -73,52 +68,26 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
-class Matcher:
-    """Finds a vocabulary's terms in texts, with a bounded memory of words."""
-
-    def __init__(self, vocabulary: list[str], most: int = 300_000):
-        index, outer = {t: i for i, t in enumerate(vocabulary)}, self
-        self.size, self.most = max(1, len(vocabulary)), most
-        self.found: list[list[int]] = []  # terms of each word that is remembered
-
-        class Known(dict):
-            def __missing__(self, word: str) -> int:
-                n = self[word] = len(self)
-                outer.found.append([index[t] for t in terms(word) if t in index])
-                return n
-
-        self.known = Known()
-
-    def find(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms of all texts, text after text and in order, their occurrences, and where each text's terms begin (n + 1 places)."""
-        if len(self.known) > self.most:
-            self.known.clear()
-            self.found.clear()
-        split = [words(t) for t in texts]
-        sizes = [len(w) for w in split]
-        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
-        # First each text's different words, then what their terms add up to.
-        m = max(1, len(self.known))
-        key, n = np.unique(np.repeat(np.arange(len(texts)), sizes) * m + word, return_counts=True)
-        text, word = np.divmod(key, m)
-        met, place = np.unique(word, return_inverse=True)
-        lists = [self.found[w] for w in met.tolist()]
-        lengths = np.array([len(x) for x in lists], np.int64)
-        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(lengths.sum()))
-        runs = lengths[place]
-        key = np.repeat(text, runs) * self.size + flat[spread((np.cumsum(lengths) - lengths)[place], runs)]
-        by = np.argsort(key)
-        key, n = key[by], np.repeat(n, runs)[by]
-        at = np.flatnonzero(np.diff(key, prepend=-1))
-        key, n = key[at], np.add.reduceat(n, at) if len(at) else n
-        return key % self.size, n, np.searchsorted(key, np.arange(len(texts) + 1) * self.size)
+def find(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in the (sorted) vocabulary of all texts' terms, text after text and in order, their occurrences, and where each text's
+    terms begin (n + 1 places)."""
+    size = max(1, len(vocabulary))
+    key = np.zeros(0, np.int64)
+    if len(vocabulary):
+        term, text = terms(texts)
+        met, which = np.unique(term, return_inverse=True)
+        place = np.minimum(np.searchsorted(vocabulary, met), size - 1)
+        known = (vocabulary[place] == met)[which]
+        key = text[known] * size + place[which][known]
+    key, n = np.unique(key, return_counts=True)
+    return key % size, n, np.searchsorted(key, np.arange(len(texts) + 1) * size)
 
 
 @dataclass
 class Model:
     """rows: terms and occurrences of each example; weight: IDF x relevance of each term."""
 
-    vocabulary: list[str]
+    vocabulary: np.ndarray
     weight: np.ndarray
     ids: list
     labels: np.ndarray
@@ -156,26 +125,20 @@ class Model:
         self.dense = np.zeros((int(often.sum()), self.n_blocks * BLOCK))
         self.dense[self.column[term[often[term]]], owner[often[term]]] = value[often[term]]
         self.dense_most = self.dense.reshape(len(self.dense), self.n_blocks, BLOCK).max(2) if n else np.zeros((len(self.dense), 0))
-        # Others: postings, and entries with their ranges of postings.
+        # Others: postings by term.
         rare = ~often[term]
-        term, self.owner, self.value = term[rare], owner[rare].astype(np.int32), value[rare]
-        key = term * max(1, self.n_blocks) + self.owner // BLOCK
-        at = np.flatnonzero(np.diff(key, prepend=-1))
-        self.entry_block, self.entry_start = (key[at] % max(1, self.n_blocks)).astype(np.int32), at
-        self.entry_size = np.diff(np.append(at, len(key)))
-        self.entry_most = np.maximum.reduceat(self.value, at) if len(at) else np.zeros(0)
-        self.entries = np.searchsorted(key[at], np.arange(len(self.vocabulary) + 1) * max(1, self.n_blocks))
+        self.owner, self.value = owner[rare], value[rare]
+        self.postings = np.searchsorted(term[rare], np.arange(len(self.vocabulary) + 1))
 
     def __getstate__(self) -> dict:
         """What tasks need to build the index again, as few bytes as that takes."""
         flat = [np.concatenate([np.zeros(0, np.int32), *(r[k] for r in self.rows)]).astype(np.int32) for k in (0, 1)]
-        kept = ("weight", "ids", "labels", "none_rate", "k", "calibrated", "steps", "rates")
-        return {"words": "\n".join(self.vocabulary), "flat": flat, "sizes": [len(t) for t, _ in self.rows], **{name: getattr(self, name) for name in kept}}
+        kept = ("vocabulary", "weight", "ids", "labels", "none_rate", "k", "calibrated", "steps", "rates")
+        return {"flat": flat, "sizes": [len(t) for t, _ in self.rows], **{name: getattr(self, name) for name in kept}}
 
     def __setstate__(self, state: dict) -> None:
-        words, flat, cuts = state.pop("words"), state.pop("flat"), np.cumsum(state.pop("sizes"))[:-1]
+        flat, cuts = state.pop("flat"), np.cumsum(state.pop("sizes"))[:-1]
         self.__dict__.update(state)
-        self.vocabulary = words.split("\n") if words else []
         self.rows = list(zip(*(np.split(f.astype(np.int64), cuts) for f in flat))) if len(self.ids) else []
         self._index()
 
@@ -192,38 +155,38 @@ class Model:
         column = self.column[found]
         common = np.zeros((texts, len(self.dense)))
         common[owner[column >= 0], column[column >= 0]] = q[column >= 0]
-        first, runs = self.entries[found], self.entries[found + 1] - self.entries[found]
-        e, text, weight = spread(first, runs), np.repeat(owner, runs), np.repeat(q, runs)
-        block = self.entry_block[e]
-        bound = common @ self.dense_most + np.bincount(text * self.n_blocks + block, weight * self.entry_most[e], texts * self.n_blocks).reshape(texts, self.n_blocks)
-        acc, least = np.zeros((texts, width)), np.zeros(texts)
-        line = np.argsort(-bound, axis=1, kind="stable")
-        chosen = np.zeros(bound.shape, bool)
-        np.put_along_axis(chosen, line[:, :FIRST], True, axis=1)
-        chosen &= bound > 0
-        self.scored = chosen.sum(1)
+        # What the postings of the other terms add up to is known for all examples; for common terms a block's maxima bound it.
+        runs = self.postings[found + 1] - self.postings[found]
+        p = spread(self.postings[found], runs)
+        acc = np.bincount(np.repeat(owner * width, runs) + self.owner[p], np.repeat(q, runs) * self.value[p], texts * width).reshape(texts, width)
+        bound = common @ self.dense_most + acc.reshape(texts, self.n_blocks, BLOCK).max(2)
+        chosen, least = np.zeros(bound.shape, bool), np.zeros(texts)
+        np.put_along_axis(chosen, np.argpartition(-bound, min(FIRST, self.n_blocks) - 1, axis=1)[:, :FIRST], True, axis=1)
+        whole = np.zeros((texts, self.n_blocks, BLOCK))  # cosines of blocks that are scored
+        self.scored = 0
         for last in (False, True):
             for b in np.flatnonzero(chosen.any(0)):
                 who = np.flatnonzero(chosen[:, b])
-                acc[who, b * BLOCK : (b + 1) * BLOCK] += common[who] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
-            mine = np.flatnonzero(chosen[text, block])
-            size = self.entry_size[e[mine]]
-            p = spread(self.entry_start[e[mine]], size)
-            acc += np.bincount(np.repeat(text[mine], size) * width + self.owner[p], np.repeat(weight[mine], size) * self.value[p], texts * width).reshape(texts, width)
+                part = slice(b * BLOCK, (b + 1) * BLOCK)
+                whole[who, b] = acc[who, part] + common[who] @ self.dense[:, part]
+            self.scored += chosen.sum(1)
             if skip is not None:
-                acc[np.flatnonzero(skip >= 0), skip[skip >= 0]] = 0
+                own = np.flatnonzero(skip >= 0)
+                whole.reshape(texts, width)[own, skip[own]] = 0
             if not last:
-                if width > self.k:
-                    least = np.partition(acc, width - self.k, axis=1)[:, width - self.k]
-                # All other blocks that may hold a neighbour; rounding must not cost one.
-                chosen = ~chosen & (bound > 0) & (bound >= least[:, None] - 1e-11)
-                self.scored += chosen.sum(1)
+                # The k-th cosine of the first blocks; all others that reach it may hold a neighbour.
+                if FIRST * BLOCK > self.k:
+                    some = whole[chosen].reshape(texts, -1)
+                    if some.shape[1] > self.k:
+                        least = np.partition(some, some.shape[1] - self.k, axis=1)[:, some.shape[1] - self.k]
+                chosen = ~chosen & (bound > 0) & (bound >= least[:, None] - SLACK)
+        acc = whole.reshape(texts, width)
         out = []
         if width > self.k:
             least = np.partition(acc, width - self.k, axis=1)[:, width - self.k]
         for row, limit in zip(acc, least):
-            at = np.flatnonzero((row > 0) & (row >= limit - 1e-11))
-            order = np.lexsort((self.by_id[at], -np.round(row[at], 12)))[: self.k]
+            at = np.flatnonzero((row > 0) & (row >= limit - SLACK))
+            order = np.lexsort((self.by_id[at], -np.round(row[at], DIGITS)))[: self.k]
             out.append((at[order], row[at[order]]))
         return out
 
@@ -272,37 +235,40 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Co
     rows = materialized(labelled_rows(docs, labels, label_col, usable, labelled, id_col, text_col), "labelled")
 
     def label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = (Counter(), Counter())
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            names = list(n[0].keys() | n[1].keys())
-            batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in n)], ["term", "n0", "n1"])
-            for c in n:
-                c.clear()
-            return batch
-
-        for batch in chunks(batches):
-            for t, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                n[y].update(counts(t).keys())
-                if len(n[0]) + len(n[1]) > FLUSH:
-                    yield out()
+            met, which = np.unique(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in held)]), return_inverse=True)
+            y = np.concatenate([np.zeros(0), *(y for _, y in held)])
+            return pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(np.bincount(which, y == k, len(met)).astype(np.int64)) for k in (0, 1))], ["term", "n0", "n1"])
+
+        for batch in chunks(batches, limit=2 << 20):
+            term, text = terms(batch.column(1))
+            # Each term once for each text.
+            by = np.lexsort((term, text))
+            term, text = term[by], text[by]
+            once = np.append(True, (term[1:] != term[:-1]) | (text[1:] != text[:-1]))[: len(term)]
+            held.append((term[once], batch.column(2).to_numpy()[text[once]]))
+            size += int(once.sum())
+            if size > FLUSH:
+                yield out()
+                held, size = [], 0
         yield out()
 
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows_of = np.array([totals.get(0, 0), totals.get(1, 0)], float)
     if not rows_of.sum():
-        return Model([], np.zeros(0), [], np.zeros(0), [], 0.0)
+        return Model(np.zeros(0, np.int64), np.zeros(0), [], np.zeros(0), [], 0.0)
     # All terms of at most `labelled` texts.
-    seen = rows.mapInArrow(label_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("term").toArrow()
-    vocabulary = seen.column("term").to_pylist()
+    seen = rows.mapInArrow(label_counts, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("term").toArrow()
+    vocabulary = seen.column("term").to_numpy()
     relevance = FLOOR + (lambda g: (g / (g + RATIO)) ** 2)(likelihood_ratio(np.stack([seen.column(c).to_numpy() for c in ("n0", "n1")]).astype(float), rows_of))
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def all_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value)
-        n, texts = np.zeros(matcher.size, np.int64), 0
+        n, texts = np.zeros(len(sent.value), np.int64), 0
         for batch in chunks(batches, text_at=0, limit=2 << 20):
-            n += np.bincount(matcher.find(batch.column(0).to_pylist())[0], minlength=matcher.size)
+            n += np.bincount(find(batch.column(0), sent.value)[0], minlength=len(n))
             texts += batch.num_rows
         met = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(met, -1), pa.int32()), pa.array(np.append(n[met], texts), pa.int64())], ["term", "n"])
@@ -314,9 +280,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Co
     idf = np.log((1 + n[at < 0].sum()) / (1 + df)) + 1
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value)
         for batch in chunks(batches, limit=2 << 20):
-            t, n, cuts = matcher.find(batch.column(1).to_pylist())
+            t, n, cuts = find(batch.column(1), sent.value)
             lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, pa.int32())) for x in (t, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["id", "y", "t", "n"])
 
@@ -354,24 +319,25 @@ def likelihood_ratio(with_term: np.ndarray, rows_of: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id_col, score (0 to 1), evidence (ids and cosines of the examples that voted, nearest first)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    evidence_type = pa.list_(pa.struct([("example", arrow_type(docs, id_col)), ("cosine", pa.float64())]))
+    example_type = arrow_type(docs, id_col)
     # The model is bounded by the rows that it has learnt from.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        matcher, memory = Matcher(model.vocabulary), {}
+        memory: dict[bytes, tuple] = {}
         for batch in chunks(batches, limit=2 << 20):
             texts = batch.column(1).to_pylist()
             # Equal texts are scored once while they are remembered.
             digests = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
             new = {d: t for d, t in zip(digests, texts) if d not in memory}
-            fresh = dict(zip(new, model.score(*matcher.find(list(new.values())))))
+            fresh = dict(zip(new, model.score(*find(pa.array(list(new.values()), pa.string()), model.vocabulary))))
             rows = [fresh.get(d) or memory[d] for d in digests]
             if len(memory) > 5_000:
                 memory.clear()
             memory.update(fresh)
-            evidence = [[{"example": i, "cosine": c} for i, c in zip(ids, cosines)] for _, ids, cosines in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), pa.array(evidence, evidence_type)], [id_col, "score", "evidence"])
+            pairs = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(r[k] for r in rows)), t) for k, t in ((1, example_type), (2, pa.float64()))], ["example", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r[1]) for r in rows)]), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.float64()), evidence], [id_col, "score", "evidence"])
 
     return docs.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {id_type}, score double, evidence array<struct<example:{id_type},cosine:double>>")
