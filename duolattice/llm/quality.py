@@ -8,8 +8,8 @@ entries of its bins, so scoring is a few vectorised look-ups and additions.
 The model is fitted on at most `max_rows` labelled rows (a documented parameter; a hash of the id chooses them); features are
 computed from whole texts, in the tasks. Defined results: null and empty texts have all-zero features and get the score of
 those; without labelled rows the score is 0.5, with one class only it is that class's smoothed rate; rows with a null label or
-a label other than 0 and 1 are not learnt from; repeated label rows count once for each document row they meet; every
-document row is kept, null ids too; other columns are not read by `score` and pass through `keep_good` as they are.
+a label other than 0 and 1, and ids whose labels disagree, are not learnt from; an id that several documents share is learnt from
+once; ids may be of any type that can be ordered; every document row is kept, null ids too; other columns are not read by `score` and pass through `keep_good` as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, forget_others, text_bytes, word_hashes
+from .common import chunks, forget_others, labelled_rows, text_bytes, word_hashes
 
 FEATURES = ("log_bytes", "mean_word", "upper", "digits", "stops", "marks", "bars", "bangs", "spaces", "bare", "stutter", "distinct", "top_word", "pairs", "line_words", "log_words")
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digits": b"0123456789", "stops": b".,;:?", "marks": b"#$%&*@^~<>{}[]\\/=+_", "bars": b"|", "bangs": b"!", "spaces": b" \t\r\n\x0b\x0c"}
@@ -74,7 +74,7 @@ def features(texts: pa.Array) -> np.ndarray:
     _, first = np.unique(pair[same_doc], return_index=True)
     out[:, column["pairs"]] = np.bincount(doc[1:][same_doc][first], minlength=n) / some
     breaks = np.add.reduceat((flat == 10).view(np.uint8), starts[:-1], dtype=np.int64)
-    out[:, column["line_words"]] = np.minimum(words / (breaks + 1), 200)
+    out[:, column["line_words"]] = words / (breaks + 1)
     out[:, column["log_words"]] = np.log1p(words)
     return out
 
@@ -195,29 +195,21 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 150, pair_rounds: int = 60
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", usable: Column | None = None, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
-    """A model of label_col, learnt from at most about max_rows of the usable label rows (all of them if they are fewer)."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    known = (known if usable is None else known.filter(usable)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
-    n = known.count()
-    if n > max_rows:
-        known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < F.lit(max_rows * (1 << 20) // n))
-    # The chosen labels are bounded by max_rows, so they can go to every task.
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(known), "__id").select("__id", "__t", "__y")
+    """A model of label_col, learnt from at most max_rows of the usable label rows (all of them if they are fewer)."""
+    rows = labelled_rows(docs, labels, label_col, usable, max_rows, id_col, text_col)
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others()
         for batch in chunks(batches):
             x = features(batch.column(1))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2), flat], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat], ["id", "y", "x"])
 
-    found = rows.mapInArrow(kernel, "id long, y int, x array<double>").toArrow()
+    found = rows.mapInArrow(kernel, f"id {id_type}, y int, x array<double>").orderBy("id").toArrow()
     if not found.num_rows:
         return train(np.zeros((0, len(FEATURES))), np.zeros(0))
-    ids, y = found.column("id").to_numpy(), found.column("y").to_numpy().astype(float)
-    x = np.array(found.column("x").to_pylist())
-    order = np.lexsort((*x.T, y, ids))
-    return train(x[order], y[order])
+    return train(np.array(found.column("x").to_pylist()), found.column("y").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,7 +3,8 @@
 Encoding keeps, for each segment, an agenda of adjacent symbol pairs in order of score (ties: leftmost first), and merges until
 no pair is a piece. No piece has a space mark after another character, so no merge crosses from a word to the space mark that
 follows it: texts are cut there, and each distinct segment is encoded once per worker while it stays in a bounded cache. In
-each Arrow batch, all segments that were new are encoded by the sentencepiece library too; a difference is an error.
+each Arrow batch, all segments that were new are encoded by the sentencepiece library too, and one whole text is encoded and
+decoded by it; a difference is an error.
 
 Defined results: null and empty texts have no pieces (only the ids asked for by add_bos/add_eos) and decode to an empty
 text; rows are kept one for one, repeated rows and null ids too; other columns are not read.
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from .common import MEMORIES, chunks, forget_others
 
 SPACE = "▁"
+#: Characters of the longest segment that is remembered from one batch to the next.
+LONGEST_KEPT = 200
 _SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _CODECS: dict[tuple, "PieceCodec"] = MEMORIES.setdefault("pieces", {})
 
@@ -51,6 +54,7 @@ class PieceCodec:
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         self.cache: dict[str, str] = {}  # a segment's ids
         self.odd: dict[str, str] = {}  # texts of the few segments that decode to something else than themselves
+        self.long: list[str] = []  # segments that are remembered for one batch only
         self.cache_limit = cache_limit
 
     def merge(self, segment: str) -> list[str]:
@@ -159,7 +163,12 @@ class PieceCodec:
             self.cache.clear()
             self.odd.clear()
         known = self.cache
+        long = [s for s in self.long if s in known]
+        for s in long:
+            del known[s]
+            self.odd.pop(s, None)
         new = [s for s in set().union(*segmented) if s not in known]
+        self.long = [s for s in new if len(s) > LONGEST_KEPT]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             expected = self.library.encode([s[1:].replace(SPACE, " ") for s in part], num_threads=1)
@@ -178,6 +187,14 @@ class PieceCodec:
         texts = segments if self.odd.keys().isdisjoint(segments) else [self.odd.get(s, s) for s in segments]
         return [self.cache[s] for s in segments], "".join(texts).replace(SPACE, " ").removeprefix(" ")
 
+    def check(self, text: str, ids: list[str], decoded: str) -> None:
+        """Holds a whole text's ids, and what they decode to, against the library."""
+        theirs = self.library.encode(text)
+        if theirs != [int(i) for part in ids for i in part.split()]:
+            raise RuntimeError(f"the library encodes {text[:60]!r}... in another way")
+        if self.library.decode(theirs) != decoded:
+            raise RuntimeError(f"the library decodes the ids of {text[:60]!r}... in another way")
+
 
 def codec(model_path: str) -> PieceCodec:
     """One codec for each model and worker process."""
@@ -198,8 +215,10 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             segmented = [c.segments(t or "") for t in batch.column(1).to_pylist()]
             c.learn(segmented)
             ids, counts, decoded = [], [], []
-            for segments in segmented:
+            for k, segments in enumerate(segmented):
                 found, text = c.both_ways(segments)
+                if not k:
+                    c.check(batch.column(1)[0].as_py() or "", found, text)
                 ids.append(" ".join([*head, *found, *tail]))
                 counts.append(ids[-1].count(" ") + bool(ids[-1]))
                 decoded.append(text)

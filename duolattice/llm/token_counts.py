@@ -2,7 +2,7 @@
 
 For every prefix of a pre-token exactly one token can end its encoding: the token t that starts where a shorter prefix ends and
 that may stand after that prefix's own last token. So count[e] = count[e - len(t)] + 1 gives the token count of all prefixes
-in one pass, and truncation or budget questions are answered from the stored counts. Two tokens may stand together if merging
+in one pass, and truncation or budget questions are answered from these counts. Two tokens may stand together if merging
 their bytes afresh gives the same two tokens; this is decided on the merge tree and kept in a bounded cache.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; every row is kept, repeated rows and null ids too; special
@@ -12,7 +12,9 @@ strings inside texts are one token each, as the tokenizers library handles them
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -23,6 +25,10 @@ from .common import MEMORIES, chunks, forget_others
 
 #: Fixed value: the pre-token pattern of byte-level vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pattern's contractions.
+CONTRACTIONS = frozenset(("'s", "'t", "'re", "'ve", "'m", "'ll", "'d"))
+#: Characters of the longest piece that is remembered.
+LONGEST_KEPT = 200
 _COUNTERS: dict[str, "PrefixCounter"] = MEMORIES.setdefault("counters", {})
 
 
@@ -63,14 +69,17 @@ class PrefixCounter:
             raise ValueError("added tokens with special matching rules are not supported")
         self.split = regex.compile(PATTERN)
         self.added = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.marks = tuple(added)
+        self.marks = frozenset(added)
+        self.blank = regex.compile(r"\s+").fullmatch
         self.pairs: dict[int, bool] = {}
         self.limit = cache_limit
         outer = self
 
         class Counts(dict):
             def __missing__(self, piece: str) -> int:
-                n = self[piece] = outer.prefixes(piece.encode())[-1]
+                n = outer.prefixes(piece.encode())[-1]
+                if len(piece) <= LONGEST_KEPT:
+                    self[piece] = n
                 return n
 
         self.counts = Counts()
@@ -147,40 +156,84 @@ class PrefixCounter:
             at = m.end()
         return out + self.split.findall(text[at:])
 
-    def count(self, text: str) -> int:
+    def ready(self, text: str) -> list[str]:
+        """The pieces of a text, after the memory has been kept within its bound."""
         if len(self.counts) > self.limit:
             self.counts.clear()
         if not self.counts:
             self.counts.update(dict.fromkeys(self.marks, 1))
-        return sum(map(self.counts.__getitem__, self.pieces(text)))
+        return self.pieces(text)
 
-    def at_prefixes(self, text: str) -> list[int]:
-        """Exact token count of text[:k] encoded by itself, for k = 0 .. len(text).
-
-        Cutting a text changes pre-tokens only at its end: a run of white space, a contraction, a special string and what
-        follows such a piece are cut afresh; within other pieces the stored counts of prefixes hold."""
-        out, done, at = [0], 0, 0
-        pieces = self.pieces(text)
-        for k, piece in enumerate(pieces):
-            before = pieces[k - 1] if k else ""
-            plain = not (piece.isspace() or piece[0] == "'" or piece in self.marks or before.isspace() or before in self.marks)
-            if plain and piece[0] != " ":
-                counts, ends = self.prefixes(piece.encode()), 0
-                for c in piece:
-                    ends += len(c.encode())
-                    out.append(done + counts[ends])
+    def count(self, text: str) -> int:
+        return sum(map(self.counts.__getitem__, self.ready(text)))
+
+    def walk(self, pieces: list[str], k: int, done: int, last: int) -> Iterator[int]:
+        """Token counts of the text cut after each character of the pieces from k to before `last`, where `done` tokens stand before k.
+
+        Cutting a text changes pre-tokens only at its end. White space at the end is one piece, however the whole text splits it and
+        though its last space may belong to the next word; a contraction falls apart; a part of a special string joins the piece
+        before it. In all other pieces the counts of their own prefixes hold. k must not be within a run of white space."""
+        begun = 0  # characters of piece k that the run of white space before it has given out already
+        while k < last:
+            piece = pieces[k]
+            if piece in self.marks:
+                before = pieces[k - 1] if k and pieces[k - 1] not in self.marks else ""
+                base = done - self.plain_count(before)
+                yield from (base + self.plain_count(before + piece[:j]) for j in range(1, len(piece)))
+                yield done + 1
+            elif piece in CONTRACTIONS:
+                yield from (done + self.plain_count(piece[:j]) for j in range(1, len(piece)))
+                yield done + self.counts[piece]
+            elif self.blank(piece):
+                end = k
+                while end < len(pieces) and pieces[end] not in self.marks and self.blank(pieces[end]):
+                    end += 1
+                borrowed = end < len(pieces) and pieces[end] not in self.marks and pieces[end][0] == " "
+                run = "".join(pieces[k:end]) + " " * borrowed
+                yield from (done + n for n in self.by_character(run)[1:])
+                done += sum(self.counts[p] for p in pieces[k:end])
+                k, begun = end, int(borrowed)
+                continue
             else:
-                back = at - len(before)
-                base = done - (self.count(before) if before else 0)
-                out += [base + self.count(text[back : at + j]) for j in range(1, len(piece) + 1)]
-            done += self.count(piece)
-            at += len(piece)
-        return out
+                yield from (done + n for n in self.by_character(piece)[1 + begun :])
+            done, k, begun = done + self.counts[piece], k + 1, 0
+
+    def by_character(self, piece: str) -> list[int]:
+        """Token counts of a pre-token's prefixes, by characters."""
+        raw = self.prefixes(piece.encode())
+        return raw if len(raw) == len(piece) + 1 else [raw[0], *(raw[e] for e in accumulate(len(c.encode()) for c in piece))]
+
+    def plain_count(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        return sum(map(self.counts.__getitem__, self.split.findall(text)))
+
+    def at_prefixes(self, text: str) -> list[int]:
+        """Exact token count of text[:k] encoded by itself, for k = 0 .. len(text), in one pass."""
+        pieces = self.ready(text)
+        return [0, *self.walk(pieces, 0, 0, len(pieces))]
+
+    def fitting(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of the whole text, and the length of its longest prefix, in characters, that alone has at most so many tokens (-1
+        if even none is too many, which a negative budget says).
+
+        Of all pieces only those around the one in which the budget ends are gone through."""
+        pieces = self.ready(text)
+        before = [0, *accumulate(map(self.counts.__getitem__, pieces))]
+        if before[-1] <= budget:
+            return before[-1], len(text)
+        if budget < 0:
+            return before[-1], -1
+        # The last piece before which the budget isn't used up; white space that goes on from there may take fewer tokens as one run.
+        k = max(0, bisect_left(before, max(1, budget)) - 1)
+        while k and (self.blank(pieces[k]) or pieces[k][0] == " ") and pieces[k] not in self.marks and pieces[k - 1] not in self.marks and self.blank(pieces[k - 1]):
+            k -= 1
+        at = sum(map(len, pieces[:k]))
+        fits = [at + j for j, n in enumerate(self.walk(pieces, k, before[k], min(len(pieces), k + 5)), 1) if n <= budget]
+        return before[-1], max(fits, default=at)
 
     def truncate(self, text: str, budget: int) -> str:
-        """The longest prefix of the text, in characters, that alone has at most so many tokens."""
-        counts = self.at_prefixes(text)
-        return text[: max(k for k, n in enumerate(counts) if n <= budget)]
+        """The longest prefix of the text, in characters, that alone has at most so many tokens; empty if the budget is negative."""
+        return text[: max(0, self.fitting(text, budget)[1])]
 
 
 def counter(path: str) -> PrefixCounter:
@@ -190,19 +243,22 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token counts of whole texts: id_col, n_bytes (UTF-8), n_tokens."""
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None) -> DataFrame:
+    """Token counts of whole texts: id_col, n_bytes (UTF-8), n_tokens; with a budget also keep_chars, the characters of the longest
+    prefix that alone has at most so many tokens (-1 if the budget is negative)."""
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "n_bytes", "n_tokens", *(["keep_chars"] if budget is not None else [])]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others("counters")
         c = counter(path)
         for batch in chunks(batches):
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
-            counts = [c.count(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(counts, pa.int64())], [id_col, "n_bytes", "n_tokens"])
+            texts = batch.column(1).to_pylist()
+            counts = zip(*[c.fitting(t or "", budget) for t in texts]) if budget is not None else [[c.count(t or "") for t in texts]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *(pa.array(n, pa.int64()) for n in counts)], names)
 
-    return docs.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {id_type}, n_bytes long, n_tokens long")
+    return docs.select(id_col, text_col).mapInArrow(kernel, f"`{id_col}` {id_type}, n_bytes long, n_tokens long" + (", keep_chars long" if budget is not None else ""))
 
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

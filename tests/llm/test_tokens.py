@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -52,6 +53,21 @@ def test_a_difference_is_an_error(monkeypatch):
         c.learn([["▁abc"]])
 
 
+def test_whole_texts_are_held_against_the_library(spark, library):
+    c = S.PieceCodec(PIECES)
+    ids = " ".join(map(str, library.encode("one two")))
+    c.check("one two", [ids], "one two")
+    with pytest.raises(RuntimeError, match="encodes"):
+        c.check("one two", ["1"], "one two")
+    with pytest.raises(RuntimeError, match="decodes"):
+        c.check("one two", [ids], "one  two")
+    long = S.SPACE + "y" * 1000
+    c.learn([[long]])
+    assert long in c.cache
+    c.learn([["▁z"]])
+    assert long not in c.cache and "▁z" in c.cache
+
+
 def test_small_caches_give_the_same(library):
     c = S.PieceCodec(PIECES, cache_limit=3)
     for text in ["one two three four", "five six one", "\u0000 odd two"]:
@@ -91,7 +107,33 @@ def test_every_prefix(awkward, tokenizer):
     c = C.PrefixCounter(BYTES)
     for text in ["I'll don't  go\n\n home 'twas", "a<|endoftext|>b <|endoft", "é漢字😀x  ", "12 345abc!!! ...  x\t\ty", "we 're  's", " \n \n x"]:
         assert c.at_prefixes(text) == [tokens(tokenizer, text[:k]) for k in range(len(text) + 1)]
-        assert all(tokens(tokenizer, c.truncate(text, b)) <= b for b in range(6))
+        want = c.at_prefixes(text)
+        for b in range(-1, want[-1] + 2):
+            assert c.fitting(text, b) == (want[-1], max((k for k, n in enumerate(want) if n <= b), default=-1))
+            assert c.truncate(text, b) == text[: max(0, c.fitting(text, b)[1])]
+
+
+def test_every_prefix_of_random_texts(tokenizer):
+    c, r = C.PrefixCounter(BYTES), np.random.default_rng(7)
+    parts = [" ", "  ", "\n", "\t", "'", "'s", "'ll", "'re", "the", "THE", "é", "漢", "😀", "12", "!", "<|endoftext|>", "<|end", "\u00a0", "a", "'v", "'ve", "\u0301", "\x1c"]
+    for _ in range(300):
+        text = "".join(parts[i] for i in r.integers(0, len(parts), r.integers(1, 12)))
+        want = [tokens(tokenizer, text[:k]) for k in range(len(text) + 1)]
+        assert c.at_prefixes(text) == want, text
+        for b in range(want[-1] + 1):
+            assert c.fitting(text, b) == (want[-1], max(k for k, n in enumerate(want) if n <= b)), (text, b)
+
+
+def test_prefixes_of_long_runs(tokenizer):
+    c = C.PrefixCounter(BYTES)
+    for run in (" " * 10_000, "x " + "\n" * 10_000 + "y", " " + "abcdefghij" * 1000, "é" * 5000, "-" * 10_000, "'" * 5000 + "s"):
+        began = time.perf_counter()
+        counts = c.at_prefixes(run)
+        assert time.perf_counter() - began < 8
+        for k in (1, 17, 800, len(run) // 2, len(run) - 1, len(run)):
+            assert counts[k] == tokens(tokenizer, run[:k])
+        assert c.fitting(run, counts[-1] // 2)[1] == max(k for k, n in enumerate(counts) if n <= counts[-1] // 2)
+    assert all(len(p) <= C.LONGEST_KEPT for p in c.counts)
 
 
 def test_random_tokens_side_by_side():
@@ -112,8 +154,10 @@ def test_budgets(spark):
 def test_op8(spark, tokenizer):
     rows = {r.doc_id: r for r in QUERIES["op8_token_counts"](spark, SF).collect()}
     for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        n = tokens(tokenizer, d.text or "")
-        assert (rows[d.doc_id].n_tokens, rows[d.doc_id].over_limit) == (n, n > 1024)
+        n, text = tokens(tokenizer, d.text or ""), d.text or ""
+        r = rows[d.doc_id]
+        assert (r.n_tokens, r.over_limit) == (n, n > 1024)
+        assert r.keep_chars == len(text) if n <= 1024 else tokens(tokenizer, text[: r.keep_chars]) <= 1024 < min(tokens(tokenizer, text[: r.keep_chars + j]) for j in range(1, 9))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
