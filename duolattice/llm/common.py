@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a kernel takes at a time, so that memory doesn't follow the size of Arrow batches.
 CHUNK_BYTES = 8 << 20
@@ -37,9 +38,12 @@ def forget_others(*mine: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir. Where it is unset a session of one machine gets a
+    folder of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="duolattice-")
         spark.conf.set("spark.checkpoint.dir", found)
     # A path without a scheme belongs to the cluster's default file system.
@@ -97,9 +101,20 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, usable: Co
     return met.groupBy("id").agg(F.min("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", F.col("t.text").alias("text"), "y")
 
 
-def row_key(id_col: str, text_col: str) -> list:
-    """Three columns, never null, that tell rows apart and order them by id, nulls last: the id, whether it is null, a hash of the text."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.col(id_col).isNull(), F.xxhash64(F.col(text_col))]
+def row_key(df: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Three columns, never null, that tell rows apart and order them by id, nulls last: whether the id is null, the id, a hash of the text."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        raise TypeError(f"ids must be numbers, strings or dates, not {kind.simpleString()}")
+    none = F.lit("") if isinstance(kind, T.StringType) else F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("1970-01-01").cast(kind)
+    return [F.col(id_col).isNull(), F.coalesce(F.col(id_col), none), F.xxhash64(F.col(text_col))]
+
+
+def integral(df: DataFrame, column: str) -> Column:
+    """An id column as a long; ids of other types than whole numbers are an error."""
+    if not isinstance(df.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} must hold whole numbers, not {df.schema[column].dataType.simpleString()}")
+    return F.col(column).cast("long")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text_at: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ first one before they are joined, and hot windows are left to the skew handling
 Lines are what stands between line feeds, compared exactly; a line of spaces alone is blank: it takes no part in windows and
 goes only between covered lines. Defined results: documents of fewer than three lines that are not blank stay as they are, null
 and empty texts too; null ids come last; rows that repeat an id and a text are one document and lose the same lines, rows that
-repeat an id with another text are told apart by the text's hash; every row and all columns are kept.
+repeat an id with another text are told apart by the text's hash; ids may be numbers, strings or dates; every row and all columns are kept.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialized, row_key
 
-KEY = ("k1", "no_id", "k2")
+KEY = ("no_id", "k1", "k2")
 
 
 def numbered_lines(text: Column) -> Column:
@@ -30,7 +30,7 @@ def numbered_lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per window: the document's key, number of the first and of the last line, two hashes."""
-    keyed = docs.select(*(c.alias(n) for n, c in zip(KEY, row_key(id_col, text_col))), numbered_lines(F.col(text_col)).alias("lines"))
+    keyed = docs.select(*(c.alias(n) for n, c in zip(KEY, row_key(docs, id_col, text_col))), numbered_lines(F.col(text_col)).alias("lines"))
     keyed = keyed.filter(F.size("lines") >= size)
     part = lambda i, name: [F.col("lines")[i + k - 1][name] for k in range(size)]
     made = F.transform(F.sequence(F.lit(1), F.size("lines") - size + 1), lambda i: F.struct(part(i, "at")[0].alias("first"), part(i, "at")[-1].alias("last"), F.xxhash64(*part(i, "a")).alias("a"), F.xxhash64(*part(i, "b")).alias("b")))
@@ -53,7 +53,7 @@ def deduplicate_lines(docs: DataFrame, size: int = 3, id_col: str = "doc_id", te
     names = [free_name(docs, f"__{c}") for c in KEY]
     hit, merged = free_name(docs, "__covered"), free_name(docs, "__merged")
     covered = covered_lines(docs, size, id_col, text_col).toDF(*names, hit)
-    joined = docs.withColumns(dict(zip(names, row_key(id_col, text_col)))).join(covered, names, "left")
+    joined = docs.withColumns(dict(zip(names, row_key(docs, id_col, text_col)))).join(covered, names, "left")
     # A covered line is sorted right after the entry that says so.
     mark = F.transform(hit, lambda at: F.struct(at.alias("at"), F.lit(0).alias("kind"), F.lit("").alias("line")))
     lines = F.transform(F.split(text_col, "\n"), lambda line, i: F.struct(i.alias("at"), F.lit(1).alias("kind"), line.alias("line")))

@@ -10,7 +10,7 @@ shards one after another and can go on at any slot.
 Texts are tokenised once, and only token ids are shuffled, once. What a repeated task would pack anew has been written before
 it is numbered; a shard is written under another name and then renamed, and holds the same bytes whenever it is written again.
 
-Defined results: null and empty texts are an end token alone; repeated rows and null ids are documents like others; an empty
+Defined results: null and empty texts are an end token alone; repeated rows and null ids are documents like others; ids must be whole numbers (other types are an error); an empty
 table gives no shards and no rows; other columns are not read.
 """
 
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMORIES, chunks, forget_others, materialized, scratch_path
+from .common import MEMORIES, chunks, forget_others, integral, materialized, scratch_path
 from .token_counts import PATTERN
 from .warc import file_system
 
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int, id_col: str, text_c
             yield from give(False)
         yield from give(True)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(kernel, PACKED)
+    return docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(kernel, PACKED)
 
 
 def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows: int = 8192, key: int = 42, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,10 +7,10 @@ indexes until the next sum falls below the k-th score found so far. The k-th sco
 bound that all tasks start from; it only saves work.
 
 Queries are a stated set; they go to the tasks in chunks of at most QUERY_BYTES, each against all rows, and the tasks' own best
-rows are merged by query. Scores are integers and exact: components become floor(scale * x).
+rows are merged by query; the results of several chunks are written one after the other, so the driver holds one. Scores are integers and exact: components become floor(scale * x).
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id, take no part; missing
-last components of shorter vectors count as 0; rows that share a query's id count as its own and are no candidates; a repeated
+last components of shorter vectors count as 0; ids must be whole numbers (other types are an error); rows that share a query's id count as its own and are no candidates; a repeated
 query id is answered once, for its first vector in order of components; other repeated rows each count; scores beyond 64 bits
 are cut to the nearest long; an empty table or query set gives no rows; other columns are not read.
 """
@@ -25,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import integral, materialized
+
 QUERY_BYTES = 16 << 20
-#: Rows of a range and of a block, rows that the first bound is taken from, and the component size up to which sums are exact in doubles.
-RANGE_ROWS, BLOCK_ROWS, SEED_ROWS, EXACT = 8192, 32, 4096, 1 << 20
+#: Rows of a range and of a block, rows that the first bound is taken from.
+RANGE_ROWS, BLOCK_ROWS, SEED_ROWS = 8192, 32, 4096
+#: Sums of products are exact in doubles below this.
+EXACT = 1 << 53
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
@@ -87,13 +91,15 @@ class Queries:
     def __init__(self, ids: np.ndarray, rows: list[np.ndarray], k: int):
         self.ids, self.rows, self.k = ids, rows, k
         self.width = max((len(r) for r in rows), default=0) or 1
-        self.large = np.array([bool(len(r)) and (np.abs(r).max() >= EXACT) for r in rows], bool)
+        # Components below it have products whose sums are exact, however many there are.
+        self.limit = math.isqrt(EXACT // self.width)
+        self.large = np.array([bool(len(r)) and (np.abs(r).max() >= self.limit) for r in rows], bool)
         self.matrix = dense([np.zeros(0) if big else r for r, big in zip(rows, self.large)], self.width)
         self.floors = np.full(len(rows), -np.inf)
 
     def seed(self, ids: np.ndarray, rows: list[np.ndarray]) -> None:
         """Lower bounds of the k-th scores from some rows."""
-        kept = [i for i, r in enumerate(rows) if not len(r) or np.abs(r).max() < EXACT]
+        kept = [i for i, r in enumerate(rows) if not len(r) or np.abs(r).max() < self.limit]
         if len(kept) <= self.k or not len(self.ids):
             return
         ids, rows = ids[kept], dense([rows[i] for i in kept], self.width)
@@ -110,7 +116,7 @@ class Queries:
         """Scores a range of rows for all queries."""
         if not len(self.ids):
             return
-        big = np.array([bool(len(r)) and np.abs(r).max() >= EXACT for r in rows], bool)
+        big = np.array([bool(len(r)) and np.abs(r).max() >= self.limit for r in rows], bool)
         for q in range(len(self.ids)):
             if (which := np.arange(len(ids)) if self.large[q] else np.flatnonzero(big)).size:
                 which = which[ids[which] != self.ids[q]]
@@ -146,8 +152,9 @@ class Queries:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k best other rows of every row for which is_query holds: query_id, rank (from 1), id_col, score."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    wanted = vectors.filter(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    key = integral(vectors, id_col)
+    rows = vectors.select(key.alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    wanted = vectors.filter(is_query).select(key.alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     n_rows = rows.count()
     size = wanted.agg(F.sum(8 * F.greatest(F.size("v"), F.lit(1)).cast("long"))).first()[0] or 0
     n_chunks = math.ceil(size / QUERY_BYTES) or 1
@@ -183,6 +190,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 102
     out = None
     for c in range(n_chunks):
         part = rows.mapInArrow(kernel_of(of_chunk(c)), "query_id long, id long, score long")
+        if n_chunks > 1:  # written, so that only one chunk is held at a time
+            part = materialized(part, "scores")
         out = part if out is None else out.unionByName(part)
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -7,7 +7,7 @@ new files below the shared folder and returns their paths; what a lost or repeat
 never read. Reading: each archive's dictionary is loaded from its first frame, then frame after frame is decoded and checked.
 
 Defined results: a null payload is an empty one; a null url writes no WARC-Target-URI and is read as null; rows with a null
-page_id count as smaller than all others; repeated rows with the largest page_id of their payload are all responses; an empty
+page_id count as smaller than all others; page_ids must be whole numbers (other types are an error); repeated rows with the largest page_id of their payload are all responses; an empty
 table gives no archives and no rows; other columns are not read.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialized, scratch_path
+from .common import chunks, integral, materialized, scratch_path
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, the first bytes of trained dictionaries, the profile of revisits.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -210,10 +210,10 @@ def parse_record(record: bytes) -> dict:
 def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes one record per row and returns the manifest, already written: path, n_records, n_bytes."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = pages.select(integral(pages, id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload")).withColumn("digest", F.sha1("payload"))
     large = F.octet_length("payload") >= min_bytes
-    # Written, so that the join is a plain one of two shuffles, whose hot payloads can be split.
-    kept = materialized(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("keeper")), "payloads")
+    # Only digests that occur more than once, written, so that the join knows their size: few go to all tasks, and else the hot ones are split.
+    kept = materialized(rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n"), "payloads")
     judged = rows.join(kept.withColumn("known", F.lit(True)), "digest", "left")
     judged = judged.select("page_id", "payload", "url", "digest", "keeper", (F.col("known").isNotNull() & large & ~F.col("page_id").eqNullSafe(F.col("keeper"))).alias("revisit"))
 

@@ -7,8 +7,9 @@ import pytest
 import regex
 import xxhash
 
-from duolattice.llm import components, decontaminate, line_dedup, simhash
+from duolattice.llm import common, components, decontaminate, line_dedup, simhash, token_shards, topk, warc
 from duolattice.llm.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 WORDS = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -104,6 +105,55 @@ def test_links_against_all_pairs(spark, monkeypatch):
         simhash.links(df, 1, radius=3)
 
 
+def test_skewed_fingerprints(spark, monkeypatch):
+    """Thousands of fingerprints around one centre: rows stay below what each fingerprint's variants allow, and no link is lost."""
+    monkeypatch.setattr(simhash, "HELD", 1 << 16)
+    made = []
+    plain = simhash.materialized
+    monkeypatch.setattr(simhash, "materialized", lambda df, name: (lambda out: made.append((name, out.count())) or out)(plain(df, name)))
+    r = np.random.default_rng(2)
+    flips = [sum(1 << int(x) for x in r.choice(64, k, replace=False)) for k in r.integers(1, 6, 4000)]
+    fps = np.unique(np.array([0x123456789ABCDEF0 ^ f for f in flips] + r.integers(0, 2**64, 500, dtype=np.uint64).tolist(), np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    star = {r.a: r.b for r in components.stars(simhash.links(df, len(fps))).collect()}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    root = simhash._roots(len(fps), *np.nonzero(near))
+    groups, want = {}, {}
+    for k, x in enumerate(fps.view(np.int64).tolist()):
+        groups.setdefault(star.get(x, x), set()).add(x)
+        want.setdefault(int(root[k]), set()).add(x)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+    assert any(n for name, n in made if name == "hot") and all(n <= len(fps) * simhash.balls(64, 2)[0] for _, n in made)
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "one two three four five"), ("a", "one two three four five"), (None, "one two three four five"), ("c", "l1\nl2\nl3"), ("d", "l1\nl2\nl3\nl4")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == {"b": "a", "a": "a", None: "a", "c": "c", "d": "d"}
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == ["a", "c", "d"]
+    assert {r.doc_id: r.text for r in line_dedup.deduplicate_lines(df).collect()}["d"] == "l4"
+    with pytest.raises(TypeError):
+        simhash.fingerprints(df.selectExpr("array(doc_id) as doc_id", "text"))
+    with pytest.raises(TypeError):
+        token_shards.write_shards(df, "")
+    with pytest.raises(TypeError):
+        warc.write_archives(df, id_col="doc_id", url_col="text", payload_col="text")
+    with pytest.raises(TypeError):
+        topk.search(df.selectExpr("doc_id as vec_id", "array(1.0) as embedding"), F.lit(True))
+
+
+def test_no_folder_of_its_own_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_long_chains(spark):
     n = 200
     chain = [(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5)]

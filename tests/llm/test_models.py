@@ -45,6 +45,37 @@ def test_features_do_not_depend_on_neighbours():
     assert row["bars"] == pytest.approx(2 / 9) and row["bare"] == pytest.approx(2 / 5) and row["top_word"] == pytest.approx(2 / 5)
 
 
+def test_op7_against_brute_force(spark):
+    """Scores of op7 again: the learnt rows' features one text at a time, and table entries added in plain loops."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    learnt = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 5)
+    one = lambda i: quality.features(pa.array([docs[i]], pa.string()))[0]
+    model = quality.train(np.stack([one(i) for i in learnt]), np.array([labels[i] for i in learnt], float))
+    for r in QUERIES["op7_quality"](spark, SF).collect():
+        x = one(r.doc_id)
+        bins = lambda edges, k: sum(v >= e for v, e in zip([x[k]] * len(edges[k]), edges[k]))
+        margin = model.intercept + sum(t[bins(model.edges, k)] for k, t in enumerate(model.tables)) + sum(t[bins(model.coarse, a), bins(model.coarse, b)] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-6) and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def brute_features(text):
+    """The features of a text of ASCII letters, by plain loops."""
+    words, n = text.split(), max(1, len(text))
+    share = lambda chars: sum(c in chars for c in text) / n
+    w = max(1, len(words))
+    out = {"log_bytes": np.log1p(len(text)), "mean_word": sum(map(len, words)) / w, "upper": sum(c.isupper() for c in text) / n, "digits": share("0123456789"), "stops": share(".,;:?"), "marks": share("#$%&*@^~<>{}[]\\/=+_"), "bars": share("|"), "bangs": share("!")}
+    out |= {"spaces": share(" \t\r\n\x0b\x0c"), "bare": sum(not any(c.isalpha() for c in x) for x in words) / w, "stutter": sum(a == b for a, b in zip(words, words[1:])) / w, "distinct": len(set(words)) / w}
+    return out | {"top_word": max(Counter(words).values(), default=0) / w, "pairs": len(set(zip(words, words[1:]))) / w, "line_words": len(words) / (text.count("\n") + 1), "log_words": np.log1p(len(words))}
+
+
+def test_features_against_loops():
+    texts = ["One two, two two!\n3 | 4", "a a a a", "x" * 500, "Word " * 900, "\n\n|", "A.B c#d\tE"]
+    got = quality.features(pa.array(texts))
+    for t, row in zip(texts, got):
+        assert dict(zip(quality.FEATURES, row)) == pytest.approx(brute_features(t))
+
+
 def test_interactions_are_learnt():
     r = np.random.default_rng(0)
     x = r.random((4000, 4))

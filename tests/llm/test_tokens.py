@@ -189,6 +189,52 @@ def test_shards_hold_every_document(spark, awkward, tmp_path):
     assert len(table) == len(rows) and all(t.tokens == sequences[t.shard * 100 + t.row].tolist() for t in table)
 
 
+def brute_slot(number, n, key, rounds=6):
+    """The slot of a sequence with plain integers: Feistel rounds over an even number of bits, until the value is below n."""
+    half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
+    full = 2**64 - 1
+    while True:
+        left, right = number >> half, number & (2**half - 1)
+        for r in range(rounds):
+            x = (right + key * 0x9E3779B97F4A7C15 + (r + 1) * 0xBF58476D1CE4E5B9) & full
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+            left, right = right, left ^ (x ^ x >> 31) & (2**half - 1)
+        number = left << half | right
+        if number < n:
+            return number
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 63, 1000])
+def test_slots_against_plain_integers(n):
+    assert K.Permutation(n, 42).slots(np.arange(n)).tolist() == [brute_slot(i, n, 42) for i in range(n)]
+
+
+def test_shards_against_brute_force(spark, tmp_path):
+    """All shard bytes of one partition's documents: tokens and end marks in a row, cut, numbered, permuted."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").coalesce(1)
+    folder = f"file://{tmp_path}/shards"
+    index = {r.slot: r for r in K.write_shards(docs, RANKS, length=512, rows=50, folder=folder).collect()}
+    e = K.encoder(RANKS)
+    stream, owner = [], []
+    for d in docs.collect():
+        ids = [*e.encode_ordinary(d.text or ""), e.n_vocab]
+        stream += ids
+        owner += [d.doc_id] * len(ids)
+    n = -(-len(stream) // 512)
+    for i in range(n):
+        slot, own = brute_slot(i, n, 42), stream[i * 512 : (i + 1) * 512]
+        whole = np.array(own + [e.n_vocab] * (512 - len(own)), "<u2").tobytes()
+        shard, row = divmod(slot, 50)
+        with open(f"{tmp_path}/shards/shard-{shard:07d}.bin", "rb") as f:
+            f.seek(row * 1024)
+            assert f.read(1024) == whole
+        r = index[slot]
+        assert (r.shard, r.row, r.n_tokens, r.tokens_sha256) == (shard, row, len(own), hashlib.sha256(whole).hexdigest())
+        assert r.doc_ids == list(dict.fromkeys(owner[i * 512 : (i + 1) * 512]))
+    assert len(index) == n
+
+
 def test_no_shards_of_nothing(none):
     assert K.write_shards(none, RANKS).count() == 0
 
