@@ -348,16 +348,29 @@ def topological_order(batch: Batch, p: int, reverse: bool = False) -> list[int]:
     return order[::-1] if reverse else order
 
 
-MODES = ("log_partition", "viterbi", "expected_ops", "k_best")
-
-
-def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, float], mode: str, options: LatticeOptions = LatticeOptions(), k: int = 2, per_batch: int = 32) -> DataFrame:
-    """Inference over pairs (id, source, target) with weights by feature name, in Arrow batches.
-
-    log_partition, viterbi: id, value. expected_ops: id, op, value (expected number of uses). k_best: id, rank, value, ops."""
+#: Columns of what inference gives, by mode.
+MODES = {
+    "log_partition": (("id", "long"), ("value", "double")),
+    "viterbi": (("id", "long"), ("value", "double")),
+    "expected_ops": (("id", "long"), ("op", "string"), ("value", "double")),
+    "k_best": (("id", "long"), ("rank", "int"), ("value", "double"), ("ops", "array<string>")),
+    "expected": (("id", "long"), ("feature", "string"), ("value", "double")),
+    "max_features": (("id", "long"), ("feature", "string"), ("value", "double")),
+    "cooccurrences": (("id", "long"), ("feature", "string"), ("other", "string"), ("value", "double")),
+    "size": (("id", "long"), ("nodes", "long"), ("edges", "long")),
+}
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+
+
+def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, float], mode: str, options: LatticeOptions = LatticeOptions(), k: int = 2, per_batch: int = 32, allowed: Allowed | None = None) -> DataFrame:
+    """Inference over pairs (id, source, target) with weights by feature name, in Arrow batches; features without a weight don't count.
+
+    log_partition, viterbi: id, value. expected_ops: id, op, value (expected number of uses). k_best: id, rank, value, ops.
+    expected, max_features: id, feature, value (expectation; sum over the best path). cooccurrences: id, feature, other, value
+    (expected product). size: id, nodes, edges."""
     if mode not in MODES:
-        raise ValueError(f"mode must be one of {MODES}")
-    schema = {"log_partition": "id long, value double", "viterbi": "id long, value double", "expected_ops": "id long, op string, value double", "k_best": "id long, rank int, value double, ops array<string>"}[mode]
+        raise ValueError(f"mode must be one of {tuple(MODES)}")
+    columns, names = MODES[mode], list(weights)
 
     def rows_of(ids: list, batch: Batch, w: np.ndarray) -> list[tuple]:
         if mode == "log_partition":
@@ -372,6 +385,16 @@ def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, floa
                     key = (ids[batch.pair[e]], edge.op)
                     sums[key] = sums.get(key, 0.0) + float(p[e])
             return [(*key, v) for key, v in sums.items()]
+        if mode == "expected":
+            return [(ids[p], names[f], v) for p, f, v in zip(batch.place_pair.tolist(), batch.place_id.tolist(), batch.expected(w)[1].tolist())]
+        if mode == "max_features":
+            return [(i, names[f], v) for i, found in zip(ids, batch.max_features(w)[1]) for f, v in found.items()]
+        if mode == "cooccurrences":
+            return [(i, names[a], names[b], float(m[x, y])) for i, (active, m) in zip(ids, batch.cooccurrences(w)) for x, a in enumerate(active) for y, b in enumerate(active)]
+        if mode == "size":
+            edges = np.bincount(batch.pair, minlength=batch.n)
+            nodes = [len(np.unique(np.concatenate([batch.src[batch.pair == p], batch.dst[batch.pair == p]]))) for p in range(batch.n)]
+            return list(zip(ids, nodes, edges.tolist()))
         return [(i, r, score, [s[0] for s in batch.steps(path) if s[0] != NO_OP.name]) for i, found in zip(ids, batch.k_best(w, k)) for r, (score, path) in enumerate(found)]
 
     index = {name: i for i, name in enumerate(weights)}
@@ -381,14 +404,12 @@ def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, floa
         for b in batches:
             for a in range(0, b.num_rows, per_batch):
                 part = b.slice(a, per_batch)
-                lattices = Batch(list(zip(part.column(1).to_pylist(), part.column(2).to_pylist())), machine, generator, index, options)
+                lattices = Batch(list(zip(part.column(1).to_pylist(), part.column(2).to_pylist())), machine, generator, index, options, allowed)
                 rows = rows_of(part.column(0).to_pylist(), lattices, lattices.weigh(vector))
                 if rows:
-                    names = [f.split()[0] for f in schema.split(", ")]
-                    types = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
-                    yield pa.RecordBatch.from_arrays([pa.array(c, types[f.split()[1]]) for c, f in zip(zip(*rows), schema.split(", "))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(zip(*rows), columns)], [n for n, _ in columns])
 
-    return pairs.select("id", "source", "target").mapInArrow(kernel, schema)
+    return pairs.select("id", "source", "target").mapInArrow(kernel, ", ".join(f"{n} {t}" for n, t in columns))
 
 
 def weigh_by(batch: Batch, f: Callable[[Edge], float]) -> np.ndarray:

@@ -255,7 +255,24 @@ def kr_vowel_backoff(spark, sf_dir):
     return observed.substring_pairs(part_pairs(spark, sf_dir), vowels="aeiou")
 
 
-@query()
+# Cells of the alignment hold cost and both filled-up sides; of equal costs the diagonal comes first, then a gap in the source.
+ALIGNED_SQL = PAIRS_SQL + """, rows_ AS (
+    SELECT id, source, target, 0 AS i, list_transform(range(0, len(target) + 1), lambda j: {'c': j, 's': repeat('-', j), 't': left(target, j)}) AS r FROM pairs
+    UNION ALL
+    SELECT id, source, target, i + 1, list_reduce(list_concat([[{'c': i + 1, 's': left(source, i + 1), 't': repeat('-', i + 1)}]],
+        list_transform(range(1, len(target) + 1), lambda j: [
+            {'c': r[j].c + CASE WHEN source[i + 1] = target[j] THEN 0 ELSE 3 END, 's': r[j].s || source[i + 1], 't': r[j].t || target[j]},
+            {'c': CASE WHEN source[i + 1] = target[j] THEN 1000000 ELSE r[j + 1].c + 1 END, 's': r[j + 1].s || source[i + 1], 't': r[j + 1].t || '-'},
+            {'c': CASE WHEN source[i + 1] = target[j] THEN 1000000 ELSE 1 END, 's': '-', 't': target[j]}])),
+        lambda acc, x: list_append(acc, CASE
+            WHEN x[1].c <= acc[len(acc)].c + x[3].c AND x[1].c <= x[2].c THEN x[1]
+            WHEN acc[len(acc)].c + x[3].c <= x[2].c THEN {'c': acc[len(acc)].c + x[3].c, 's': acc[len(acc)].s || x[3].s, 't': acc[len(acc)].t || x[3].t}
+            ELSE x[2] END))
+    FROM rows_ WHERE i < len(source)
+), aligned AS (SELECT id, r[len(r)].s AS s, r[len(r)].t AS t, CAST(r[len(r)].c AS INTEGER) AS edit_distance, greatest(len(source), len(target)) AS size FROM rows_ WHERE i = len(source))"""
+
+
+@query(f"WITH RECURSIVE {ALIGNED_SQL} SELECT id, s, t, edit_distance FROM aligned")
 def aligned_pairs(spark, sf_dir):
     return alignment.align(part_pairs(spark, sf_dir).select("id", "source", "target", "y"), 3).select("id", F.array_join("aligned_source", "").alias("s"), F.array_join("aligned_target", "").alias("t"), "edit_distance")
 
@@ -264,15 +281,55 @@ def _aligned(spark, sf_dir):
     return alignment.align(part_pairs(spark, sf_dir).select("id", "source", "target", "y"), 3)
 
 
-@query()
+# Places of the aligned sides, and runs of mismatches that a match ends.
+PLACES_SQL = ALIGNED_SQL + """, places AS (
+    SELECT id, size, edit_distance, k, s[k] AS a, t[k] AS b, s[k] = t[k] AS hit FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM aligned)
+), ended AS (
+    SELECT id, k, hit, a, b, coalesce(max(CASE WHEN hit THEN k END) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last FROM places
+), runs AS (
+    SELECT e.id, e.k, coalesce(c.a, f.a) || coalesce(string_agg(CASE WHEN p.a <> '-' THEN p.a END, '' ORDER BY p.k), '') || e.a AS x,
+           coalesce(c.b, f.b) || coalesce(string_agg(CASE WHEN p.b <> '-' THEN p.b END, '' ORDER BY p.k), '') || e.b AS z
+    FROM ended e JOIN places p ON p.id = e.id AND p.k > e.last AND p.k < e.k JOIN places f ON f.id = e.id AND f.k = 1 LEFT JOIN places c ON c.id = e.id AND c.k = e.last
+    WHERE e.hit GROUP BY e.id, e.k, e.a, e.b, c.a, c.b, f.a, f.b
+), mm AS (
+    SELECT id, 'MM:' || x || ',' || z AS feature FROM runs
+    UNION ALL SELECT id, 'MM:' || coalesce(nullif(x[2 : len(x) - 1], ''), '-') || ',,' || coalesce(nullif(z[2 : len(z) - 1], ''), '-') FROM runs
+)"""
+
+
+@query(f"WITH RECURSIVE {PLACES_SQL} SELECT id, feature, CAST(count(*) AS DOUBLE) AS value FROM mm GROUP BY id, feature")
 def mismatch_features(spark, sf_dir):
     rows = observed.bk_word(_aligned(spark, sf_dir), bias=False, normalize=False)
     return rows.filter(F.col("feature").startswith(observed.MISMATCH))
 
 
-@query()
+# Windows of one and two tokens of the source with a match; windows of the target move right from the first match until a match outside comes.
+PHRASES_SQL = PLACES_SQL + """, lefts AS (
+    SELECT id, k, a, hit, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM places WHERE a <> '-'
+), rights AS (
+    SELECT id, k, b, hit, row_number() OVER (PARTITION BY id ORDER BY k) AS n, count(*) OVER (PARTITION BY id) AS many FROM places WHERE b <> '-'
+), sizes AS (SELECT unnest([1, 2]) AS w), wins AS (
+    SELECT l.id, l.n, w, string_agg(m.a, '+' ORDER BY m.n) AS x, list(m.k ORDER BY m.k) FILTER (m.hit) AS linked
+    FROM lefts l, sizes JOIN lefts m ON m.id = l.id AND m.n BETWEEN l.n AND l.n + w - 1 GROUP BY l.id, l.n, w HAVING count(*) = w AND count(*) FILTER (m.hit) > 0
+), begun AS (
+    SELECT v.id, v.n, v.w, v.x, v.linked, z.w AS tw, r.many, greatest(0, r.n - z.w) AS first, greatest(r.n, least(r.many, greatest(0, r.n - z.w) + z.w)) AS stop
+    FROM wins v JOIN rights r ON r.id = v.id AND r.k = v.linked[1], sizes z
+), moved AS (
+    SELECT *, first + d AS lo, stop + d AS hi FROM (SELECT *, unnest(range(0, many - stop + 1)) AS d FROM begun) g
+    WHERE NOT EXISTS (SELECT 1 FROM rights o WHERE o.id = g.id AND o.n > g.stop AND o.n <= g.stop + g.d AND o.hit AND NOT list_contains(g.linked, o.k))
+), found AS (
+    SELECT m.id, m.x || ',' || string_agg(r.b, '+' ORDER BY r.n) AS feature
+    FROM moved m JOIN rights r ON r.id = m.id AND r.n > m.lo AND r.n <= m.hi GROUP BY m.id, m.n, m.w, m.tw, m.d, m.x, m.linked
+    HAVING list(r.k ORDER BY r.k) FILTER (r.hit) = m.linked
+)"""
+
+
+@query(f"""WITH RECURSIVE {PHRASES_SQL}, bk AS (SELECT id, feature, count(*) AS n FROM found GROUP BY id, feature)
+SELECT id, feature, round(CAST(n AS DOUBLE) / size, 6) AS value FROM bk JOIN aligned USING (id)
+UNION ALL SELECT id, 'Bias', round(1.0 / size, 6) FROM aligned
+UNION ALL SELECT id, 'NED', round(CAST(edit_distance AS DOUBLE) / size, 6) FROM aligned WHERE edit_distance > 0""")
 def phrase_pairs_bk(spark, sf_dir):
-    return observed.bk_word(_aligned(spark, sf_dir), add_mismatches=False, ned=True)
+    return observed.bk_word(_aligned(spark, sf_dir), add_mismatches=False, ned=True).withColumn("value", F.round("value", 6))
 
 
 @query(f"WITH {KR_SQL}, f AS (SELECT DISTINCT feature FROM kr) SELECT CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS base_id, feature FROM f")
@@ -289,12 +346,11 @@ SCORES_SQL = KR_SQL + f""", counts_ AS (SELECT id, feature, count(*) AS cnt FROM
 
 
 def _scores(spark, sf_dir):
-    """id, y, score: observed features times the deterministic weights, both joined by feature."""
+    """id, y, score: observed features times the deterministic weights."""
     pairs = part_pairs(spark, sf_dir)
     values = observed.kr_word(pairs, bias=False)
     weight = ((F.ascii("feature") * 31 + F.length("feature") * 17) % 101 - 50) / 50.0
-    weights = values.select("feature").distinct().withColumn("weight", weight)
-    summed = values.join(weights, "feature").groupBy("id").agg(F.sum(F.col("value") * F.col("weight")).alias("score"))
+    summed = values.groupBy("id").agg(F.sum(F.col("value") * weight).alias("score"))
     return pairs.select("id", "y").join(summed, "id")
 
 
@@ -312,10 +368,13 @@ def logistic_loss_grad(spark, sf_dir):
     return _scores(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(S.log1_plus(F.exp(-m))), 6).alias("loss"), F.round(F.avg(-m * (1 - S.sigmoid(m))), 6).alias("slope"))
 
 
-@query(f"""WITH {SCORES_SQL}, s AS (SELECT CASE WHEN y = 1 THEN score ELSE -score END AS m FROM scored)
+# Scores that reach a threshold in exact numbers may miss it in sums of doubles, so they are rounded before they are compared.
+
+
+@query(f"""WITH {SCORES_SQL}, s AS (SELECT round(CASE WHEN y = 1 THEN score ELSE -score END, 9) AS m FROM scored)
 SELECT count(*) AS n, round(avg(greatest(0.0, 1 - m)), 6) AS loss, round(avg(CASE WHEN m < 1 THEN -m ELSE 0.0 END), 6) AS slope FROM s""")
 def hinge_loss_grad(spark, sf_dir):
-    m = F.when(F.col("y") == 1, F.col("score")).otherwise(-F.col("score"))
+    m = F.round(F.when(F.col("y") == 1, F.col("score")).otherwise(-F.col("score")), 9)
     return _scores(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg(S.hinge(1 - m)), 6).alias("loss"), F.round(F.avg(F.when(m < 1, -m).otherwise(0.0)), 6).alias("slope"))
 
 
@@ -348,7 +407,7 @@ def synthetic_posterior(spark, sf_dir):
     return scores.select("vec_id", F.posexplode(p).alias("k", "v")).select("vec_id", "k", F.round("v", 6).alias("p"))
 
 
-@query(f"WITH {SCORES_SQL} SELECT id, y, CASE WHEN score > -score THEN 1 ELSE 0 END AS yhat FROM scored")
+@query(f"WITH {SCORES_SQL} SELECT id, y, CASE WHEN round(score, 9) > 0 THEN 1 ELSE 0 END AS yhat FROM scored")
 def argmax_predictions(spark, sf_dir):
     return metrics.predict_labels(_label_scores(spark, sf_dir))
 
@@ -356,10 +415,10 @@ def argmax_predictions(spark, sf_dir):
 def _label_scores(spark, sf_dir):
     """id, y, label, score."""
     s = F.explode(F.array(F.struct(F.lit(0).alias("label"), (-F.col("score")).alias("score")), F.struct(F.lit(1).alias("label"), F.col("score").alias("score"))))
-    return _scores(spark, sf_dir).select("id", "y", s.alias("s")).select("id", "y", "s.label", "s.score")
+    return _scores(spark, sf_dir).withColumn("score", F.round("score", 9)).select("id", "y", s.alias("s")).select("id", "y", "s.label", "s.score")
 
 
-@query(f"""WITH {SCORES_SQL}, p AS (SELECT y, CASE WHEN score > -score THEN 1 ELSE 0 END AS h FROM scored),
+@query(f"""WITH {SCORES_SQL}, p AS (SELECT y, CASE WHEN round(score, 9) > 0 THEN 1 ELSE 0 END AS h FROM scored),
 c AS (SELECT count(*) AS n, count(*) FILTER (y = h) AS correct, CAST(count(*) FILTER (y = 1 AND h = 1) AS DOUBLE) AS tp, count(*) FILTER (h = 1) AS np, count(*) FILTER (y = 1) AS pos FROM p),
 r AS (SELECT n, correct, CAST(correct AS DOUBLE) / n AS accuracy, coalesce(tp / nullif(np, 0), 0.0) AS precision, coalesce(tp / nullif(pos, 0), 0.0) AS recall FROM c)
 SELECT n, correct, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0), 6) AS f1 FROM r""")
@@ -430,7 +489,32 @@ def lattice_viterbi(spark, sf_dir):
     return _lattice(event_pairs(spark, sf_dir), "viterbi").select("id", F.round("value", 6).alias("value"))
 
 
-@query()
+# Rows of both tables, forward over beginnings and backward over what is left, for the part pairs.
+FORWARD = "(greatest($a, $b) + ln(1 + exp(least($a, $b) - greatest($a, $b))))"
+_join = lambda a, b: FORWARD.replace("$a", f"({a})").replace("$b", f"({b})")
+OPS_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, ahead AS (
+    SELECT id, source, target, 0 AS i, list_transform(range(0, len(target) + 1), lambda j: CAST(-j AS DOUBLE)) AS r FROM pairs
+    UNION ALL
+    SELECT id, source, target, i + 1, list_reduce(list_concat([[r[1] - 1]], list_transform(range(1, len(target) + 1), lambda j: [{_join("r[j + 1] - 1", "r[j] + CASE WHEN source[i + 1] = target[j] THEN 1.0 ELSE -0.5 END")}])),
+        lambda acc, x: list_append(acc, {_join("x[1]", "acc[len(acc)] - 1")}))
+    FROM ahead WHERE i < len(source)
+), turned AS (SELECT id, reverse(source) AS source, reverse(target) AS target FROM pairs), back AS (
+    SELECT id, source, target, 0 AS i, list_transform(range(0, len(target) + 1), lambda j: CAST(-j AS DOUBLE)) AS r FROM turned
+    UNION ALL
+    SELECT id, source, target, i + 1, list_reduce(list_concat([[r[1] - 1]], list_transform(range(1, len(target) + 1), lambda j: [{_join("r[j + 1] - 1", "r[j] + CASE WHEN source[i + 1] = target[j] THEN 1.0 ELSE -0.5 END")}])),
+        lambda acc, x: list_append(acc, {_join("x[1]", "acc[len(acc)] - 1")}))
+    FROM back WHERE i < len(source)
+), cells AS (
+    SELECT a.id, a.source, a.target, a.i, j, a.r[j + 1] AS alpha, len(a.source) AS n, len(a.target) AS m FROM (SELECT *, unnest(range(0, len(target) + 1)) AS j FROM ahead) a
+), total AS (SELECT id, alpha AS z FROM cells WHERE i = n AND j = m), after AS (SELECT id, i AS left_i, j AS left_j, r[j + 1] AS beta FROM (SELECT *, unnest(range(0, len(target) + 1)) AS j FROM back)), used AS (
+    SELECT c.id, 'Del1' AS op, exp(alpha - 1 + beta - z) AS p FROM cells c JOIN total USING (id) JOIN after b ON b.id = c.id AND left_i = n - i - 1 AND left_j = m - j
+    UNION ALL SELECT c.id, 'Ins1', exp(alpha - 1 + beta - z) FROM cells c JOIN total USING (id) JOIN after b ON b.id = c.id AND left_i = n - i AND left_j = m - j - 1
+    UNION ALL SELECT c.id, CASE WHEN source[i + 1] = target[j + 1] THEN 'Mat11' ELSE 'Sub11' END, exp(alpha + CASE WHEN source[i + 1] = target[j + 1] THEN 1.0 ELSE -0.5 END + beta - z)
+        FROM cells c JOIN total USING (id) JOIN after b ON b.id = c.id AND left_i = n - i - 1 AND left_j = m - j - 1
+) SELECT id, op, round(sum(p), 6) AS expected FROM used GROUP BY id, op"""
+
+
+@query(OPS_SQL)
 def expected_op_counts(spark, sf_dir):
     return _lattice(part_pairs(spark, sf_dir), "expected_ops").select("id", "op", F.round("value", 6).alias("expected"))
 
