@@ -2,13 +2,13 @@
 
 A lattice is a directed acyclic graph over (source position, target position, state); its edges are edit operations with the
 features that they show. A batch puts the lattices of its pairs side by side and sorts all edges by level (how many tokens have
-been consumed), so that each step of a dynamic program is one vectorised operation over the batch, whatever the pairs' number.
+been consumed), so that each step of a dynamic program is one vectorised operation over the batch, whatever the pairs' number. The
+lattices are built in the same way, level by level; names of features are made once for each different history of steps.
 Structure and features don't depend on weights: a batch is built once and weighed again for each label and each iteration.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -39,70 +39,6 @@ class Edge:
     op: str
     source: str
     target: str
-    names: frozenset[str]
-
-
-def pair_edges(source: list[str], target: list[str], machine: Machine, generator, options: LatticeOptions = LatticeOptions(), allowed: Allowed | None = None, known: dict | None = None) -> tuple[list[Edge], int, int, int]:
-    """Edges of one pair's lattice, the number of its nodes, its root and its goal (the last node).
-
-    Nodes are visited in order of what they have consumed, so each is complete before it is left. known: names by history, for
-    generators that look at nothing else."""
-    n, m = len(source), len(target)
-
-    def named(history: list, i_prev: int, j_prev: int, i: int, j: int, no_op: bool) -> frozenset[str]:
-        if known is None or generator.positional:
-            return frozenset(generator.names(history, source, target, i_prev, j_prev, i, j, no_op))
-        key = (tuple(history), no_op)
-        if key not in known:
-            known[key] = frozenset(generator.names(history, source, target, i_prev, j_prev, i, j, no_op))
-        return known[key]
-
-    node: dict[tuple[int, int, int], int] = {}
-    parts: dict[int, list] = {}  # the steps that a node's state remembers
-
-    def at(i: int, j: int, state: int) -> int:
-        return node.setdefault((i, j, state), len(node))
-
-    edges: list[Edge] = []
-    start = ("None", "-", "-")
-    first = at(0, 0, 0)
-    parts[first] = [start]
-    finals = []
-    waiting: list[list[tuple[int, int, int]]] = [[] for _ in range(n + m + 1)]
-    waiting[0].append((0, 0, 0))
-    keep = machine.order
-    for level, here in enumerate(waiting):
-        for i, j, state in here:
-            me = node[i, j, state]
-            if i == n and j == m:
-                finals.append(me)
-                continue
-            reached = set()
-            for op, to in machine.moves[state]:
-                if not op.applies(source, target, i, j, allowed):
-                    continue
-                i2, j2 = i + op.n_source, j + op.n_target
-                key = (i2, j2, to)
-                if key in reached:
-                    continue
-                reached.add(key)
-                step = (op.name, "+".join(source[i:i2]) or "-", "+".join(target[j:j2]) or "-")
-                if key not in node:
-                    waiting[i2 + j2].append(key)
-                other = at(*key)
-                history = [*parts[me], step]
-                parts.setdefault(other, history[-keep:] if keep else [step])
-                # Order 0 forgets everything but that a step has been made.
-                edges.append(Edge(me, other, level + 1, *step, named(history, i, j, i2, j2, False)))
-    goal = len(node)
-    for me in finals:
-        names = named([*parts[me], start], n, m, n, m, True) if options.final_features else frozenset()
-        edges.append(Edge(me, goal, n + m + 1, *start, names))
-    root, count = first, goal + 1
-    if options.start_arc:
-        root, count = count, count + 1
-        edges.insert(0, Edge(root, first, 0, *start, named([start], 0, 0, 0, 0, True)))
-    return edges, count, root, goal
 
 
 def _segments(sorted_keys: np.ndarray) -> np.ndarray:
@@ -117,49 +53,210 @@ def _log_sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.log(np.add.reduceat(np.exp(values - np.repeat(safe, sizes)), starts)) + safe
 
 
+START = ("None", "-", "-")
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges (start, size), one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+class _Side:
+    """The tokens of all pairs on one side: numbers (equal tokens of both sides have equal ones), and where each pair's begin."""
+
+    def __init__(self, sequences: list[list[str]], numbers: dict[str, int], longest: int):
+        self.length = np.array([len(s) for s in sequences], np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.tokens = [t for s in sequences for t in s]
+        flat = np.array([numbers.setdefault(t, len(numbers)) for t in self.tokens], np.int64)
+        self.flat = np.concatenate([flat, np.full(longest + 1, -1)])
+        self.phrases: dict[tuple[int, ...], int] = {(): 0}
+        #: By length, the phrase that begins at each token (whether or not it ends in the same sequence).
+        self.phrase = [np.zeros(len(flat) + 1, np.int64)]
+        for n in range(1, longest + 1):
+            windows = np.stack([self.flat[k : len(flat) + 1 + k] for k in range(n)], axis=1)
+            different, which = np.unique(windows, axis=0, return_inverse=True)
+            ids = np.array([self.phrases.setdefault(tuple(w), len(self.phrases)) for w in different.tolist()], np.int64)
+            self.phrase.append(ids[which.ravel()])
+        self.words = list(numbers)
+
+    def texts(self, words: list[str]) -> list[str]:
+        return ["+".join(words[t] if t >= 0 else "" for t in phrase) or "-" for phrase in self.phrases]
+
+    def fitting(self, allowed: Allowed | None, n: int, side: int, words: list[str]) -> np.ndarray | None:
+        """By first token: whether a phrase of n tokens may be consumed (None: all may)."""
+        if allowed is None:
+            return None
+        fits = [allowed.fits(*([[words[t] for t in p], []] if side == 0 else [[], [words[t] for t in p]])) if len(p) == n and -1 not in p else False for p in self.phrases]
+        return np.array(fits, bool)[self.phrase[n]]
+
+
 class Batch:
     """Lattices of many pairs. index: feature name to base id; names that it lacks are dropped (gather=True: they are added)."""
 
     def __init__(self, pairs: list[tuple[list[str], list[str]]], machine: Machine, generator, index: dict[str, int], options: LatticeOptions = LatticeOptions(), allowed: Allowed | None = None, gather: bool = False):
-        self.n = len(pairs)
-        edges, pair_of, roots, goals, total = [], [], [], [], 0
-        src, dst, level = [], [], []
-        ptr, ids, values, known = [0], [], [], {}
-        for p, (s, t) in enumerate(pairs):
-            own, count, root, goal = pair_edges(s, t, machine, generator, options, allowed, known)
-            size = max(len(s), len(t)) - (2 if options.markers else 0)
-            value = 1.0 / size if generator.normalize and size > 0 else 1.0
-            for e in own:
-                edges.append(e)
-                pair_of.append(p)
-                src.append(e.src + total)
-                dst.append(e.dst + total)
-                level.append(e.level)
-                for name in sorted(e.names):
-                    if gather and name not in index:
-                        index[name] = len(index)
-                    if name in index:
-                        ids.append(index[name])
-                        values.append(value)
-                ptr.append(len(ids))
-            roots.append(root + total)
-            goals.append(goal + total)
-            total += count
-        self.edges, self.n_nodes = edges, total
-        self.pair = np.array(pair_of, np.int64)
-        self.src, self.dst, self.level = (np.array(x, np.int64) for x in (src, dst, level))
-        self.ptr, self.ids, self.values = np.array(ptr, np.int64), np.array(ids, np.int64), np.array(values)
-        self.root, self.goal = np.array(roots, np.int64), np.array(goals, np.int64)
-        self.edge_of_value = np.repeat(np.arange(len(edges)), np.diff(self.ptr))
-        self.levels = int(self.level.max()) + 1 if len(edges) else 0
+        self.n, self.pairs, self.machine = len(pairs), pairs, machine
+        self._grow(machine, options, allowed)
+        size = np.maximum(self.sides[0].length, self.sides[1].length) - (2 if options.markers else 0)
+        share = np.where(size > 0, 1.0 / np.maximum(size, 1), 1.0) if generator.normalize else np.ones(self.n)
+        which, lists = self._named(generator, options, index, gather)
+        sizes = np.array([len(x) for x in lists], np.int64)
+        flat = np.array([i for x in lists for i in x], np.int64)
+        runs = sizes[which] if len(which) else np.zeros(0, np.int64)
+        self.ptr = np.concatenate([[0], np.cumsum(runs)])
+        self.ids = flat[_spread((np.cumsum(sizes) - sizes)[which], runs)] if len(which) else np.zeros(0, np.int64)
+        self.edge_of_value = np.repeat(np.arange(self.n_edges), runs)
+        self.values = share[self.pair[self.edge_of_value]]
+        self.levels = int(self.level.max()) + 1 if self.n_edges else 0
         self._forward = self._plan(self.dst)
         self._backward = self._plan(self.src)
         # Places of (pair, feature): the sparse vectors of the pairs.
-        key = self.pair[self.edge_of_value] * (int(self.ids.max()) + 1 if len(self.ids) else 1) + self.ids
-        self.places, self.place_of_value = np.unique(key, return_inverse=True)
         width = int(self.ids.max()) + 1 if len(self.ids) else 1
+        self.places, self.place_of_value = np.unique(self.pair[self.edge_of_value] * width + self.ids, return_inverse=True)
         self.place_pair, self.place_id = self.places // width, self.places % width
 
+    @property
+    def n_edges(self) -> int:
+        return len(self.src)
+
+    def _grow(self, machine: Machine, options: LatticeOptions, allowed: Allowed | None) -> None:
+        """Nodes and edges of all pairs, level by level, so each node is complete before it is left. A node's edges stand in order
+        of the machine's moves."""
+        ops = machine.operations
+        longest = [max((o.n_source for o in ops), default=0), max((o.n_target for o in ops), default=0)]
+        numbers: dict[str, int] = {}
+        s, t = self.sides = [_Side([p[k] for p in self.pairs], numbers, longest[k]) for k in (0, 1)]
+        words = list(numbers)
+        may = [[side.fitting(allowed, n, k, words) for n in range(longest[k] + 1)] for k, side in enumerate(self.sides)]
+        high, wide, states = int(s.length.max(initial=0)) + 1, int(t.length.max(initial=0)) + 1, len(machine.states)
+        key_of = lambda pair, i, j, state: ((pair * high + i) * wide + j) * states + state
+        whole = np.arange(self.n)
+        # For each level what arrives there: keys of nodes, and the edge that came first (-1: none).
+        waiting: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(high + wide)]
+        waiting[0].append((key_of(whole, 0, 0, 0), np.full(self.n, -1)))
+        keys, came, edges, finals = [], [], [], []
+        n_nodes = n_edges = 0
+        for level, arrived in enumerate(waiting):
+            if not arrived:
+                continue
+            key, first = np.unique(np.concatenate([k for k, _ in arrived]), return_index=True)
+            keys.append(key)
+            came.append(np.concatenate([e for _, e in arrived])[first])
+            me = n_nodes + np.arange(len(key))
+            n_nodes += len(key)
+            rest, state = np.divmod(key, states)
+            rest, j = np.divmod(rest, wide)
+            pair, i = np.divmod(rest, high)
+            done = (i == s.length[pair]) & (j == t.length[pair])
+            finals.append((me[done], pair[done]))
+            for k in range(states):
+                here = np.flatnonzero((state == k) & ~done)
+                if not len(here):
+                    continue
+                taken: dict[tuple[int, int, int], np.ndarray] = {}
+                p, a, b = pair[here], i[here], j[here]
+                for op, to in machine.moves[k]:
+                    fits = (a + op.n_source <= s.length[p]) & (b + op.n_target <= t.length[p])
+                    at_s, at_t = np.where(fits, s.first[p] + a, 0), np.where(fits, t.first[p] + b, 0)
+                    if op.kind in ("Mat", "Sub"):
+                        same = np.full(len(p), op.n_source == op.n_target)
+                        for d in range(op.n_source if op.n_source == op.n_target else 0):
+                            same &= s.flat[at_s + d] == t.flat[at_t + d]
+                        fits &= same if op.kind == "Mat" else ~same
+                    for side, at, n in ((0, at_s, op.n_source), (1, at_t, op.n_target)):
+                        if may[side][n] is not None and (n or allowed.pattern is None):
+                            fits &= may[side][n][at]
+                    # Of moves that lead to the same node the first one counts.
+                    way = (op.n_source, op.n_target, to)
+                    if way in taken:
+                        fits &= ~taken[way]
+                    taken[way] = fits | taken.get(way, False)
+                    go = np.flatnonzero(fits)
+                    if not len(go):
+                        continue
+                    target = key_of(p[go], a[go] + op.n_source, b[go] + op.n_target, to)
+                    edges.append((me[here[go]], target, np.full(len(go), level + 1), p[go], np.full(len(go), ops.index(op)), s.phrase[op.n_source][at_s[go]], t.phrase[op.n_target][at_t[go]], a[go], b[go]))
+                    waiting[level + op.n_source + op.n_target].append((target, n_edges + np.arange(len(go))))
+                    n_edges += len(go)
+        empty = [np.zeros(0, np.int64)] * 9
+        src, dst, lev, pair, op, sp, tp, i, j = (np.concatenate(c) for c in zip(*edges)) if edges else empty
+        key, first = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, came))
+        by = np.argsort(key)
+        dst = by[np.searchsorted(key[by], dst)] if len(dst) else dst
+        self._came = first
+        # Steps: what an edge does, numbered; the last one does nothing.
+        n_s, n_t = len(s.phrases), len(t.phrases)
+        steps, self.step = np.unique((op * n_s + sp) * n_t + tp, return_inverse=True)
+        texts = [side.texts(words) for side in self.sides]
+        self.steps_known = [(ops[x // (n_s * n_t)].name, texts[0][x // n_t % n_s], texts[1][x % n_t]) for x in steps.tolist()] + [START]
+        end, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*finals)) if finals else empty[:2]
+        none = len(self.steps_known) - 1
+        goal = n_nodes + whole
+        n_nodes += self.n
+        parts = [(src, end), (dst, goal[of]), (lev, s.length[of] + t.length[of] + 1), (pair, of), (self.step, np.full(len(of), none)), (i, s.length[of]), (j, t.length[of])]
+        # The roots are the first nodes, one for each pair in order.
+        root = whole
+        if options.start_arc:
+            arcs = (n_nodes + whole, whole, np.zeros(self.n, np.int64), whole, np.full(self.n, none), np.zeros(self.n, np.int64), np.zeros(self.n, np.int64))
+            parts = [(*x, arc) for x, arc in zip(parts, arcs)]
+            root, n_nodes = n_nodes + whole, n_nodes + self.n
+        self.src, self.dst, self.level, self.pair, self.step, self._i, self._j = (np.concatenate(x).astype(np.int64) for x in parts)
+        self.n_nodes, self.root, self.goal, self._n_moves = n_nodes, root, goal, len(src)
+
+    def _named(self, generator, options: LatticeOptions, index: dict[str, int], gather: bool) -> tuple[np.ndarray, list[list[int]]]:
+        """For each edge the number of a list of feature ids, and these lists."""
+        none, moves = len(self.steps_known) - 1, self._n_moves
+        # What the state of a node remembers: the last step or the last two; -1: there is none.
+        node = np.arange(len(self._came))
+        gone = self._came >= 0
+        last, before = np.full(len(node), none), np.full(len(node), -1)
+        last[gone] = self.step[self._came[gone]]
+        if self.machine.order > 1:
+            before[gone] = last[self.src[self._came[gone]]]
+        m = none + 2
+        inside = self.src < len(node)
+        src = np.where(inside, self.src, 0)
+        key = np.where(inside & (self.machine.order > 0), last[src] + 1, np.where(inside, none + 1, 0))
+        key = (np.where(inside, before[src] + 1, 0) * m + key) * m + self.step + 1
+        # Edges to the goal show features only if they are asked for; number 0 is the empty list.
+        silent = np.zeros(self.n_edges, bool)
+        if not options.final_features:
+            silent[moves:] = np.isin(self.dst[moves:], self.goal)
+        lists: list[list[int]] = [[]]
+        which = np.zeros(self.n_edges, np.int64)
+
+        def known(names: set[str]) -> list[int]:
+            out = []
+            for name in sorted(names):
+                if gather and name not in index:
+                    index[name] = len(index)
+                if name in index:
+                    out.append(index[name])
+            return out
+
+        shown = np.flatnonzero(~silent)
+        kinds, first, kind = np.unique(key[shown], return_index=True, return_inverse=True)
+        history_of = lambda k: [self.steps_known[x - 1] for x in (k // (m * m), k // m % m, k % m) if x]
+        if not generator.positional:
+            lists += [known(generator.names(history_of(k), [], [], 0, 0, 0, 0, shown[f] >= moves)) for k, f in zip(kinds.tolist(), first.tolist())]
+            which[shown] = kind + 1
+            return which, lists
+        # Features that look at positions are made edge by edge.
+        histories = [history_of(k) for k in kinds.tolist()]
+        for e, k in zip(shown.tolist(), kind.tolist()):
+            source, target = self.pairs[self.pair[e]]
+            i, j = int(self._i[e]), int(self._j[e])
+            _, a, b = self.steps_known[self.step[e]]
+            width = [0, 0] if e >= moves else [0 if x == "-" else x.count("+") + 1 for x in (a, b)]
+            lists.append(known(generator.names(histories[k], source, target, i, j, i + width[0], j + width[1], e >= moves)))
+            which[e] = len(lists) - 1
+        return which, lists
+
+    @property
+    def edges(self) -> list[Edge]:
+        """All edges as objects."""
+        return [Edge(int(self.src[e]), int(self.dst[e]), int(self.level[e]), *self.steps_known[self.step[e]]) for e in range(self.n_edges)]
+
     def _plan(self, by: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each level: its edges sorted by a node, where each node's edges start, and the nodes."""
         out = []
@@ -176,10 +273,7 @@ class Batch:
 
     def weigh(self, weights: np.ndarray) -> np.ndarray:
         """Log weight of every edge under weights of the base features."""
-        out = np.zeros(len(self.edges))
-        if len(self.ids):
-            np.add.at(out, self.edge_of_value, weights[self.ids] * self.values)
-        return out
+        return np.bincount(self.edge_of_value, weights[self.ids] * self.values, self.n_edges) if len(self.ids) else np.zeros(self.n_edges)
 
     def inside(self, w: np.ndarray) -> np.ndarray:
         """Log mass of all paths from each node to its goal."""
@@ -228,7 +322,7 @@ class Batch:
             sizes = np.diff(np.append(starts, len(e)))
             hit = np.where(score == np.repeat(top, sizes), np.arange(len(e)), len(e))
             first = e[np.minimum.reduceat(hit, starts)]
-            take = (top > best[nodes]) | ((top == best[nodes]) & np.isfinite(top) & (first < np.where(chosen[nodes] < 0, len(self.edges), chosen[nodes])))
+            take = (top > best[nodes]) | ((top == best[nodes]) & np.isfinite(top) & (first < np.where(chosen[nodes] < 0, self.n_edges, chosen[nodes])))
             best[nodes[take]], chosen[nodes[take]] = top[take], first[take]
         return best[self.root], chosen
 
@@ -255,35 +349,35 @@ class Batch:
         return score, [self.path_vector(self.best_path(p, chosen)) for p in range(self.n)]
 
     def k_best(self, w: np.ndarray, k: int) -> list[list[tuple[float, list[int]]]]:
-        """The k best paths of each pair, best first: a search from the root whose bounds are the exact best completions. Of equal
-        bounds the latest is followed first, so ties end in whole paths, and the first one takes first edges."""
-        best = np.full(self.n_nodes, NEG_INF)
-        best[self.goal] = 0.0
+        """The k best paths of each pair, best first. Going backward, every node keeps its k best ways to the goal; scores that agree
+        to nine digits are ties, of which those come first that take earlier edges."""
+        best = np.full((self.n_nodes, k), NEG_INF)
+        best[self.goal, 0] = 0.0
+        edge, rank = np.full((self.n_nodes, k), -1), np.zeros((self.n_nodes, k), np.int64)
         for e, starts, nodes in reversed(self._backward):
-            if len(e):
-                best[nodes] = np.maximum(best[nodes], np.maximum.reduceat(w[e] + best[self.dst[e]], starts))
-        leaving: dict[int, list[int]] = {}
-        for e, s in enumerate(self.src.tolist()):
-            leaving.setdefault(s, []).append(e)
-        out = []
-        for p in range(self.n):
-            root, goal, found, n = int(self.root[p]), int(self.goal[p]), [], 0
-            heap = [(-round(best[root], 9), 0, 0.0, root, None)] if np.isfinite(best[root]) else []
-            while heap and len(found) < k:
-                _, _, score, node, trail = heapq.heappop(heap)
-                if node == goal:
-                    path = []
-                    while trail is not None:
-                        e, trail = trail
-                        path.append(e)
-                    found.append((score, path[::-1]))
-                    continue
-                for e in reversed(leaving.get(node, ())):
-                    d = int(self.dst[e])
-                    if np.isfinite(best[d]):
-                        n += 1
-                        heapq.heappush(heap, (-round(score + w[e] + best[d], 9), -n, score + w[e], d, (e, trail)))
-            out.append(found)
+            if not len(e):
+                continue
+            owner = np.repeat(np.arange(len(nodes)), np.diff(np.append(starts, len(e))) * k)
+            score = (w[e][:, None] + best[self.dst[e]]).ravel()
+            # Edges and their ways are in order, and so they stay where scores are the same.
+            order = np.lexsort((np.arange(len(score)), -np.round(score, 9), owner))
+            place = np.arange(len(order)) - np.repeat(np.searchsorted(owner, np.arange(len(nodes))), np.bincount(owner, minlength=len(nodes)))
+            kept = order[(place < k) & np.isfinite(score[order])]
+            place = place[(place < k) & np.isfinite(score[order])]
+            at = nodes[owner[kept]]
+            best[at, place], edge[at, place], rank[at, place] = score[kept], e[kept // k], kept % k
+        out: list[list[tuple[float, list[int]]]] = [[] for _ in range(self.n)]
+        pair, r = np.nonzero(np.isfinite(best[self.root]))
+        node, trails = self.root[pair], [[] for _ in range(len(pair))]
+        scores, live = best[node, r], np.arange(len(pair))
+        while (live := live[node[live] != self.goal[pair[live]]]).size:
+            e = edge[node[live], r[live]]
+            r[live] = rank[node[live], r[live]]
+            node[live] = self.dst[e]
+            for t, x in zip(live.tolist(), e.tolist()):
+                trails[t].append(x)
+        for p, score, trail in zip(pair.tolist(), scores.tolist(), trails):
+            out[p].append((score, trail))
         return out
 
     def cooccurrences(self, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -317,7 +411,7 @@ class Batch:
         return out
 
     def steps(self, path: list[int]) -> list[tuple[str, str, str]]:
-        return [(self.edges[e].op, self.edges[e].source, self.edges[e].target) for e in path]
+        return [self.steps_known[self.step[e]] for e in path]
 
     def blocks(self, w: np.ndarray, k: int = 1) -> list[list[str]]:
         """Printed alignments of each pair, best first; steps that consume nothing are left out."""
@@ -334,7 +428,7 @@ class Batch:
         """A pair's lattice as text for graph drawing."""
         mine = np.flatnonzero(self.pair == p)
         nodes = sorted({*self.src[mine].tolist(), *self.dst[mine].tolist()})
-        lines = [f"{v};" for v in nodes] + [f'{self.src[e]} -> {self.dst[e]} [label="{self.edges[e].op} {w[e]:g}"];' for e in mine]
+        lines = [f"{v};" for v in nodes] + [f'{self.src[e]} -> {self.dst[e]} [label="{self.steps_known[self.step[e]][0]} {w[e]:g}"];' for e in mine]
         return "digraph G {\n" + "\n".join(lines) + "\n}\n"
 
 
@@ -362,7 +456,7 @@ MODES = {
 _ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
 
 
-def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, float], mode: str, options: LatticeOptions = LatticeOptions(), k: int = 2, per_batch: int = 32, allowed: Allowed | None = None) -> DataFrame:
+def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, float], mode: str, options: LatticeOptions = LatticeOptions(), k: int = 2, per_batch: int = 128, allowed: Allowed | None = None) -> DataFrame:
     """Inference over pairs (id, source, target) with weights by feature name, in Arrow batches; features without a weight don't count.
 
     log_partition, viterbi: id, value. expected_ops: id, op, value (expected number of uses). k_best: id, rank, value, ops.
@@ -379,12 +473,11 @@ def infer(pairs: DataFrame, machine: Machine, generator, weights: dict[str, floa
             return list(zip(ids, batch.viterbi(w)[0].tolist()))
         if mode == "expected_ops":
             _, p = batch.edge_posteriors(w)
-            sums: dict[tuple, float] = {}
-            for e, edge in enumerate(batch.edges):
-                if edge.op != NO_OP.name:
-                    key = (ids[batch.pair[e]], edge.op)
-                    sums[key] = sums.get(key, 0.0) + float(p[e])
-            return [(*key, v) for key, v in sums.items()]
+            kinds = sorted({op for op, _, _ in batch.steps_known} - {NO_OP.name})
+            kind = np.array([kinds.index(op) if op != NO_OP.name else len(kinds) for op, _, _ in batch.steps_known])[batch.step]
+            sums = np.bincount(batch.pair * (len(kinds) + 1) + kind, p, batch.n * (len(kinds) + 1)).reshape(batch.n, -1)
+            seen = np.bincount(batch.pair * (len(kinds) + 1) + kind, minlength=sums.size).reshape(sums.shape) > 0
+            return [(ids[i], kinds[o], float(sums[i, o])) for i, o in zip(*(x.tolist() for x in np.nonzero(seen[:, :-1])))]
         if mode == "expected":
             return [(ids[p], names[f], v) for p, f, v in zip(batch.place_pair.tolist(), batch.place_id.tolist(), batch.expected(w)[1].tolist())]
         if mode == "max_features":

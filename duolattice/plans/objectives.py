@@ -77,7 +77,7 @@ class ExampleBatch:
 
     def paths(self) -> np.ndarray:
         """Log number of alignments."""
-        return self.lattice.log_partition(np.zeros(len(self.lattice.edges)))
+        return self.lattice.log_partition(np.zeros(self.lattice.n_edges))
 
     def expected(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log mass, and expectations of the latent features at the lattice's places."""

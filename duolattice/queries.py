@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -519,17 +520,43 @@ def expected_op_counts(spark, sf_dir):
     return _lattice(part_pairs(spark, sf_dir), "expected_ops").select("id", "op", F.round("value", 6).alias("expected"))
 
 
-@query()
+# Cells hold the three best ways on from a place, with a letter for each step in order of the machine's moves; the sequences are turned around.
+_WAY = "list_transform({0}, lambda c: {{'s': c.s - {1}, 'o': '{2}' || c.o}})".format
+KBEST_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, turned AS (SELECT id, reverse(source) AS source, reverse(target) AS target FROM pairs), rows_ AS (
+    SELECT id, source, target, 0 AS i, list_transform(range(0, len(target) + 1), lambda j: [{{'s': CAST(j AS DOUBLE), 'o': repeat('b', j)}}]) AS r FROM turned
+    UNION ALL
+    SELECT id, source, target, i + 1, list_reduce(list_concat([[[{{'s': r[1][1].s + 1, 'o': 'a' || r[1][1].o}}]]],
+        list_transform(range(1, len(target) + 1), lambda j: [list_concat({_WAY("r[j + 1]", "-1.0", "a")},
+            CASE WHEN source[i + 1] = target[j] THEN {_WAY("r[j]", "1.0", "d")} ELSE {_WAY("r[j]", "-0.5", "c")} END)])),
+        lambda acc, x: list_append(acc, list_sort(list_concat(x[1], {_WAY("acc[len(acc)]", "-1.0", "b")}))[1:3]))
+    FROM rows_ WHERE i < len(source)
+) SELECT id, CAST(k - 1 AS INTEGER) AS rank, round(-c.s, 6) AS score, replace(replace(replace(replace(array_to_string(string_split(c.o, ''), ' '), 'a', 'Del1'), 'b', 'Ins1'), 'c', 'Sub11'), 'd', 'Mat11') AS ops
+FROM (SELECT id, k, r[len(r)][k] AS c FROM (SELECT *, unnest(range(1, len(r[len(r)]) + 1)) AS k FROM rows_ WHERE i = len(source)))"""
+
+
+@query(KBEST_SQL)
 def kbest_alignments(spark, sf_dir):
-    return _lattice(part_pairs(spark, sf_dir), "k_best", k=3).select("id", "rank", F.round("value", 6).alias("score"), "ops")
+    return _lattice(part_pairs(spark, sf_dir), "k_best", k=3).select("id", "rank", F.round("value", 6).alias("score"), F.array_join("ops", " ").alias("ops"))
 
 
 @query("""WITH t AS (SELECT event_type AS cur, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
 SELECT 'S:' || coalesce(prev, 'None') || '>' || cur AS feature, count(*) AS cnt FROM t GROUP BY 1""")
 def bigram_state_transitions(spark, sf_dir):
-    """State bigrams of the event sequences, each of which starts at None."""
-    steps = F.transform("seq", lambda e, i: F.concat(F.lit("S:"), F.coalesce(F.get("seq", i - 1), F.lit("None")), F.lit(">"), e))
-    return event_sequences(spark, sf_dir).select(F.explode(steps).alias("feature")).groupBy("feature").agg(F.count("*").alias("cnt"))
+    """State bigrams of the event sequences, each of which starts at None: events stand for the operations of a path."""
+    generator = WordAlignment(order=1, align_ngrams=False, collapsed_ngrams=False)
+    steps = event_sequences(spark, sf_dir).select(F.explode(F.transform("seq", lambda e, i: F.struct(F.get("seq", i - 1).alias("prev"), e.alias("cur")))).alias("p"))
+    counts = steps.groupBy("p.prev", "p.cur").agg(F.count("*").alias("cnt"))
+
+    def kernel(batches):
+        for b in batches:
+            rows = []
+            for prev, cur, n in zip(*(c.to_pylist() for c in b.columns)):
+                history = [(prev or "None", "-", "-"), (cur, "x", "y")]
+                rows += [(f, n) for f in generator.names(history, [], [], 0, 0, 0, 0, False) if ">" in f]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["feature", "cnt"])
+
+    return counts.select("prev", "cur", "cnt").mapInArrow(kernel, "feature string, cnt long")
 
 
 # Training (rows only)
