@@ -56,15 +56,16 @@ def align_tokens(s: list[str], t: list[str], sub_cost: int = 1) -> tuple[int, li
 
 
 def align(pairs: DataFrame, sub_cost: int = 3) -> DataFrame:
-    """Adds aligned_source, aligned_target, longest and edit_distance to pairs of source and target."""
+    """Adds aligned_source, aligned_target, longest and edit_distance to pairs of source and target; all four are null where a side is null."""
     added = [T.StructField(n, t) for n, t in (("aligned_source", T.ArrayType(T.StringType())), ("aligned_target", T.ArrayType(T.StringType())), ("longest", T.IntegerType()), ("edit_distance", T.IntegerType()))]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s, t = b.column("source").to_pylist(), b.column("target").to_pylist()
-            done = [align_tokens(x, y, sub_cost) for x, y in zip(s, t)]
+            done = [(None, None, None) if x is None or y is None else align_tokens(x, y, sub_cost) for x, y in zip(s, t)]
             strings = pa.list_(pa.string())
-            columns = [pa.array([d[1] for d in done], strings), pa.array([d[2] for d in done], strings), pa.array([max(len(x), len(y)) for x, y in zip(s, t)], pa.int32()), pa.array([d[0] for d in done], pa.int32())]
+            longest = [None if x is None or y is None else max(len(x), len(y)) for x, y in zip(s, t)]
+            columns = [pa.array([d[1] for d in done], strings), pa.array([d[2] for d in done], strings), pa.array(longest, pa.int32()), pa.array([d[0] for d in done], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, *(f.name for f in added)])
 
     return pairs.mapInArrow(kernel, T.StructType([*pairs.schema.fields, *added]))

@@ -150,4 +150,5 @@ def eleven_point_from_predictions(lines: list[str]) -> float | None:
     if not len(hits) or not hits[-1]:
         return None
     precision, recall = hits / np.arange(1, len(hits) + 1), hits / hits[-1]
+    # Fixed value: ten, with a margin for rounding.
     return float(np.mean([1.0, *(precision[recall * 10.0000001 >= k].max() for k in range(1, 11))]))

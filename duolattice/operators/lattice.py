@@ -380,6 +380,22 @@ class Batch:
             out[p].append((score, trail))
         return out
 
+    def along(self, w: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """For each edge its probability times the expected sum of f (a number for each edge) over the paths that take it."""
+        beta, alpha = self.inside(w), self.outside(w)
+        _, p = self.edge_posteriors(w)
+        before, after = np.zeros(self.n_nodes), np.zeros(self.n_nodes)
+        with np.errstate(invalid="ignore"):
+            share = np.nan_to_num(np.exp(alpha[self.src] + w - alpha[self.dst]))
+            rest = np.nan_to_num(np.exp(w + beta[self.dst] - beta[self.src]))
+        for e, starts, nodes in self._forward:
+            if len(e):
+                before[nodes] += np.add.reduceat(share[e] * (before[self.src[e]] + f[e]), starts)
+        for e, starts, nodes in reversed(self._backward):
+            if len(e):
+                after[nodes] += np.add.reduceat(rest[e] * (after[self.dst[e]] + f[e]), starts)
+        return p * (before[self.src] + f + after[self.dst])
+
     def cooccurrences(self, w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each pair its active features and E[phi phi'] over them.
 

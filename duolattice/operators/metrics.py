@@ -26,7 +26,7 @@ def precision_recall(ranked: DataFrame, buckets: int = 64) -> DataFrame:
 
     Scores are cut into ranges by approximate quantiles; each range is ranked by itself and moved by the counts before it, so no
     task sorts everything."""
-    ranked = ranked.select("id", "y", "score").persist()  # read for its size, cuts, counts and rows
+    ranked = ranked.select("id", "y", "score")
     n = ranked.count()
     cuts = sorted(set(ranked.approxQuantile("score", [k / buckets for k in range(1, buckets)], 0.001))) if n > 100_000 else []
     part = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c > F.col("score"))) if cuts else F.lit(0)
@@ -47,6 +47,7 @@ def average_precision_11pt(ranked: DataFrame) -> DataFrame:
     curve = precision_recall(ranked)
     total = ranked.agg(F.count_if(F.col("y") == 1).alias("total"))
     points = curve.filter("y = 1").crossJoin(F.broadcast(total)).select((F.col("hits") / F.col("rank")).alias("p"), (F.col("hits") / F.col("total")).alias("r"))
+    # Fixed value: ten, with a margin for rounding.
     best = points.agg(*(F.max(F.when(F.col("r") * 10.0000001 >= k, F.col("p"))).alias(f"p{k}") for k in range(1, 11)))
     mean = sum((F.col(f"p{k}") for k in range(1, 11)), F.lit(1.0)) / 11
     return best.select(mean.alias("avg_precision"))

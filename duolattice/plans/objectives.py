@@ -110,17 +110,16 @@ class ExampleBatch:
                     out[i] += k * v
         return out
 
-    def covariance_product(self, u: np.ndarray, v: np.ndarray | list[np.ndarray], c: np.ndarray, e: np.ndarray) -> np.ndarray:
-        """Sum over pairs of c * Cov_u[phi] v (v: one vector, or one for each pair's active features)."""
-        b, out = self.lattice, np.zeros(self.d)
-        for p, (active, second) in enumerate(b.cooccurrences(b.weigh(u))):
-            if c[p] and len(active):
-                mean = np.zeros(len(active))
-                at = b.place_pair == p
-                mean[np.searchsorted(active, b.place_id[at])] = e[at]
-                x = v[p] if isinstance(v, list) else v[active]
-                out[active] += c[p] * (second @ x - mean * (mean @ x))
-        return out
+    def covariance_product(self, u: np.ndarray, v: np.ndarray, c: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Sum over pairs of c * Cov_u[phi] v (v: one vector, or a row for each pair)."""
+        b = self.lattice
+        if not len(b.ids):
+            return np.zeros(self.d)
+        direction = v[b.ids] if v.ndim == 1 else v[b.pair[b.edge_of_value], b.ids]
+        f = np.bincount(b.edge_of_value, direction * b.values, b.n_edges)
+        second = np.bincount(b.place_of_value, b.along(b.weigh(u), f)[b.edge_of_value] * b.values, len(b.places))
+        mean = np.bincount(b.place_pair, e * (v[b.place_id] if v.ndim == 1 else v[b.place_pair, b.place_id]), self.n)
+        return np.bincount(b.place_id, c[b.place_pair] * (second - e * mean[b.place_pair]), self.d)
 
 
 def _softmax(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,9 +264,7 @@ class LogLinearMultiELFVSigmoid(LogLinearMultiELFV):
             c = p[:, k] - (own == k)
             # The halves of all labels cancel, as the coefficients of each example sum to zero.
             grad_w.append((m - 0.5).T @ c)
-            active = [a for a, _ in batch.lattice.cooccurrences(batch.lattice.weigh(self.u(theta)[k]))]
-            v = [self.w(theta)[k][a] * m[i, a] * (1 - m[i, a]) for i, a in enumerate(active)]
-            grad_u.append(batch.covariance_product(self.u(theta)[k], v, c, e))
+            grad_u.append(batch.covariance_product(self.u(theta)[k], self.w(theta)[k] * m * (1 - m), c, e))
         return float((total - s[np.arange(batch.n), own]).sum()), np.concatenate([*grad_w, *grad_u])
 
 

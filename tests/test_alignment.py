@@ -33,3 +33,9 @@ def test_printed_alignments_round_trip():
     text = A.format_alignment(0, -300, ["Mat11", "Ins1"], ["s", "-"], ["s", "u"]) + A.format_alignment(1, 0.5, ["Del1"], ["x"], ["-"])
     assert text.startswith("Alignment 0 ( weight = -300 ):\nMat11 Ins1 \n|s| \n|s|u\n")
     assert A.parse_alignments(text) == [(["s", "-"], ["s", "u"], 1), (["x"], ["-"], 1)]
+
+
+def test_null_sides(spark):
+    df = spark.createDataFrame([(1, None, ["a"], 1), (2, ["a"], ["b", "a"], 0), (3, [], None, 1)], "id long, source array<string>, target array<string>, y int")
+    got = {r.id: (r.aligned_source, r.longest, r.edit_distance) for r in alignment.align(df).collect()}
+    assert got == {1: (None, None, None), 2: (["-", "a"], 2, 1), 3: (None, None, None)}
