@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from duolattice.operators import alignment
 from duolattice.operators import alignment as A
 
 
