@@ -5,10 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import posixpath
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import scratch_path, shared_dir  # noqa: F401  for the operators
+
 #: Bytes of text that a kernel takes at a time, so that memory doesn't follow the size of Arrow batches.
 CHUNK_BYTES = 8 << 20
 
@@ -37,26 +35,6 @@ def forget_others(*mine: str) -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir. Where it is unset a session of one machine gets a
-    folder of its own; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="duolattice-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    # A path without a scheme belongs to the cluster's default file system.
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub("^file:/+", "file:///", full)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
 def materialized(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: it cuts the lineage and outlives lost executors."""
     path = scratch_path(df.sparkSession, name)
