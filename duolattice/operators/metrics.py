@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows up to which one range is enough.
+SINGLE = 100_000
+
 
 def predict_labels(scores: DataFrame) -> DataFrame:
     """id, y, yhat: the label of the highest score, ties to the smallest label."""
@@ -24,12 +27,18 @@ def classification_metrics(predictions: DataFrame) -> DataFrame:
 def precision_recall(ranked: DataFrame, buckets: int = 64) -> DataFrame:
     """From id, y, score (of label 1): rank, running positives, by score descending, then id.
 
-    Scores are cut into ranges by approximate quantiles; each range is ranked by itself and moved by the counts before it, so no
-    task sorts everything."""
+    Boundaries (score, id) from a hash sample cut the rows into ranges, tied scores too; each range is ranked by itself and moved
+    by the counts before it, so no task sorts everything."""
     ranked = ranked.select("id", "y", "score")
-    n = ranked.count()
-    cuts = sorted(set(ranked.approxQuantile("score", [k / buckets for k in range(1, buckets)], 0.001))) if n > 100_000 else []
-    part = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c > F.col("score"))) if cuts else F.lit(0)
+    n, cuts = ranked.count(), []
+    if n > SINGLE:
+        some = ranked.filter(F.pmod(F.xxhash64("score", "id"), F.lit(n // (64 * buckets) or 1)) == 0).filter(F.col("id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
+        seen = sorted((-r.score, r.id) for r in some.select("score", "id").distinct().collect())
+        cuts = seen[(step := max(1, len(seen) // buckets)) :: step]
+    # Null scores come last, those that aren't numbers first.
+    after = lambda c: (c["score"] > F.col("score")) | ((c["score"] == F.col("score")) & (c["id"] <= F.col("id")))
+    bounds = F.array(*(F.struct(F.lit(-s).alias("score"), F.lit(i).alias("id")) for s, i in cuts))
+    part = F.size(F.filter(bounds, lambda c: F.col("score").isNull() | F.coalesce(after(c), F.lit(False)))) if cuts else F.lit(0)
     ranged = ranked.withColumn("part", part)
     offsets = {r.part: (r.n, r.p) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p")).collect()}
     seen, positives, moved = 0, 0, []

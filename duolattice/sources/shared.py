@@ -16,8 +16,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="duolattice-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # The setting itself can't be changed in a running session.
+        context = spark.sparkContext
+        if context._jsc.sc().getCheckpointDir().isEmpty():
+            context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="duolattice-"))
+        found = context._jsc.sc().getCheckpointDir().get()
     # A path without a scheme belongs to the cluster's default file system.
     path = spark._jvm.org.apache.hadoop.fs.Path(found)
     full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

@@ -74,3 +74,27 @@ def test_folds_count_alignments(spark):
     r = one(spark, d11=folds.fold_log_partition(a(1, "a"), a(1, "b")), d22=folds.fold_log_partition(a(2, "a"), a(2, "b")), d33=folds.fold_log_partition(a(3, "a"), a(3, "b")), tu=folds.fold_log_partition(F.array(F.lit("t")), F.array(F.lit("u")), -1.0, -2.0, -3.0, 0.0))
     assert [round(math.exp(x)) for x in (r.d11, r.d22, r.d33)] == [3, 13, 63]
     assert r.tu == pytest.approx(-1.90138771133189)
+
+
+def test_folds_against_tables(spark):
+    """All lengths from 0 to 4 on both sides, and nulls."""
+    costs = (-1.0, -2.0, -0.5, 1.0)
+    words = [list(w) for k in range(5) for w in ("abca"[:k], "bcab"[:k])]
+    df = spark.createDataFrame([(i, j, s, t) for i, s in enumerate(words) for j, t in enumerate(words)] + [(-1, -1, None, ["a"])], "i int, j int, s array<string>, t array<string>")
+    got = df.select("i", "j", "s", "t", folds.fold_log_partition(F.col("s"), F.col("t"), *costs).alias("z"), folds.fold_viterbi(F.col("s"), F.col("t"), *costs).alias("v")).collect()
+    for r in got:
+        if r.s is None:
+            assert r.z is None and r.v is None
+            continue
+        total, best = {(0, 0): 0.0}, {(0, 0): 0.0}
+        for a in range(len(r.s) + 1):
+            for b in range(len(r.t) + 1):
+                steps = [((a - 1, b), costs[0]), ((a, b - 1), costs[1])]
+                if a and b:
+                    steps.append(((a - 1, b - 1), costs[3] if r.s[a - 1] == r.t[b - 1] else costs[2]))
+                steps = [(p, w) for p, w in steps if min(p) >= 0]
+                if steps:
+                    total[a, b] = math.log(sum(math.exp(total[p] + w) for p, w in steps))
+                    best[a, b] = max(best[p] + w for p, w in steps)
+        end = (len(r.s), len(r.t))
+        assert r.z == pytest.approx(total[end]) and r.v == pytest.approx(best[end])

@@ -74,6 +74,17 @@ def test_ranking_in_ranges(spark):
     assert above.count() == 5000 and above.filter("y = 1").count() == sample.hits
 
 
+def test_one_tied_score_is_ranked_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(M, "SINGLE", 100)
+    n = 20_000
+    tied = spark.range(n).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit(0.5).alias("score"))
+    odd = spark.createDataFrame([(n, 1, None), (n + 1, 0, float("nan")), (None, 1, 0.5)], "id long, y int, score double")
+    got = sorted(M.precision_recall(tied.unionByName(odd), 8).collect(), key=lambda r: r.rank)
+    # Not a number, then the null id of the tied score, then the ids in order, then the null score.
+    assert [r.id for r in got] == [n + 1, None, *range(n), n] and [r.rank for r in got] == list(range(1, n + 4))
+    assert got[-1].hits == (n + 2) // 3 + 2
+
+
 def test_alphabet_and_weight_blocks(spark):
     pairs = spark.createDataFrame([(["a"], ["a", "b"])], "source array<string>, target array<string>")
     got = E.char_pair_alphabet(pairs).orderBy("base_id").collect()
