@@ -3,8 +3,8 @@
 Documents are tokenised, each followed by the end token, and the tokens of a task are packed into sequences of equal length
 (only a task's last one is filled up with end tokens). The packed sequences are written to the shared folder in compressed
 blocks, whose counts give every sequence a global number; a keyed Feistel permutation with cycle-walking turns the number into
-a global slot. Sequences are dealt to tasks by ranges of slots, many in one compressed row, and each task writes its range as
-one shard of fixed stride: the sequence of slot s stands in shard s // rows at byte (s % rows) * stride. Readers go through
+a global slot. Sequences are dealt to tasks by ranges of slots, many in one compressed row, and each task writes its ranges as
+shards of fixed stride, one after the other: the sequence of slot s stands in shard s // rows at byte (s % rows) * stride. Readers go through
 shards one after another and can go on at any slot.
 
 Texts are tokenised once, and only token ids are shuffled, once. What a repeated task would pack anew has been written before
@@ -35,6 +35,8 @@ from .warc import file_system
 _ENCODERS: dict = MEMORIES.setdefault("encoders", {})
 #: Tokens in bytes that a task collects before it deals them to the shards.
 DEAL_BYTES = 64 << 20
+#: Tasks that write shards, at most; with more shards a task writes several, one after the other.
+WRITERS = 8192
 
 
 def encoder(path: str):
@@ -155,7 +157,7 @@ def pack(docs: DataFrame, vocabulary_path: str, length: int, id_col: str, text_c
     return docs.select(integral(docs, id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(kernel, PACKED)
 
 
-def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows: int = 8192, key: int = 42, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows: int = 8192, key: int = 42, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", writers: int = WRITERS) -> DataFrame:
     """Writes the shards and returns their index, already written: slot, shard, row, path, doc_ids, n_tokens, tokens_sha256 (of the stored bytes)."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-shards")
@@ -168,12 +170,13 @@ def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows
         total += counts[part]
     if not total:
         return spark.createDataFrame([], INDEX)
+    starts = spark.sparkContext.broadcast(first)
     order, dtype = Permutation(total, key), token_type(vocabulary_path)
     stride = length * dtype.itemsize
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
-        size = 0
+        first, size = starts.value, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for shard, own in sorted(held.items()):
@@ -196,16 +199,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows
                     size = 0
         yield from flush()
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: list[tuple] = []
-        shard = None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                shard, slots, lists, sizes, tokens = (c[k].as_py() for c in batch.columns)
-                tokens = _plain(tokens)
-                own += [(slot, d, n, tokens[i * stride : (i + 1) * stride]) for i, (slot, d, n) in enumerate(zip(slots, lists, sizes))]
-        if shard is None:
-            return
+    def store(shard: int, own: list[tuple]) -> pa.RecordBatch:
         own.sort(key=lambda r: r[0])
         slots, lists, sizes, tokens = zip(*own)
         if list(slots) != list(range(shard * rows, min(total, (shard + 1) * rows))):
@@ -220,10 +214,28 @@ def write_shards(docs: DataFrame, vocabulary_path: str, length: int = 1024, rows
         fs.move(temporary, where)
         n = len(slots)
         columns = [pa.array(slots, pa.int64()), pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array([path] * n), pa.array(lists, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), pa.array([hashlib.sha256(t).hexdigest() for t in tokens])]
-        yield pa.RecordBatch.from_arrays(columns, ["slot", "shard", "row", "path", "doc_ids", "n_tokens", "tokens_sha256"])
+        return pa.RecordBatch.from_arrays(columns, ["slot", "shard", "row", "path", "doc_ids", "n_tokens", "tokens_sha256"])
 
-    ranges = packed.mapInArrow(deal, DEALT).repartitionById(-(-total // rows), F.col("shard"))
-    return materialized(ranges.mapInArrow(write, INDEX), "token-index")
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[tuple] = []
+        open_ = None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, slots, lists, sizes, tokens = (c[k].as_py() for c in batch.columns)
+                if shard != open_ and own:
+                    yield store(open_, own)
+                    own = []
+                open_, tokens = shard, _plain(tokens)
+                own += [(slot, d, n, tokens[i * stride : (i + 1) * stride]) for i, (slot, d, n) in enumerate(zip(slots, lists, sizes))]
+        if own:
+            yield store(open_, own)
+
+    shards = -(-total // rows)
+    run = -(-shards // writers)
+    dealt = packed.mapInArrow(deal, DEALT).repartitionById(-(-shards // run), F.floor(F.col("shard") / run).cast("int")).sortWithinPartitions("shard")
+    index = materialized(dealt.mapInArrow(write, INDEX), "token-index")
+    starts.unpersist()
+    return index
 
 
 def read_slots(folder: str, first: int, n: int, vocabulary_path: str, length: int = 1024, rows: int = 8192) -> Iterator[np.ndarray]:

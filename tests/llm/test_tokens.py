@@ -1,4 +1,5 @@
 import hashlib
+import os
 import time
 from collections import Counter
 
@@ -235,6 +236,19 @@ def test_shards_against_brute_force(spark, tmp_path):
     assert len(index) == n
 
 
+def test_tasks_write_several_shards(spark, tmp_path):
+    """With few writers the shards are the same files."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").coalesce(1)
+    kept = []
+    for writers in (10_000, 3):
+        index = K.write_shards(docs, RANKS, length=64, rows=50, folder=f"file://{tmp_path}/{writers}", writers=writers)
+        kept.append(sorted((r.slot, r.shard, r.row, r.doc_ids, r.n_tokens, r.tokens_sha256) for r in index.collect()))
+    assert kept[0] == kept[1] and kept[0][-1][1] > 9
+    names = sorted(os.listdir(tmp_path / "3"))
+    assert names == sorted(os.listdir(tmp_path / "10000"))
+    assert all((tmp_path / "3" / n).read_bytes() == (tmp_path / "10000" / n).read_bytes() for n in names)
+
+
 def test_no_shards_of_nothing(none):
     assert K.write_shards(none, RANKS).count() == 0
 
