@@ -35,13 +35,22 @@ def forget_others(*mine: str) -> None:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: it cuts the lineage and outlives lost executors."""
+def materialized(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: it cuts the lineage and outlives lost executors. made takes its path."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

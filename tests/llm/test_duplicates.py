@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -163,6 +164,14 @@ def test_long_chains(spark):
     assert components.stars(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_leave_one_table(spark):
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    found = components.stars(spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long"))
+    assert len(set(shared.iterdir()) - before) == 1
+    assert {r.b for r in found.collect()} == {0} and found.count() == 20
+
+
 def test_op6(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert Counter(map(tuple, QUERIES["op6_simhash"](spark, SF).collect())) == Counter(brute_groups([tuple(r) for r in rows]))
