@@ -530,13 +530,13 @@ KBEST_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, turned AS (SELECT id, reverse(source
             CASE WHEN source[i + 1] = target[j] THEN {_WAY("r[j]", "1.0", "d")} ELSE {_WAY("r[j]", "-0.5", "c")} END)])),
         lambda acc, x: list_append(acc, list_sort(list_concat(x[1], {_WAY("acc[len(acc)]", "-1.0", "b")}))[1:3]))
     FROM rows_ WHERE i < len(source)
-) SELECT id, CAST(k - 1 AS INTEGER) AS rank, round(-c.s, 6) AS score, replace(replace(replace(replace(array_to_string(string_split(c.o, ''), ' '), 'a', 'Del1'), 'b', 'Ins1'), 'c', 'Sub11'), 'd', 'Mat11') AS ops
+) SELECT id, CAST(k - 1 AS INTEGER) AS rank, round(-c.s, 6) + 0.0 AS score, replace(replace(replace(replace(array_to_string(string_split(c.o, ''), ' '), 'a', 'Del1'), 'b', 'Ins1'), 'c', 'Sub11'), 'd', 'Mat11') AS ops
 FROM (SELECT id, k, r[len(r)][k] AS c FROM (SELECT *, unnest(range(1, len(r[len(r)]) + 1)) AS k FROM rows_ WHERE i = len(source)))"""
 
 
 @query(KBEST_SQL)
 def kbest_alignments(spark, sf_dir):
-    return _lattice(part_pairs(spark, sf_dir), "k_best", k=3).select("id", "rank", F.round("value", 6).alias("score"), F.array_join("ops", " ").alias("ops"))
+    return _lattice(part_pairs(spark, sf_dir), "k_best", k=3).select("id", "rank", (F.round("value", 6) + 0.0).alias("score"), F.array_join("ops", " ").alias("ops"))
 
 
 @query("""WITH t AS (SELECT event_type AS cur, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)
