@@ -326,10 +326,10 @@ def loss_log_linear_multi(spark, sf_dir):
 
 
 # Labels 0 and 1 of the weights are w, 2 and 3 are u of the same labels. cov: covariances with a direction, from each path's value along it.
-_ALONG = """along AS (SELECT id, label - 2 AS label, path, sum(v * ({0})) AS f FROM (SELECT pf.*, label FROM pf, (SELECT unnest([2, 3]) AS label)) GROUP BY id, label, path),
-cov AS (SELECT q.id, q.label, feature, sum(p * v * f) - sum(p * v) * any_value(m) AS c FROM (SELECT q.id, q.label - 2 AS label, q.path, q.p, f FROM q JOIN along a ON a.id = q.id AND a.label = q.label - 2 AND a.path = q.path) q
+_COV = """cov AS (SELECT q.id, q.label, feature, sum(p * v * f) - sum(p * v) * any_value(m) AS c FROM (SELECT q.id, q.label - 2 AS label, q.path, q.p, f FROM q JOIN along a ON a.id = q.id AND a.label = q.label - 2 AND a.path = q.path) q
     JOIN pf ON pf.id = q.id AND pf.path = q.path JOIN (SELECT q.id, q.label - 2 AS label, sum(p * f) AS m FROM q JOIN along a ON a.id = q.id AND a.label = q.label - 2 AND a.path = q.path GROUP BY q.id, q.label) m ON m.id = q.id AND m.label = q.label
-    GROUP BY q.id, q.label, feature)""".format
+    GROUP BY q.id, q.label, feature)"""
+_ALONG = ("along AS (SELECT id, label - 2 AS label, path, sum(v * ({0})) AS f FROM (SELECT pf.*, label FROM pf, (SELECT unnest([2, 3]) AS label)) GROUP BY id, label, path),\n" + _COV).format
 
 
 @query(_loss_sql(SHARE, "0, 1, 2, 3", f"""sc AS (SELECT id, y, label - 2 AS label, sum(e * {weight_sql("feature", "label - 2")}) AS score FROM ef WHERE label >= 2 GROUP BY id, y, label), {_SOFTMAX}, {_ALONG(weight_sql("feature", "label - 2"))},
@@ -341,6 +341,18 @@ def loss_expected_features(spark, sf_dir):
     return _loss(spark, sf_dir, "LogLinearMultiELFV", SHARED, [0, 1, 2, 3])
 
 
+# The direction is that of w where the sigmoid is as steep as at the expectations; what all scores share (the halves of features) cancels.
+@query(_loss_sql(SHARE, "0, 1, 2, 3", f"""bent AS (SELECT id, y, label - 2 AS label, feature, 1 / (1 + exp(-e)) AS m FROM ef WHERE label >= 2),
+sc AS (SELECT id, y, label, sum((m - 0.5) * {weight_sql("feature", "label")}) AS score FROM bent GROUP BY id, y, label), {_SOFTMAX},
+along AS (SELECT id, label, path, sum(v * m * (1 - m) * {weight_sql("feature", "label")}) AS f FROM pf JOIN bent USING (id, feature) GROUP BY id, label, path), {_COV},
+loss AS (SELECT sum(lse - own) AS value FROM prob WHERE label = 0),
+grad AS (SELECT label, feature, sum((p - CASE WHEN prob.y = label THEN 1 ELSE 0 END) * (m - 0.5)) AS value FROM bent JOIN prob USING (id, label) GROUP BY label, feature
+    UNION ALL SELECT cov.label + 2, feature, sum((p - CASE WHEN prob.y = prob.label THEN 1 ELSE 0 END) * c) FROM cov JOIN prob ON prob.id = cov.id AND prob.label = cov.label GROUP BY cov.label, feature)"""))
+def loss_bent_expectations(spark, sf_dir):
+    """Scores w . sigmoid(E_u[phi])."""
+    return _loss(spark, sf_dir, "LogLinearMultiELFV_sigmoid", SHARED, [0, 1, 2, 3])
+
+
 @query(_loss_sql(SHARE, "0, 1, 2, 3", f"""sc AS (SELECT id, y, label, lz AS score FROM z WHERE label < 2), {_SOFTMAX}, {_ALONG(weight_sql("feature", "label") + " - " + weight_sql("feature", "label - 2"))},
 away AS (SELECT id, sum(e * ({weight_sql("feature", "label")} - {weight_sql("feature", "label - 2")})) AS d FROM ef WHERE label = y + 2 GROUP BY id),
 loss AS (SELECT sum(lse + d - lz) AS value FROM prob JOIN away USING (id) JOIN z ON z.id = prob.id AND z.label = prob.y + 2 WHERE prob.label = 0),
