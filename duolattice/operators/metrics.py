@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,17 @@ from pyspark.sql import functions as F
 SINGLE = 100_000
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """A table that several jobs read, kept meanwhile; one that the caller keeps is left as it is."""
+    mine = df.storageLevel == StorageLevel.NONE
+    try:
+        yield df.persist(StorageLevel.MEMORY_AND_DISK) if mine else df
+    finally:
+        if mine:
+            df.unpersist()
+
+
 def predict_labels(scores: DataFrame) -> DataFrame:
     """id, y, yhat: the label of the highest score, ties to the smallest label."""
     best = F.min_by("label", F.struct((-F.col("score")).alias("s"), F.col("label").alias("l")))
@@ -40,7 +55,7 @@ def precision_recall(ranked: DataFrame, buckets: int = 64) -> DataFrame:
     bounds = F.array(*(F.struct(F.lit(-s).alias("score"), F.lit(i).alias("id")) for s, i in cuts))
     part = F.size(F.filter(bounds, lambda c: F.col("score").isNull() | F.coalesce(after(c), F.lit(False)))) if cuts else F.lit(0)
     ranged = ranked.withColumn("part", part)
-    offsets = {r.part: (r.n, r.p) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p")).collect()}
+    offsets = {} if not cuts else {r.part: (r.n, r.p) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p")).collect()}
     seen, positives, moved = 0, 0, []
     for k in range(len(cuts) + 1):
         moved.append((seen, positives))
@@ -53,13 +68,14 @@ def precision_recall(ranked: DataFrame, buckets: int = 64) -> DataFrame:
 
 def average_precision_11pt(ranked: DataFrame) -> DataFrame:
     """avg_precision: mean of the interpolated precision at recall 0, 0.1, ..., 1 (that at 0 is 1); null without positives."""
-    curve = precision_recall(ranked)
-    total = ranked.agg(F.count_if(F.col("y") == 1).alias("total"))
-    points = curve.filter("y = 1").crossJoin(F.broadcast(total)).select((F.col("hits") / F.col("rank")).alias("p"), (F.col("hits") / F.col("total")).alias("r"))
-    # Fixed value: ten, with a margin for rounding.
-    best = points.agg(*(F.max(F.when(F.col("r") * 10.0000001 >= k, F.col("p"))).alias(f"p{k}") for k in range(1, 11)))
-    mean = sum((F.col(f"p{k}") for k in range(1, 11)), F.lit(1.0)) / 11
-    return best.select(mean.alias("avg_precision"))
+    with kept(ranked.select("id", "y", "score")) as ranked:
+        curve = precision_recall(ranked)
+        total = ranked.agg(F.count_if(F.col("y") == 1).alias("total"))
+        points = curve.filter("y = 1").crossJoin(F.broadcast(total)).select((F.col("hits") / F.col("rank")).alias("p"), (F.col("hits") / F.col("total")).alias("r"))
+        # Fixed value: ten, with a margin for rounding.
+        best = points.agg(*(F.max(F.when(F.col("r") * 10.0000001 >= k, F.col("p"))).alias(f"p{k}") for k in range(1, 11))).first()
+    mean = None if best.p1 is None else (1.0 + sum(best)) / 11
+    return ranked.sparkSession.createDataFrame([(mean,)], "avg_precision double")
 
 
 def metric_lines(metrics: dict[str, float], grid: int, n: int, correct: int) -> list[str]:
@@ -70,7 +86,7 @@ def metric_lines(metrics: dict[str, float], grid: int, n: int, correct: int) ->
 
 def evaluate(scores: DataFrame) -> dict[str, float]:
     """All measures of a score table."""
-    row = classification_metrics(predict_labels(scores)).first().asDict()
-    ranked = scores.filter("label = 1").select("id", "y", "score")
-    row["avg_precision"] = average_precision_11pt(ranked).first().avg_precision
+    with kept(scores) as scores:
+        row = classification_metrics(predict_labels(scores)).first().asDict()
+        row["avg_precision"] = average_precision_11pt(scores.filter("label = 1")).first().avg_precision
     return row
