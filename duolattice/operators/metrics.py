@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which one range is enough.
@@ -51,10 +51,16 @@ def precision_recall(ranked: DataFrame, buckets: int = 64) -> DataFrame:
         seen = sorted((-r.score, r.id) for r in some.select("score", "id").distinct().collect())
         cuts = seen[(step := max(1, len(seen) // buckets)) :: step]
     # Null scores come last, those that aren't numbers first.
-    after = lambda c: (c["score"] > F.col("score")) | ((c["score"] == F.col("score")) & (c["id"] <= F.col("id")))
-    bounds = F.array(*(F.struct(F.lit(-s).alias("score"), F.lit(i).alias("id")) for s, i in cuts))
-    part = F.size(F.filter(bounds, lambda c: F.col("score").isNull() | F.coalesce(after(c), F.lit(False)))) if cuts else F.lit(0)
-    ranged = ranked.withColumn("part", part)
+    after = lambda s, i: F.col("score").isNull() | (F.lit(-s) > F.col("score")) | ((F.lit(-s) == F.col("score")) & (F.lit(i) <= F.col("id")))
+
+    def passed(low: int, high: int) -> Column:
+        """How many boundaries a row has passed, between these numbers: halved again and again."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(after(*cuts[middle]), passed(middle + 1, high)).otherwise(passed(low, middle))
+
+    ranged = ranked.withColumn("part", passed(0, len(cuts)))
     offsets = {} if not cuts else {r.part: (r.n, r.p) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("p")).collect()}
     seen, positives, moved = 0, 0, []
     for k in range(len(cuts) + 1):

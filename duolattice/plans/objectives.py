@@ -12,10 +12,12 @@ import hashlib
 import pickle
 from collections import OrderedDict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from ..operators.dictionary import Dictionary
 from ..operators.latent import NoLatent
 from ..operators.lattice import Batch, LatticeOptions
 from ..operators.machine import Allowed, Machine
+from ..operators.metrics import kept
 from ..operators.observed import mismatches, phrase_pairs
 
 
@@ -51,8 +54,13 @@ class ModelSpec:
         return not isinstance(self.latent, NoLatent)
 
 
+def _copies(row: tuple) -> int:
+    return row[5] if len(row) > 5 else 1
+
+
 class ExampleBatch:
-    """Examples (source, target, y, observed ids, observed values) ready for evaluation."""
+    """Examples (source, target, y, observed ids, observed values, number of copies: one if left out) ready for evaluation. Sums over
+    pairs take each as often as it has copies."""
 
     def __init__(self, spec: ModelSpec, rows: list[tuple], need_lattice: bool = True):
         self.spec, self.n, self.d = spec, len(rows), spec.size
@@ -61,16 +69,34 @@ class ExampleBatch:
         self.obs_pair = np.repeat(np.arange(self.n), [len(r[3] or ()) for r in rows])
         self.obs_ids = np.array([i for r in rows for i in r[3] or ()], np.int64)
         self.obs_values = np.array([v for r in rows for v in r[4] or ()], float)
+        self.copies = np.array([_copies(r) for r in rows], float)
         if need_lattice and not spec.has_latent:
             raise ValueError("without latent features only objectives on observed features can be used")
         self.lattice = Batch(self.pairs, spec.machine, spec.latent, spec.index, spec.options, spec.allowed) if need_lattice else None
 
+    @classmethod
+    def of_columns(cls, spec: ModelSpec, columns: pa.RecordBatch) -> "ExampleBatch":
+        """Without lattices: taken from the columns y, obs_ids, obs_values and copies as they lie."""
+        out = object.__new__(cls)
+        out.spec, out.n, out.d, out.lattice = spec, columns.num_rows, spec.size, None
+        y, ids, values, copies = (columns.column(c) for c in ("y", "obs_ids", "obs_values", "copies"))
+        if y.null_count:
+            raise TypeError("an example has no label")
+        out.y, out.copies = (c.to_numpy(zero_copy_only=False) for c in (y.cast(pa.int64()), copies.cast(pa.float64())))
+        out.obs_pair = np.repeat(np.arange(out.n), pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))
+        out.obs_ids, out.obs_values = (c.flatten().cast(t).to_numpy(zero_copy_only=False) for c, t in ((ids, pa.int64()), (values, pa.float64())))
+        return out
+
+    def total(self, x: np.ndarray) -> float:
+        """Sum over the pairs and their copies."""
+        return float((x * self.copies).sum())
+
     def observed_scores(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.obs_pair, w[self.obs_ids] * self.obs_values, self.n) if len(self.obs_ids) else np.zeros(self.n)
 
     def observed_sum(self, c: np.ndarray) -> np.ndarray:
         """Sum of the observed vectors, weighted by pair."""
-        return np.bincount(self.obs_ids, c[self.obs_pair] * self.obs_values, self.d) if len(self.obs_ids) else np.zeros(self.d)
+        return np.bincount(self.obs_ids, (c * self.copies)[self.obs_pair] * self.obs_values, self.d) if len(self.obs_ids) else np.zeros(self.d)
 
     def log_z(self, w: np.ndarray) -> np.ndarray:
         return self.lattice.log_partition(self.lattice.weigh(w)) + self.observed_scores(w)
@@ -91,7 +117,7 @@ class ExampleBatch:
 
     def expected_sum(self, c: np.ndarray, e: np.ndarray) -> np.ndarray:
         b = self.lattice
-        return np.bincount(b.place_id, c[b.place_pair] * e, self.d) + self.observed_sum(c)
+        return np.bincount(b.place_id, (c * self.copies)[b.place_pair] * e, self.d) + self.observed_sum(c)
 
     def best(self, w: np.ndarray) -> tuple[np.ndarray, list[dict[int, float]]]:
         """Best score, observed part included, and the latent vector of the best path."""
@@ -104,7 +130,7 @@ class ExampleBatch:
 
     def vectors_sum(self, c: np.ndarray, vectors: list[dict[int, float]]) -> np.ndarray:
         out = self.observed_sum(c)
-        for k, x in zip(c, vectors):
+        for k, x in zip(c * self.copies, vectors):
             if k:
                 for i, v in x.items():
                     out[i] += k * v
@@ -119,7 +145,7 @@ class ExampleBatch:
         f = np.bincount(b.edge_of_value, direction * b.values, b.n_edges)
         second = np.bincount(b.place_of_value, b.along(b.weigh(u), f)[b.edge_of_value] * b.values, len(b.places))
         mean = np.bincount(b.place_pair, e * (v[b.place_id] if v.ndim == 1 else v[b.place_pair, b.place_id]), self.n)
-        return np.bincount(b.place_id, c[b.place_pair] * (second - e * mean[b.place_pair]), self.d)
+        return np.bincount(b.place_id, (c * self.copies)[b.place_pair] * (second - e * mean[b.place_pair]), self.d)
 
 
 def _softmax(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +215,7 @@ class LogLinearBinary(Objective):
     def partial(self, batch, theta):
         z, e = batch.expected(theta)
         s, y = z - (batch.paths() if self.scaled else 0.0), self.signs(batch)
-        return float(_log1p_exp(-y * s).sum()), batch.expected_sum(-y * (1 - sigmoid_vector(y * s)), e)
+        return batch.total(_log1p_exp(-y * s)), batch.expected_sum(-y * (1 - sigmoid_vector(y * s)), e)
 
 
 class LogLinearBinaryUnscaled(LogLinearBinary):
@@ -204,7 +230,7 @@ class LogLinearBinaryObs(Objective):
 
     def partial(self, batch, theta):
         s, y = batch.observed_scores(theta), self.signs(batch)
-        return float(_log1p_exp(-y * s).sum()), batch.observed_sum(-y * (1 - sigmoid_vector(y * s)))
+        return batch.total(_log1p_exp(-y * s)), batch.observed_sum(-y * (1 - sigmoid_vector(y * s)))
 
 
 class LogLinearMulti(Objective):
@@ -215,9 +241,9 @@ class LogLinearMulti(Objective):
         found = [batch.expected(w) for w in self.w(theta)]
         total, p = _softmax(np.stack([z for z, _ in found], axis=1))
         own = self.slots(batch)
-        loss = (total - np.stack([z for z, _ in found], axis=1)[np.arange(batch.n), own]).sum()
+        loss = batch.total(total - np.stack([z for z, _ in found], axis=1)[np.arange(batch.n), own])
         grad = [batch.expected_sum(p[:, k] - (own == k), e) for k, (_, e) in enumerate(found)]
-        return float(loss), np.concatenate(grad)
+        return loss, np.concatenate(grad)
 
 
 class LogLinearMultiELFV(Objective):
@@ -236,7 +262,7 @@ class LogLinearMultiELFV(Objective):
         c = [p[:, k] - (own == k) for k in range(len(means))]
         grad_w = [batch.expected_sum(ck, e) for ck, e in zip(c, means)]
         grad_u = [batch.covariance_product(u, w, ck, e) for u, w, ck, e in zip(self.u(theta), self.w(theta), c, means)]
-        return float((total - s[np.arange(batch.n), own]).sum()), np.concatenate([*grad_w, *grad_u])
+        return batch.total(total - s[np.arange(batch.n), own]), np.concatenate([*grad_w, *grad_u])
 
 
 class LogLinearMultiELFVSigmoid(LogLinearMultiELFV):
@@ -263,9 +289,9 @@ class LogLinearMultiELFVSigmoid(LogLinearMultiELFV):
         for k, (e, m) in enumerate(zip(found, slopes)):
             c = p[:, k] - (own == k)
             # The halves of all labels cancel, as the coefficients of each example sum to zero.
-            grad_w.append((m - 0.5).T @ c)
+            grad_w.append((m - 0.5).T @ (c * batch.copies))
             grad_u.append(batch.covariance_product(self.u(theta)[k], self.w(theta)[k] * m * (1 - m), c, e))
-        return float((total - s[np.arange(batch.n), own]).sum()), np.concatenate([*grad_w, *grad_u])
+        return batch.total(total - s[np.arange(batch.n), own]), np.concatenate([*grad_w, *grad_u])
 
 
 class LogLinearMultiUW(Objective):
@@ -283,15 +309,15 @@ class LogLinearMultiUW(Objective):
     def partial(self, batch, theta):
         found = [batch.expected(w) for w in self.w(theta)]
         total, p = _softmax(np.stack([z for z, _ in found], axis=1))
-        own, loss = self.slots(batch), total.sum()
+        own, loss = self.slots(batch), batch.total(total)
         grad_w, grad_u = [], []
         for k, (w, u) in enumerate(zip(self.w(theta), self.u(theta))):
             mine = (own == k).astype(float)
             z, e = batch.expected(u)
-            loss += (mine * (batch.expected_scores(u - w, e) - z)).sum()
+            loss += batch.total(mine * (batch.expected_scores(u - w, e) - z))
             grad_w.append(batch.expected_sum(p[:, k], found[k][1]) - batch.expected_sum(mine, e))
             grad_u.append(batch.covariance_product(u, u - w, mine, e))
-        return float(loss), np.concatenate([*grad_w, *grad_u])
+        return loss, np.concatenate([*grad_w, *grad_u])
 
 
 class MaxMarginBinary(Objective):
@@ -306,7 +332,7 @@ class MaxMarginBinary(Objective):
         margin = np.where(batch.y == 1, batch.vectors_scores(theta, fixed), -score)
         short = margin < 1
         grad = batch.vectors_sum(np.where(short & (batch.y != 1), 1.0, 0.0), vectors) + batch.vectors_sum(np.where(short & (batch.y == 1), -1.0, 0.0), fixed)
-        return float(np.maximum(0, 1 - margin).sum()), grad
+        return batch.total(np.maximum(0, 1 - margin)), grad
 
 
 class MaxMarginBinaryObs(Objective):
@@ -318,7 +344,7 @@ class MaxMarginBinaryObs(Objective):
     def partial(self, batch, theta):
         y = self.signs(batch)
         margin = y * batch.observed_scores(theta)
-        return float(np.maximum(0, 1 - margin).sum()), batch.observed_sum(np.where(margin < 1, -y, 0.0))
+        return batch.total(np.maximum(0, 1 - margin)), batch.observed_sum(np.where(margin < 1, -y, 0.0))
 
 
 class MaxMarginMulti(Objective):
@@ -333,14 +359,14 @@ class MaxMarginMulti(Objective):
         s = np.stack([z for z, _ in found], axis=1) + 1.0
         s[np.arange(batch.n), own] -= 1.0
         worst = s.argmax(axis=1)
-        loss, grad = s[np.arange(batch.n), worst].sum(), []
+        loss, grad = batch.total(s[np.arange(batch.n), worst]), []
         fixed_w = self.w(self.fixed(theta))
         for k, w in enumerate(self.w(theta)):
             mine = (own == k).astype(float)
             _, fixed = batch.best(fixed_w[k])
-            loss -= (mine * batch.vectors_scores(w, fixed)).sum()
+            loss -= batch.total(mine * batch.vectors_scores(w, fixed))
             grad.append(batch.vectors_sum((worst == k).astype(float), found[k][1]) - batch.vectors_sum(mine, fixed))
-        return float(loss), np.concatenate(grad)
+        return loss, np.concatenate(grad)
 
 
 class _Pipeline(Objective):
@@ -413,17 +439,17 @@ class MaxMarginMultiPipelineUW(_Pipeline):
                 to[i] += c * x
 
         for i in range(batch.n):
-            y = own[i]
+            y, n = own[i], batch.copies[i]
             rows = lists[y][i]
             value, latent, glob = max(((self.dot(u[y], a) - self.dot(w[y], g), a, g) for a, g in rows), key=lambda x: x[0])
-            kept = max((a for a, _ in rows), key=lambda a: self.dot(fixed_u[y], a))
+            held = max((a for a, _ in rows), key=lambda a: self.dot(fixed_u[y], a))
             rivals = [((k != y) + (best := self.best_global(w[k], lists[k][i]))[0], k, best[1]) for k in range(len(w))]
             score, k, rival = max(rivals, key=lambda x: x[0])
-            loss += value + score - self.dot(u[y], kept)
-            add(grad_u[y], latent, 1.0)
-            add(grad_w[y], glob, -1.0)
-            add(grad_w[k], rival, 1.0)
-            add(grad_u[y], kept, -1.0)
+            loss += n * (value + score - self.dot(u[y], held))
+            add(grad_u[y], latent, n)
+            add(grad_w[y], glob, -n)
+            add(grad_w[k], rival, n)
+            add(grad_u[y], held, -n)
         return loss, np.concatenate([grad_w.ravel(), grad_u.ravel()])
 
 
@@ -451,13 +477,50 @@ def _example_batch(objective: Objective, key: str, rows: list[tuple]) -> Example
     return batch
 
 
+def together(examples: DataFrame) -> DataFrame:
+    """Examples that are equal in all but their ids as one: the smallest id, the other columns, and copies, their number."""
+    columns = [c for c in examples.columns if c not in ("id", "copies")]
+    number = F.sum("copies") if "copies" in examples.columns else F.count("*")
+    return examples.groupBy(*columns).agg(F.min("id").alias("id"), number.alias("copies")).select("id", *columns, "copies")
+
+
+#: Different examples of a partition, at least.
+PER_PARTITION = 64
+
+
+@contextmanager
+def different(examples: DataFrame) -> Iterator[tuple[DataFrame, int]]:
+    """together(), kept meanwhile, and the partitions that are enough for so many: kept tables aren't coalesced by adaptive execution.
+
+    Kept also because filters that are inferred from features would go below the grouping, to all copies."""
+    found = together(examples)
+    parts = found.count() // PER_PARTITION + 1
+    with kept(found.coalesce(parts)) as found:
+        yield found, parts
+
+
+def counted(examples: DataFrame) -> DataFrame:
+    """Examples with a column copies."""
+    return examples if "copies" in examples.columns else examples.withColumn("copies", F.lit(1).cast("long"))
+
+
+def _batches(objective: Objective, key: str, rows: pa.RecordBatch, per_batch: int) -> Iterator[ExampleBatch]:
+    """Examples of an Arrow batch: whole without lattices, else per_batch at a time."""
+    if not objective.needs_lattice:
+        yield ExampleBatch.of_columns(objective.spec, rows)
+        return
+    for a in range(0, rows.num_rows, per_batch):
+        yield _example_batch(objective, key, list(zip(*(c.to_pylist() for c in rows.slice(a, per_batch).columns))))
+
+
 def vectorize(examples: DataFrame, observed: DataFrame | None, dictionary: Dictionary) -> DataFrame:
-    """id, source, target, y, obs_ids, obs_values: examples with their observed features by base id."""
+    """id, source, target, y, obs_ids, obs_values: examples with their observed features by base id; and copies, if they have it."""
+    copies = [c for c in examples.columns if c == "copies"]
     if observed is None:
         none = lambda t: F.expr(f"cast(array() as array<{t}>)")
-        return examples.select("id", "source", "target", "y", none("int").alias("obs_ids"), none("double").alias("obs_values"))
+        return examples.select("id", "source", "target", "y", none("int").alias("obs_ids"), none("double").alias("obs_values"), *copies)
     vectors = dictionary.transform(observed)
-    return examples.join(vectors, "id", "left").select("id", "source", "target", "y", F.col("indices").alias("obs_ids"), F.col("values").alias("obs_values"))
+    return examples.join(vectors, "id", "left").select("id", "source", "target", "y", F.col("indices").alias("obs_ids"), F.col("values").alias("obs_values"), *copies)
 
 
 def gather_latent(examples: DataFrame, spec: ModelSpec, per_batch: int = 256) -> DataFrame:
@@ -474,10 +537,10 @@ def gather_latent(examples: DataFrame, spec: ModelSpec, per_batch: int = 256) ->
 
 
 class LocalLoss:
-    """Average loss and gradient over rows on the driver (small data and tests). rows: source, target, y, obs_ids, obs_values."""
+    """Average loss and gradient over rows on the driver (small data and tests). rows: source, target, y, obs_ids, obs_values, copies (one if left out)."""
 
     def __init__(self, objective: Objective, rows: list[tuple]):
-        self.objective, self.n = objective, len(rows)
+        self.objective, self.n = objective, sum(map(_copies, rows))
         self.rows = rows
         self.batch = ExampleBatch(objective.spec, rows, objective.needs_lattice)
 
@@ -489,7 +552,12 @@ class LocalLoss:
         return LocalLoss(self.objective, [self.rows[i] for i in rows])
 
     def minibatch(self, buckets: int, k: int, seed: int = 0) -> "LocalLoss":
-        return self.subset(np.flatnonzero(np.random.default_rng(seed).permutation(self.n) % buckets == k))
+        """Copies of a row are dealt to one bucket after the other."""
+        if buckets == 1:
+            return self
+        copies = np.array([_copies(r) for r in self.rows], np.int64)
+        mine = copies // buckets + ((k - np.random.default_rng(seed).permutation(len(copies))) % buckets < copies % buckets)
+        return LocalLoss(self.objective, [(*self.rows[i][:5], int(mine[i])) for i in np.flatnonzero(mine)])
 
     def fix(self, theta: np.ndarray | None) -> "LocalLoss":
         other = object.__new__(LocalLoss)
@@ -505,8 +573,8 @@ class DistributedLoss:
     receives one vector whatever the number of tasks."""
 
     def __init__(self, objective: Objective, examples: DataFrame, per_batch: int = 256):
-        self.objective, self.examples, self.per_batch = objective, examples, per_batch
-        self.n = examples.count()
+        self.objective, self.examples, self.per_batch = objective, counted(examples), per_batch
+        self.n = self.examples.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
         self.key = hashlib.sha1(pickle.dumps(objective.spec)).hexdigest()
         self.sent = examples.sparkSession.sparkContext.broadcast(objective)
 
@@ -517,15 +585,15 @@ class DistributedLoss:
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             objective, loss, grad = shared.value, 0.0, np.zeros(dim)
             for b in batches:
-                for a in range(0, b.num_rows, per_batch):
-                    rows = list(zip(*(c.to_pylist() for c in b.slice(a, per_batch).columns)))
-                    f, g = objective.partial(_example_batch(objective, key, rows), sent.value)
+                for batch in _batches(objective, key, b, per_batch):
+                    f, g = objective.partial(batch, sent.value)
                     loss += f
                     grad += g
             at = np.flatnonzero(grad)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at]), pa.int64()), pa.array(np.concatenate([[loss], grad[at]]))], ["idx", "val"])
 
-        parts = self.examples.select("source", "target", "y", "obs_ids", "obs_values").mapInArrow(kernel, "idx long, val double")
+        texts = ["source", "target"] if self.objective.needs_lattice else []
+        parts = self.examples.select(*texts, "y", "obs_ids", "obs_values", "copies").mapInArrow(kernel, "idx long, val double")
         loss, grad = 0.0, np.zeros(dim)
         for r in parts.groupBy("idx").agg(F.sum("val").alias("val")).collect():
             if r.idx < 0:
@@ -536,8 +604,12 @@ class DistributedLoss:
         return loss / max(1, self.n), grad / max(1, self.n)
 
     def minibatch(self, buckets: int, k: int, seed: int = 0) -> "DistributedLoss":
-        """The examples whose hash falls into bucket k of so many."""
-        return DistributedLoss(self.objective, self.examples.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)) == k), self.per_batch)
+        """The examples whose hash falls into bucket k of so many; copies are dealt to one bucket after the other."""
+        if buckets == 1:
+            return self
+        away = F.pmod(F.lit(k) - F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)), F.lit(buckets))
+        mine = F.floor(F.col("copies") / buckets) + (away < F.col("copies") % buckets).cast("long")
+        return DistributedLoss(self.objective, self.examples.withColumn("copies", mine).filter("copies > 0"), self.per_batch)
 
     def fix(self, theta: np.ndarray | None) -> "DistributedLoss":
         other = object.__new__(DistributedLoss)
@@ -552,12 +624,22 @@ LOCAL_ROWS, LOCAL_LATTICES = 50_000, 200
 
 
 def make_loss(objective: Objective, examples: DataFrame):
-    """A loss over vectorize()d examples: on the driver if they are few, which saves a job for each evaluation, else on the cluster."""
-    most = LOCAL_LATTICES if objective.needs_lattice else LOCAL_ROWS
-    if examples.count() > most:
-        return DistributedLoss(objective, examples)
-    rows = examples.select("id", "source", "target", "y", "obs_ids", "obs_values").orderBy("id").collect()
-    return LocalLoss(objective, [tuple(r)[1:] for r in rows])
+    """A loss over vectorize()d examples: on the driver if they are few, which saves a job for each evaluation, else on the cluster.
+
+    Without lattices equal labels and vectors have equal losses, so they count as one if that makes them few. The examples are read
+    several times; the caller keeps them."""
+    examples, most = counted(examples), LOCAL_LATTICES if objective.needs_lattice else LOCAL_ROWS
+    same = ["y", "obs_ids", "obs_values"]
+    rows, different = examples.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*same))).first()
+    few = None
+    if rows <= most:
+        few = sorted(examples.select("id", "source", "target", *same, "copies").collect(), key=lambda r: r.id)
+    elif not objective.needs_lattice and different <= most:
+        merged = examples.groupBy(*same).agg(F.min("id").alias("id"), F.sum("copies").alias("copies"))
+        none = F.lit(None).cast("array<string>")
+        found = merged.select("id", none.alias("source"), none.alias("target"), *same, "copies").limit(most + 1).collect()
+        few = sorted(found, key=lambda r: r.id) if len(found) <= most else None
+    return DistributedLoss(objective, examples) if few is None else LocalLoss(objective, [tuple(r)[1:] for r in few])
 
 
 def score_examples(objective: Objective, examples: DataFrame, thetas: list[np.ndarray], per_batch: int = 256) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, fields, replace
 
 import numpy as np
@@ -16,7 +18,7 @@ from ..operators.lattice import LatticeOptions
 from ..operators.machine import Allowed, build
 from ..operators.observed import OBSERVED, observed_features
 from ..sources import pairs as files
-from .objectives import OBJECTIVES, ModelSpec, gather_latent, make_loss, score_examples, vectorize
+from .objectives import LOCAL_ROWS, OBJECTIVES, ModelSpec, different, gather_latent, make_loss, score_examples, vectorize
 from .optimizers import Result, Status, Validation, bmrm, default_optimizer, em, estimate_rate, lbfgs, lbfgs_minibatch, sgd
 from .regularizers import L2, NoRegularizer, Regularized, SoftTying
 
@@ -116,8 +118,24 @@ class Trained:
     def scores(self, examples: DataFrame) -> DataFrame:
         return score_examples(self.objective, self.vectorized(examples), [self.theta])
 
+    @contextmanager
+    def scored(self, examples: DataFrame, thetas: list[np.ndarray] | None = None) -> Iterator[DataFrame]:
+        """model, id, y, label, score by these weights (the model's own if left out), to be read meanwhile. Examples that are equal but
+        for id and label are scored once, and each gets these scores; ids must be different."""
+        columns = [c for c in examples.columns if c not in ("id", "y", "copies")]
+        with different(examples.select("id", *columns)) as (pairs, parts):
+            vectors = self.vectorized(pairs.withColumn("y", F.lit(0))).coalesce(parts)
+            found = score_examples(self.objective, vectors, thetas or [self.theta])
+            sets = found.groupBy(F.col("id").alias("__first")).agg(F.collect_list(F.struct("model", "label", "score")).alias("__scores"))
+            named = pairs.select(F.col("id").alias("__first"), *(F.col(c).alias(f"__{c}") for c in columns)).join(sets, "__first")
+            # Few go to the examples, which then stay where they lie.
+            named = F.broadcast(named) if pairs.count() <= LOCAL_ROWS else named
+            joined = examples.join(named, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in columns])
+            yield joined.select("id", "y", F.inline("__scores")).select("model", "id", "y", "label", "score")
+
     def evaluate(self, examples: DataFrame) -> dict[str, float]:
-        return metrics.evaluate(self.scores(examples))
+        with self.scored(examples) as scores:
+            return metrics.evaluate(scores)
 
     def save(self, spark: SparkSession, folder: str) -> None:
         files.write_dictionary(self.dictionary.features, self.dictionary.labels, f"{folder}/features")
@@ -218,7 +236,8 @@ def optimize(loss, c: Config, theta: np.ndarray, beta: float, tolerance: float,
     return em(loss, theta, convex, lambda fixed, x: fixed(x)[0] + reg(x)[0], tolerance, c.em_iters)
 
 
-def prepare(examples: DataFrame, c: Config, dictionary: Dictionary | None = None) -> tuple[Dictionary, ModelSpec, DataFrame]:
+def prepare(examples: DataFrame, c: Config, dictionary: Dictionary | None = None, parts: int | None = None) -> tuple[Dictionary, ModelSpec, DataFrame]:
+    """Dictionary, model and vectors, these in so many partitions at most."""
     labels = tuple(sorted(r.y for r in examples.select("y").distinct().collect()))
     if not OBJECTIVES[c.model].binary and (len(labels) < 2 or labels != tuple(range(len(labels)))):
         raise ValueError(f"labels must be 0 to k - 1 with k of at least 2, not {labels}")
@@ -227,16 +246,18 @@ def prepare(examples: DataFrame, c: Config, dictionary: Dictionary | None = None
         dictionary, spec = gather(examples, c, spec)
     else:
         spec = with_index(spec, dictionary, OBJECTIVES[c.model])
-    return dictionary, spec, vectorize(examples, observed(examples, c), dictionary).persist()
+    vectors = vectorize(examples, observed(examples, c), dictionary)
+    return dictionary, spec, (vectors if parts is None else vectors.coalesce(parts)).persist()
 
 
 def train(examples: DataFrame, c: Config, dictionary: Dictionary | None = None, theta0: np.ndarray | None = None, validation: Validation | None = None) -> Trained:
-    """Gathers features, sets initial weights, and optimizes."""
-    dictionary, spec, vectors = prepare(examples, c, dictionary)
-    objective = OBJECTIVES[c.model](spec)
-    start = initial(dictionary, c, objective) if theta0 is None else theta0
-    result = optimize(make_loss(objective, vectors), c, start, c.beta, c.tolerance, validation)
-    vectors.unpersist()
+    """Gathers features, sets initial weights, and optimizes. Equal examples are one, with their number."""
+    with different(examples) as (pairs, parts):
+        dictionary, spec, vectors = prepare(pairs, c, dictionary, parts)
+        objective = OBJECTIVES[c.model](spec)
+        start = initial(dictionary, c, objective) if theta0 is None else theta0
+        result = optimize(make_loss(objective, vectors), c, start, c.beta, c.tolerance, validation)
+        vectors.unpersist()
     theta = validation.best_theta if validation is not None and validation.best_theta is not None else result.theta
     return Trained(c, spec, dictionary, theta, result)
 
@@ -249,26 +270,25 @@ def initial(dictionary: Dictionary, c: Config, objective) -> np.ndarray:
 def grid_search(examples: DataFrame, c: Config, tolerances: list[float], betas: list[float], evaluation: DataFrame | None = None, early_stop: bool = True) -> list[tuple[float, float, Trained, dict | None]]:
     """Every tolerance with every beta, both from the largest down, each from the same initial weights; the features are gathered
     once. When the convex solver runs out of iterations, the other betas of that tolerance are left out."""
-    dictionary, spec, vectors = prepare(examples, c)
-    objective = OBJECTIVES[c.model](spec)
-    start, loss, out = initial(dictionary, c, objective), make_loss(objective, vectors), []
-    for tolerance in sorted(tolerances, reverse=True):
-        for beta in sorted(betas, reverse=True):
-            result = optimize(loss, c, start, beta, tolerance)
-            trained = Trained(replace(c, beta=beta, tolerance=tolerance), spec, dictionary, result.theta, result)
-            out.append((tolerance, beta, trained, trained.evaluate(evaluation) if evaluation is not None else None))
-            if early_stop and result.status is Status.MAX_ITERS_CONVEX:
-                break
-    vectors.unpersist()
+    with different(examples) as (pairs, parts):
+        dictionary, spec, vectors = prepare(pairs, c, parts=parts)
+        objective = OBJECTIVES[c.model](spec)
+        start, loss, out = initial(dictionary, c, objective), make_loss(objective, vectors), []
+        for tolerance in sorted(tolerances, reverse=True):
+            for beta in sorted(betas, reverse=True):
+                result = optimize(loss, c, start, beta, tolerance)
+                trained = Trained(replace(c, beta=beta, tolerance=tolerance), spec, dictionary, result.theta, result)
+                out.append((tolerance, beta, trained, trained.evaluate(evaluation) if evaluation is not None else None))
+                if early_stop and result.status is Status.MAX_ITERS_CONVEX:
+                    break
+        vectors.unpersist()
     return out
 
 
 def evaluate_models(models: list[Trained], examples: DataFrame) -> list[dict[str, float]]:
     """Measures of several weight vectors of one model in one scoring pass."""
-    scores = score_examples(models[0].objective, models[0].vectorized(examples), [m.theta for m in models]).persist()
-    out = [metrics.evaluate(scores.filter(F.col("model") == k)) for k in range(len(models))]
-    scores.unpersist()
-    return out
+    with models[0].scored(examples, [m.theta for m in models]) as found, metrics.kept(found) as scores:
+        return [metrics.evaluate(scores.filter(F.col("model") == k)) for k in range(len(models))]
 
 
 def staged(first: Trained, examples: DataFrame, c: Config) -> Trained:

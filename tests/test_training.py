@@ -111,6 +111,43 @@ def test_distributed_equals_local(spark, spec, rows):
     assert len(blocks) == 40 and all(b.block.startswith("Alignment 0") for b in blocks)
 
 
+@pytest.mark.parametrize("name", [n for n in J.OBJECTIVES if n != "MaxMarginBinaryPipelineUW"])
+def test_copies_count_as_often(spec, rows, name):
+    objective = J.OBJECTIVES[name](spec)
+    theta = np.random.default_rng(5).normal(0, 0.3, objective.dim)
+    once = J.LocalLoss(objective, [(*r, 1 + i % 3) for i, r in enumerate(rows)])
+    all_ = J.LocalLoss(objective, [r for i, r in enumerate(rows) for _ in range(1 + i % 3)])
+    assert once.n == all_.n == 39
+    (fa, ga), (fb, gb) = once(theta), all_(theta)
+    assert fa == pytest.approx(fb) and np.allclose(ga, gb)
+    assert sum(once.minibatch(3, k).n for k in range(3)) == 39
+
+
+VECTORS = "id long, source array<string>, target array<string>, y int, obs_ids array<int>, obs_values array<double>, copies long"
+
+
+def test_distributed_copies(spark, spec, rows):
+    df = spark.createDataFrame([(i, *r, 1 + i % 3) for i, r in enumerate(rows)], VECTORS).repartition(3)
+    for name in ("LogLinearBinaryObs", "MaxMarginBinaryObs", "LogLinearMulti"):
+        o = J.OBJECTIVES[name](spec)
+        theta = np.random.default_rng(2).normal(0, 0.3, o.dim)
+        a, b = J.DistributedLoss(o, df), J.LocalLoss(o, [r for i, r in enumerate(rows) for _ in range(1 + i % 3)])
+        (fa, ga), (fb, gb) = a(theta), b(theta)
+        assert a.n == 39 and fa == pytest.approx(fb) and np.allclose(ga, gb)
+    assert sum(a.minibatch(2, k).n for k in range(2)) == 39
+
+
+def test_equal_vectors_are_one_example(spark, spec, rows, monkeypatch):
+    monkeypatch.setattr(J, "LOCAL_ROWS", 10)
+    o = J.OBJECTIVES["LogLinearBinaryObs"](spec)
+    df = spark.createDataFrame([(i, *r, 1 + i % 3) for i, r in enumerate(rows)], VECTORS)
+    loss, theta = J.make_loss(o, df), np.ones(4)
+    assert isinstance(loss, J.LocalLoss) and len(loss.rows) == 2 and loss.n == 39
+    assert loss(theta)[0] == pytest.approx(J.DistributedLoss(o, df)(theta)[0])
+    apart = df.withColumn("obs_values", F.array(F.col("id").cast("double")))
+    assert isinstance(J.make_loss(o, apart), J.DistributedLoss)
+
+
 def test_regularizers():
     theta = np.random.default_rng(0).normal(0, 1, 6 + 3)
     tied = R.SoftTying(2, 3, False, 1.0, 0.5, 0.0, 0.3, 0.0)
@@ -177,6 +214,29 @@ def test_training_and_evaluation(spark, examples, tmp_path):
     assert next_.result.history[0] <= trained.result.history[0]
 
 
+OPTIONS = {
+    "train_svm_obs": dict(model="MaxMarginBinaryObs", latent="Empty", observed="KRWord", beta=0.1, max_iters=6, init="zero", tolerance=1e-3),
+}
+
+
+@pytest.mark.parametrize("name", OPTIONS)
+def test_repeated_examples_train_as_one(examples, name, monkeypatch):
+    """Features, losses and scores of equal examples are worked out once; sums and measures take all of them."""
+    losses, made = [], T.make_loss
+    monkeypatch.setattr(T, "make_loss", lambda *a: losses.append(made(*a)) or losses[-1])
+    again = examples.select((F.col("id") + 20).alias("id"), "source", "target", "y")
+    c = T.Config(**OPTIONS[name])
+    one, two = T.train(examples, c), T.train(examples.unionByName(again), c)
+    assert [(len(x.rows), x.n) for x in losses] == [(20, 20), (20, 40)]
+    assert one.result.value == pytest.approx(two.result.value, rel=1e-6) and np.allclose(one.theta, two.theta, atol=1e-5)
+    both = examples.unionByName(again.withColumn("y", 1 - F.col("y")))
+    with two.scored(both) as scores:
+        found = {(r.id, r.label): (r.y, r.score) for r in scores.collect()}
+    plain = {(r.id, r.label): (r.y, r.score) for r in two.scores(both).collect()}
+    assert len(found) == 80 and found.keys() == plain.keys() and all(found[k] == (plain[k][0], pytest.approx(plain[k][1])) for k in plain)
+    assert two.evaluate(both)["n"] == 40 and two.evaluate(both)["accuracy"] == 0.5
+
+
 def test_grid_and_splits(examples):
     out = T.grid_search(examples, C, [1e-1], [0.1, 1.0], examples)
     assert [b for _, b, _, _ in out][0] == 1.0 and all(m["n"] == 20 for *_, m in out)
