@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from .functions import scalars as S
 from .model_queries import CHUNKS_SQL, NO_FINAL, PLAIN, UNIT, _spec, _theta, base_sql, chunks, walk_sql, weight
 from .operators import alignment, experiments, metrics, ngrams, observed
 from .operators.dictionary import Dictionary, init_weights, transfer_weights
-from .plans.objectives import OBJECTIVES, ModelSpec, best_alignments, make_loss, vectorize
+from .plans.objectives import OBJECTIVES, ModelSpec, best_alignments, different, make_loss, vectorize
 from .plans.optimizers import bmrm, estimate_rate, lbfgs, lbfgs_minibatch, sgd
 from .plans.regularizers import L2, NoRegularizer, Regularized, SoftTying
 from .operators.latent import NoLatent
@@ -366,22 +367,27 @@ _NEWTON_SQL = f"""WITH RECURSIVE {_TWO_SQL}, newton AS (
 ), best AS (SELECT u, v, avg(ln(1 + exp(-t * (u * a + v * b)))) + {BETA / 2} * (u * u + v * v) AS value FROM newton, x WHERE k = 15 GROUP BY u, v)"""
 
 
+@contextmanager
 def _two_features(spark, sf_dir):
-    """The loss of logistic regression on a bias and the normalised edit distance."""
-    pairs = part_pairs(spark, sf_dir)
+    """The loss of logistic regression on a bias and the normalised edit distance. Equal pairs are one, with their number."""
+    with different(part_pairs(spark, sf_dir)) as (pairs, parts), metrics.kept(_two_vectors(pairs).coalesce(parts)) as vectors:
+        yield make_loss(OBJECTIVES["LogLinearBinaryObs"](ModelSpec(build(0), NoLatent(), n_features=2)), vectors)
+
+
+def _two_vectors(pairs):
     ned = pairs.select("id", F.lit("NED").alias("feature"), (alignment.edit_distance(F.col("source"), F.col("target"), 1) / alignment.pair_size(F.col("source"), F.col("target"))).alias("value"))
     values = observed.bias(pairs).unionByName(ned)
     dictionary = Dictionary.fit(values, [1])
-    objective = OBJECTIVES["LogLinearBinaryObs"](ModelSpec(build(0), NoLatent(), n_features=dictionary.size))
-    return make_loss(objective, vectorize(pairs, values, dictionary))
+    return vectorize(pairs, values, dictionary)
 
 
 @query(_NEWTON_SQL + """, o AS (SELECT unnest(['lbfgs', 'lbfgs, one minibatch', 'bmrm']) AS optimizer) SELECT optimizer, round(value, 5) AS value, round(u, 2) AS bias, round(v, 2) AS ned FROM o, best""")
 def optima(spark, sf_dir):
     """Where the convex optimizers end."""
-    loss, zero = _two_features(spark, sf_dir), np.zeros(2)
-    penalised = Regularized(loss, L2(BETA))
-    found = {"lbfgs": lbfgs(penalised, zero, 1e-9), "lbfgs, one minibatch": lbfgs_minibatch(lambda k, e: Regularized(loss.minibatch(1, k, e), L2(BETA)), zero, batches=1, epochs=6, per_batch=40, tol=1e-9), "bmrm": bmrm(loss, zero, BETA, 1e-10, 200)}
+    zero = np.zeros(2)
+    with _two_features(spark, sf_dir) as loss:
+        penalised = Regularized(loss, L2(BETA))
+        found = {"lbfgs": lbfgs(penalised, zero, 1e-9), "lbfgs, one minibatch": lbfgs_minibatch(lambda k, e: Regularized(loss.minibatch(1, k, e), L2(BETA)), zero, batches=1, epochs=6, per_batch=40, tol=1e-9), "bmrm": bmrm(loss, zero, BETA, 1e-10, 200)}
     return spark.createDataFrame([(n, round(float(r.value), 5), round(float(r.theta[0]), 2) + 0.0, round(float(r.theta[1]), 2)) for n, r in found.items()], "optimizer string, value double, bias double, ned double")
 
 
@@ -393,8 +399,8 @@ def optima(spark, sf_dir):
 ) SELECT round(u, 6) AS bias, round(v, 6) AS ned FROM steps WHERE k = 25""")
 def gradient_steps(spark, sf_dir):
     """Twenty-five steps of gradient descent with falling rates (one minibatch)."""
-    loss = _two_features(spark, sf_dir)
-    r = sgd(lambda k, e: loss, np.zeros(2), BETA, 1, rate=2.0, epochs=25)
+    with _two_features(spark, sf_dir) as loss:
+        r = sgd(lambda k, e: loss, np.zeros(2), BETA, 1, rate=2.0, epochs=25)
     return spark.createDataFrame([(round(float(r.theta[0]), 6), round(float(r.theta[1]), 6))], "bias double, ned double")
 
 
@@ -408,7 +414,9 @@ good AS (SELECT * FROM ended WHERE n < 10 AND n < coalesce((SELECT min(n) FROM e
 SELECT round(0.5 * arg_min(rate, value), 6) AS rate FROM good""")
 def estimated_rate(spark, sf_dir):
     """Half of the best of the improving rates."""
-    return spark.createDataFrame([(round(float(estimate_rate(_two_features(spark, sf_dir), np.zeros(2), BETA)), 6),)], "rate double")
+    with _two_features(spark, sf_dir) as loss:
+        rate = estimate_rate(loss, np.zeros(2), BETA)
+    return spark.createDataFrame([(round(float(rate), 6),)], "rate double")
 
 
 # Tools

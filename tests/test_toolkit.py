@@ -143,3 +143,20 @@ def test_zipped_lines(spark):
 def test_average_precision_of_prediction_files():
     lines = ["0 y 1 yHat 1 scores 0 -0.9 1 0.9", "1 y 0 yHat 1 scores 0 -0.5 1 0.5"]
     assert E.eleven_point_from_predictions(lines) == 1.0 and E.eleven_point_from_predictions(lines[1:]) is None
+
+
+@pytest.mark.parametrize("name", ["gradient_steps"])
+def test_two_features_of_repeated_pairs(spark, name, tmp_path, monkeypatch):
+    """Equal pairs are one example of the loss, so many copies of few pairs need no job for each evaluation; the result is that of each pair once."""
+    from duolattice import queries as Q
+    from duolattice import toolkit_queries
+    from duolattice.plans import objectives as J
+
+    part = spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate([("large ring", "LARGE"), ("hot bolt", "ECONOMY"), ("plate", "Plates"), ("a much longer name", "X")])], "p_partkey long, p_name string, p_type string")
+    part.write.parquet(str(tmp_path / "one" / "part.parquet"))
+    part.crossJoin(spark.range(5)).select((F.col("p_partkey") + 10 * F.col("id")).alias("p_partkey"), "p_name", "p_type").write.parquet(str(tmp_path / "five" / "part.parquet"))
+    monkeypatch.setattr(J, "LOCAL_ROWS", 10)
+    monkeypatch.delattr(J.DistributedLoss, "__call__")
+    with toolkit_queries._two_features(spark, str(tmp_path / "five")) as loss:
+        assert len(loss.rows) == 4 and loss.n == 20
+    assert rows(Q.QUERIES[name](spark, str(tmp_path / "five"))) == rows(Q.QUERIES[name](spark, str(tmp_path / "one")))
