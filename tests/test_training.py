@@ -216,6 +216,7 @@ def test_training_and_evaluation(spark, examples, tmp_path):
 
 OPTIONS = {
     "train_svm_obs": dict(model="MaxMarginBinaryObs", latent="Empty", observed="KRWord", beta=0.1, max_iters=6, init="zero", tolerance=1e-3),
+    "train_logreg_obs": dict(model="LogLinearBinaryObs", latent="Empty", observed="KRWord", beta=0.1, max_iters=6, init="zero", tolerance=1e-3),
     "train_latent_multi": dict(model="LogLinearMulti", no_collapsed_align_ngrams=True, exact_match_state=True, beta=0.1, max_iters=4, init="zero", tolerance=1e-2),
 }
 
