@@ -145,7 +145,7 @@ def test_average_precision_of_prediction_files():
     assert E.eleven_point_from_predictions(lines) == 1.0 and E.eleven_point_from_predictions(lines[1:]) is None
 
 
-@pytest.mark.parametrize("name", ["gradient_steps", "estimated_rate"])
+@pytest.mark.parametrize("name", ["gradient_steps", "estimated_rate", "optima"])
 def test_two_features_of_repeated_pairs(spark, name, tmp_path, monkeypatch):
     """Equal pairs are one example of the loss, so many copies of few pairs need no job for each evaluation; the result is that of each pair once."""
     from duolattice import queries as Q
