@@ -16,7 +16,8 @@ EPSILON = "-"
 def edit_distance(source: Column, target: Column, sub_cost: int = 1) -> Column:
     """Edit distance of two arrays as one fold over the source, whose state is a row of the table: insertions and deletions cost 1.
 
-    Equal tokens take the diagonal, which is never worse."""
+    Equal tokens take the diagonal, which is never worse. Tokens that are all single characters, with substitutions at 1, are left to
+    Spark's own function on strings, as a fold makes an array for every cell."""
     first = F.sequence(F.lit(0), F.size(target))
 
     def row(above: Column, token: Column) -> Column:
@@ -29,7 +30,11 @@ def edit_distance(source: Column, target: Column, sub_cost: int = 1) -> Column:
         )
 
     whole = F.element_at(F.aggregate(source, first, row), -1)
-    return F.when(F.size(target) == 0, F.size(source)).when(F.size(source) == 0, F.size(target)).otherwise(whole)
+    found = F.when(F.size(target) == 0, F.size(source)).when(F.size(source) == 0, F.size(target))
+    if sub_cost == 1:
+        single = [F.forall(side, lambda t: F.char_length(t) == 1) for side in (source, target)]
+        found = found.when(single[0] & single[1], F.levenshtein(F.array_join(source, ""), F.array_join(target, "")))
+    return found.otherwise(whole)
 
 
 def align_tokens(s: list[str], t: list[str], sub_cost: int = 1) -> tuple[int, list[str], list[str]]:

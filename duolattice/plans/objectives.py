@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import sigmoid_vector
@@ -493,10 +493,9 @@ def different(examples: DataFrame) -> Iterator[tuple[DataFrame, int]]:
     """together(), kept meanwhile, and the partitions that are enough for so many: kept tables aren't coalesced by adaptive execution.
 
     Kept also because filters that are inferred from features would go below the grouping, to all copies."""
-    found = together(examples)
-    parts = found.count() // PER_PARTITION + 1
-    with kept(found.coalesce(parts)) as found:
-        yield found, parts
+    with kept(together(examples)) as found:
+        parts = found.count() // PER_PARTITION + 1
+        yield found.coalesce(parts), parts
 
 
 def counted(examples: DataFrame) -> DataFrame:
@@ -523,6 +522,13 @@ def vectorize(examples: DataFrame, observed: DataFrame | None, dictionary: Dicti
     return examples.join(vectors, "id", "left").select("id", "source", "target", "y", F.col("indices").alias("obs_ids"), F.col("values").alias("obs_values"), *copies)
 
 
+def vectorize_columns(examples: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """vectorize() for features that every example has, each a column: base ids by byte order of the names. Nothing is shuffled."""
+    names = sorted(values, key=str.encode)
+    ids, held = F.array(*(F.lit(k) for k in range(len(names)))), F.array(*(values[n].cast("double") for n in names))
+    return examples.select("id", "source", "target", "y", ids.alias("obs_ids"), held.alias("obs_values"), *(c for c in examples.columns if c == "copies"))
+
+
 def gather_latent(examples: DataFrame, spec: ModelSpec, per_batch: int = 256) -> DataFrame:
     """feature: the names that the edges of all lattices show."""
 

@@ -15,7 +15,7 @@ from .functions import scalars as S
 from .model_queries import CHUNKS_SQL, NO_FINAL, PLAIN, UNIT, _spec, _theta, base_sql, chunks, walk_sql, weight
 from .operators import alignment, experiments, metrics, ngrams, observed
 from .operators.dictionary import Dictionary, init_weights, transfer_weights
-from .plans.objectives import OBJECTIVES, ModelSpec, best_alignments, different, make_loss, vectorize
+from .plans.objectives import OBJECTIVES, ModelSpec, best_alignments, different, make_loss, vectorize, vectorize_columns
 from .plans.optimizers import bmrm, estimate_rate, lbfgs, lbfgs_minibatch, sgd
 from .plans.regularizers import L2, NoRegularizer, Regularized, SoftTying
 from .operators.latent import NoLatent
@@ -369,16 +369,16 @@ _NEWTON_SQL = f"""WITH RECURSIVE {_TWO_SQL}, newton AS (
 
 @contextmanager
 def _two_features(spark, sf_dir):
-    """The loss of logistic regression on a bias and the normalised edit distance. Equal pairs are one, with their number."""
-    with different(part_pairs(spark, sf_dir)) as (pairs, parts), metrics.kept(_two_vectors(pairs).coalesce(parts)) as vectors:
+    """The loss of logistic regression on a bias and the normalised edit distance. Pairs of equal labels and vectors are one, with their number."""
+    with different(_two_vectors(part_pairs(spark, sf_dir))) as (vectors, _):
         yield make_loss(OBJECTIVES["LogLinearBinaryObs"](ModelSpec(build(0), NoLatent(), n_features=2)), vectors)
 
 
 def _two_vectors(pairs):
-    ned = pairs.select("id", F.lit("NED").alias("feature"), (alignment.edit_distance(F.col("source"), F.col("target"), 1) / alignment.pair_size(F.col("source"), F.col("target"))).alias("value"))
-    values = observed.bias(pairs).unionByName(ned)
-    dictionary = Dictionary.fit(values, [1])
-    return vectorize(pairs, values, dictionary)
+    size = alignment.pair_size(F.col("source"), F.col("target"))
+    vectors = vectorize_columns(pairs, {observed.BIAS: 1.0 / size, observed.NED: alignment.edit_distance(F.col("source"), F.col("target"), 1) / size})
+    # The loss doesn't read the texts; without them equal vectors of different pairs are equal.
+    return vectors.withColumns({c: F.lit(None).cast("array<string>") for c in ("source", "target")})
 
 
 @query(_NEWTON_SQL + """, o AS (SELECT unnest(['lbfgs', 'lbfgs, one minibatch', 'bmrm']) AS optimizer) SELECT optimizer, round(value, 5) AS value, round(u, 2) AS bias, round(v, 2) AS ned FROM o, best""")

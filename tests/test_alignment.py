@@ -40,3 +40,14 @@ def test_null_sides(spark):
     df = spark.createDataFrame([(1, None, ["a"], 1), (2, ["a"], ["b", "a"], 0), (3, [], None, 1)], "id long, source array<string>, target array<string>, y int")
     got = {r.id: (r.aligned_source, r.longest, r.edit_distance) for r in alignment.align(df).collect()}
     assert got == {1: (None, None, None), 2: (["-", "a"], 2, 1), 3: (None, None, None)}
+
+
+def test_single_characters_take_no_fold(spark):
+    """Single characters go to Spark's function on strings; tokens of several characters, empty ones and other costs to the fold."""
+    pairs = [(["a", "é", "\U0001f600"], ["é", "\U0001f600", "b"]), (["ab", "c"], ["a", "bc"]), (["", "a"], ["a", ""]), (["a"], []), ([], ["a", "b"]), ([], []), (["a", "b"], ["ab"])]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "id long, source array<string>, target array<string>")
+    for sub in (1, 3):
+        got = {x.id: x.d for x in df.select("id", A.edit_distance(F.col("source"), F.col("target"), sub).alias("d")).collect()}
+        assert got == {i: A.align_tokens(*p, sub)[0] for i, p in enumerate(pairs)}
+    plan = df.select(A.edit_distance(F.col("source"), F.col("target"), 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan.lower()

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +161,21 @@ def test_two_features_of_repeated_pairs(spark, name, tmp_path, monkeypatch):
     with toolkit_queries._two_features(spark, str(tmp_path / "five")) as loss:
         assert len(loss.rows) == 4 and loss.n == 20
     assert rows(Q.QUERIES[name](spark, str(tmp_path / "five"))) == rows(Q.QUERIES[name](spark, str(tmp_path / "one")))
+
+
+@pytest.fixture
+def alike(spark, tmp_path):
+    """Six pairs, all different, of two labels and vectors."""
+    part = [(1, "abcd", "ABCE"), (2, "efgh", "EFGX"), (3, "ij é", "IJ_é"), (4, "a much longer name", "X"), (5, "a much longer bolt", "Y"), (6, "k\U0001f600lm", "K\U0001f600LN")]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_rate_of_different_pairs_with_equal_vectors(spark, alike):
+    """The loss of two features holds different vectors, not different pairs, so many different pairs stay few examples."""
+    from duolattice import queries as Q
+    from duolattice import toolkit_queries
+
+    with toolkit_queries._two_features(spark, alike) as loss:
+        assert loss.n == 6 and sorted((r[2], r[3], r[4], r[5]) for r in loss.rows) == [(0, [0, 1], [1 / 18, 1.0], 2), (1, [0, 1], [0.25, 0.25], 4)]
+        assert rows(Q.QUERIES["estimated_rate"](spark, alike)) == [(round(float(toolkit_queries.estimate_rate(loss, np.zeros(2), toolkit_queries.BETA)), 6),)]
