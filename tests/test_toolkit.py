@@ -179,3 +179,13 @@ def test_rate_of_different_pairs_with_equal_vectors(spark, alike):
     with toolkit_queries._two_features(spark, alike) as loss:
         assert loss.n == 6 and sorted((r[2], r[3], r[4], r[5]) for r in loss.rows) == [(0, [0, 1], [1 / 18, 1.0], 2), (1, [0, 1], [0.25, 0.25], 4)]
         assert rows(Q.QUERIES["estimated_rate"](spark, alike)) == [(round(float(toolkit_queries.estimate_rate(loss, np.zeros(2), toolkit_queries.BETA)), 6),)]
+
+
+def test_optima_of_different_pairs(spark, alike, monkeypatch):
+    """Vectors come from their rows, not through a table of features; the three optimizers end at the same place."""
+    from duolattice import queries as Q
+    from duolattice import toolkit_queries
+
+    monkeypatch.delattr(toolkit_queries.Dictionary, "fit")
+    found = rows(Q.QUERIES["optima"](spark, alike))
+    assert [r[0] for r in found] == ["bmrm", "lbfgs", "lbfgs, one minibatch"] and len({r[1:] for r in found}) == 1
