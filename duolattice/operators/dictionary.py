@@ -12,6 +12,10 @@ from .latent import WordAlignment
 from .numbering import with_dense_index
 
 
+#: Names that go to every task when features are looked up, at most; and names of a partition, at least.
+SENT, PER_PARTITION = 100_000, 10_000
+
+
 @dataclass
 class Dictionary:
     """features: base_id, feature (base ids in byte order of the names). The id for a label is base_id + slot * number of base features."""
@@ -29,7 +33,8 @@ class Dictionary:
         """From rows with a feature column; features are distinct before they are numbered."""
         # Kept, as counts, boundaries and numbers are taken from it one after the other.
         names = values.select("feature").distinct().persist()
-        return cls(with_dense_index(names, "feature", "base_id").select("base_id", "feature"), sorted(labels), names.count())
+        size = names.count()
+        return cls(with_dense_index(names.coalesce(size // PER_PARTITION + 1), "feature", "base_id").select("base_id", "feature"), sorted(labels), size)
 
     @classmethod
     def union(cls, parts: list["Dictionary"]) -> "Dictionary":
@@ -43,7 +48,8 @@ class Dictionary:
 
     def transform(self, values: DataFrame) -> DataFrame:
         """id, indices, values: sparse vectors; features that the dictionary lacks are dropped."""
-        joined = values.join(self.features, "feature")
+        # Few names go to the values: a frequent feature's rows stay where they lie.
+        joined = values.join(F.broadcast(self.features) if self.size <= SENT else self.features, "feature")
         entries = F.array_sort(F.collect_list(F.struct("base_id", "value")))
         return joined.groupBy("id").agg(entries.alias("e")).select("id", F.col("e.base_id").alias("indices"), F.col("e.value").alias("values"))
 

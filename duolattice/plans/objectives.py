@@ -492,7 +492,11 @@ PER_PARTITION = 64
 def different(examples: DataFrame) -> Iterator[tuple[DataFrame, int]]:
     """together(), kept meanwhile, and the partitions that are enough for so many: kept tables aren't coalesced by adaptive execution.
 
-    Kept also because filters that are inferred from features would go below the grouping, to all copies."""
+    Kept also because filters that are inferred from features would go below the grouping, to all copies. What has copies already comes
+    from here and is left as it is."""
+    if "copies" in examples.columns:
+        yield examples, examples.count() // PER_PARTITION + 1
+        return
     with kept(together(examples)) as found:
         parts = found.count() // PER_PARTITION + 1
         yield found.coalesce(parts), parts
@@ -658,14 +662,15 @@ def score_examples(objective: Objective, examples: DataFrame, thetas: list[np.nd
         for b in batches:
             for a in range(0, b.num_rows, per_batch):
                 part = b.slice(a, per_batch)
-                ids, *columns = (c.to_pylist() for c in part.columns)
-                batch = ExampleBatch(objective.spec, list(zip(*columns)), objective.needs_lattice)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                batch = ExampleBatch(objective.spec, list(zip(*(c.to_pylist() for c in part.columns[1:]))), True) if objective.needs_lattice else ExampleBatch.of_columns(objective.spec, part)
                 for m, theta in enumerate(vectors):
                     s = objective.scores(batch, theta)
                     n, k = s.shape
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n * k, m, np.int32)), pa.array(np.repeat(np.array(ids, np.int64), k)), pa.array(np.repeat(batch.y, k), pa.int32()), pa.array(np.tile(labels, n), pa.int32()), pa.array(s.ravel())], ["model", "id", "y", "label", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n * k, m, np.int32)), pa.array(np.repeat(ids, k), pa.int64()), pa.array(np.repeat(batch.y, k), pa.int32()), pa.array(np.tile(labels, n), pa.int32()), pa.array(s.ravel())], ["model", "id", "y", "label", "score"])
 
-    return examples.select("id", "source", "target", "y", "obs_ids", "obs_values").mapInArrow(kernel, "model int, id long, y int, label int, score double")
+    columns = ["source", "target", "y", "obs_ids", "obs_values"] if objective.needs_lattice else ["y", "obs_ids", "obs_values", "copies"]
+    return counted(examples).select("id", *columns).mapInArrow(kernel, "model int, id long, y int, label int, score double")
 
 
 def best_alignments(objective: Objective, examples: DataFrame, theta: np.ndarray, k: int = 1, per_batch: int = 64) -> DataFrame:

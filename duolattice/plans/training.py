@@ -137,6 +137,13 @@ class Trained:
         with self.scored(examples) as scores:
             return metrics.evaluate(scores)
 
+    def classified(self, examples: DataFrame) -> dict[str, float]:
+        """As evaluate(), without the average precision, which ranks every example: equal examples are predicted once and counted as often as they come."""
+        with different(examples) as (pairs, parts):
+            scores = score_examples(self.objective, self.vectorized(pairs).coalesce(parts), [self.theta])
+            predictions = metrics.predict_labels(scores).join(pairs.select("id", "copies"), "id")
+            return metrics.classification_metrics(predictions).first().asDict()
+
     def save(self, spark: SparkSession, folder: str) -> None:
         files.write_dictionary(self.dictionary.features, self.dictionary.labels, f"{folder}/features")
         files.write_weights(self.theta, spark, f"{folder}/weights")

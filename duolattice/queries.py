@@ -19,6 +19,7 @@ from .operators import alignment, experiments, lattice, metrics, ngrams, observe
 from .operators.dictionary import Dictionary
 from .operators.latent import WordAlignment
 from .operators.machine import build
+from .plans.objectives import different
 from .plans.training import Config, train
 from .sources.synthetic import posterior
 
@@ -564,10 +565,9 @@ def bigram_state_transitions(spark, sf_dir):
 
 def _trained(spark, sf_dir, **options) -> DataFrame:
     """Objective at the end of training on all part pairs, and measures on them."""
-    pairs = part_pairs(spark, sf_dir).persist()
-    trained = train(pairs, Config(init="zero", **options))
-    m = trained.evaluate(pairs)
-    pairs.unpersist()
+    with different(part_pairs(spark, sf_dir)) as (pairs, _):
+        trained = train(pairs, Config(init="zero", **options))
+        m = trained.classified(pairs)
     return spark.createDataFrame([(trained.config.model, float(trained.result.value), float(m["accuracy"]), float(m["f1"]))], "model string, objective double, accuracy double, f1 double")
 
 

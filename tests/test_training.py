@@ -274,3 +274,24 @@ def test_streams(spark, examples, tmp_path):
     q = score_stream(stream, trained, lambda df, n: seen.extend((n, r.id) for r in df.collect()), str(tmp_path / "state"))
     q.awaitTermination()
     assert sorted(i for _, i in seen) == list(range(20))
+
+
+@pytest.mark.parametrize("name", ["train_logreg_obs"])
+def test_training_queries_read_their_table_once(spark, tmp_path, monkeypatch, name):
+    """Pairs are grouped once, for training and measures; the measures need no rank of every pair, and are those of all pairs."""
+    from duolattice import queries as Q
+
+    part = spark.createDataFrame([(1, "large ring", "LARGE"), (2, "hot bolt", "ECONOMY"), (3, "plate", "Plates"), (4, "a much longer name", "X"), (5, "plate", "X")], "p_partkey long, p_name string, p_type string")
+    part = part.crossJoin(spark.range(4)).filter("p_partkey > id").select((F.col("p_partkey") + 10 * F.col("id")).alias("p_partkey"), "p_name", "p_type")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    pairs = Q.part_pairs(spark, str(tmp_path))
+    models, grouped, made, together = [], [], Q.train, J.together
+    monkeypatch.setattr(Q, "train", lambda *a: models.append(made(*a)) or models[-1])
+    monkeypatch.setattr(J, "together", lambda df: grouped.append(df) or together(df))
+    with monkeypatch.context() as held:
+        held.delattr(T.metrics, "precision_recall")
+        found = Q.QUERIES[name](spark, str(tmp_path)).first()
+    assert len(grouped) == 1
+    whole = models[0].evaluate(pairs)
+    assert whole.pop("avg_precision") is not None and whole["n"] == 14
+    assert whole == models[0].classified(pairs) and (found.accuracy, found.f1) == (whole["accuracy"], whole["f1"])
