@@ -652,6 +652,18 @@ def make_loss(objective: Objective, examples: DataFrame):
     return DistributedLoss(objective, examples) if few is None else LocalLoss(objective, [tuple(r)[1:] for r in few])
 
 
+@contextmanager
+def loss_of_different(objective: Objective, examples: DataFrame) -> Iterator[LocalLoss | DistributedLoss]:
+    """make_loss() of together(): one job if few examples are different; many are kept meanwhile."""
+    most = LOCAL_LATTICES if objective.needs_lattice else LOCAL_ROWS
+    few = together(examples).select("id", "source", "target", "y", "obs_ids", "obs_values", "copies").limit(most + 1).collect()
+    if len(few) <= most:
+        yield LocalLoss(objective, [tuple(r)[1:] for r in sorted(few, key=lambda r: r.id)])
+        return
+    with different(examples) as (kept_examples, _):
+        yield make_loss(objective, kept_examples)
+
+
 def score_examples(objective: Objective, examples: DataFrame, thetas: list[np.ndarray], per_batch: int = 256) -> DataFrame:
     """model, id, y, label, score for every example, label and parameter vector; each lattice is built once for all vectors."""
     labels = (0, 1) if objective.binary else objective.spec.labels

@@ -132,9 +132,14 @@ def lbfgs_minibatch(batch_loss: Callable[[int, int], Loss], theta: np.ndarray, b
 
 
 def simplex_qp(gram: np.ndarray, b: np.ndarray, start: np.ndarray | None = None, tol: float = 1e-12, steps: int = 100_000) -> np.ndarray:
-    """The point of the simplex that minimises a'Ga/2 - b'a: weight moves between the pair of coordinates that gains the most."""
-    n = len(b)
-    a = np.full(n, 1.0 / n) if start is None else start / start.sum()
+    """The point of the simplex that minimises a'Ga/2 - b'a: solved exactly on one set of coordinates after the other (those that become
+    negative leave, that of the least slope joins), a few systems in all.
+
+    Where rounding ends that too early, weight moves between the pair of coordinates that gains the most. No slope is known better than
+    it can be worked out, so tol is at least that."""
+    a = np.full(len(b), 1.0 / len(b)) if start is None else start / start.sum()
+    tol = max(tol, 8 * np.finfo(float).eps * (np.abs(gram).max() + np.abs(b).max()))
+    a = _active_set(gram, b, a, tol)
     slope = gram @ a - b
     for _ in range(steps):
         i = int(np.argmin(slope))
@@ -152,10 +157,41 @@ def simplex_qp(gram: np.ndarray, b: np.ndarray, start: np.ndarray | None = None,
     return a
 
 
+def _active_set(gram: np.ndarray, b: np.ndarray, a: np.ndarray, tol: float) -> np.ndarray:
+    a, joined = a.copy(), -1
+    for _ in range(10 * len(b) + 50):
+        on = np.flatnonzero(a > 0) if joined < 0 else np.append(np.flatnonzero(a > 0), joined)
+        system = np.ones((len(on) + 1, len(on) + 1))
+        system[:-1, :-1], system[-1, -1] = gram[np.ix_(on, on)], 0.0
+        try:
+            to = np.linalg.solve(system, np.append(b[on], 1.0))[:-1]
+        except np.linalg.LinAlgError:
+            break
+        if not np.isfinite(to).all():
+            break
+        low = to <= 0
+        if low.any():
+            part = a[on][low] / (a[on][low] - to[low])
+            if joined >= 0 and part.min() <= 0:
+                break
+            a[on] += part.min() * (to - a[on])
+            a[on[low][part <= part.min()]], joined = 0.0, -1
+            a /= a.sum()
+            continue
+        a[on], joined = to / to.sum(), -1
+        slope = gram @ a - b
+        j = int(np.argmin(slope))
+        if a[j] > 0 or a @ slope - slope[j] <= tol:
+            break
+        joined = j
+    return a
+
+
 def bmrm(loss: Loss, theta: np.ndarray, beta: float, tol: float = 1e-4, max_iters: int = 250, shrink: bool = True, validation: Validation | None = None) -> Result:
     """Bundle method for a convex loss plus beta/2 of the squared norm: cutting planes, whose dual is solved over the simplex.
 
-    The Gram matrix of the planes grows by a row each time; planes without weight are dropped, never the latest."""
+    The Gram matrix of the planes grows by a row each time; planes without weight are dropped, never the latest. What is added to its
+    diagonal, so that systems of almost equal planes can be solved, is no part of the bound: else the gap would never fall below it."""
     w = np.array(theta, float)
     f, g = loss(w)
     planes, offsets = np.zeros((0, len(w))), np.zeros(0)
@@ -163,12 +199,12 @@ def bmrm(loss: Loss, theta: np.ndarray, beta: float, tol: float = 1e-4, max_iter
     best, best_w, history = f + 0.5 * beta * w @ w, w.copy(), []
     for t in range(1, max_iters + 1):
         row = planes @ g / beta
-        gram = np.block([[gram, row[:, None]], [row[None, :], np.array([[g @ g / beta + 1e-6]])]])
+        gram = np.block([[gram, row[:, None]], [row[None, :], np.array([[g @ g / beta + max(min(1e-6, tol), 1e-15 * (g @ g) / beta)]])]])
         planes = np.vstack([planes, g])
         offsets = np.append(offsets, f - w @ g)
         weights = simplex_qp(gram, offsets, None if weights is None else np.append(weights * 0.999, 0.001))
         w = -(weights @ planes) / beta
-        bound = offsets @ weights - 0.5 * weights @ (gram @ weights)
+        bound = offsets @ weights - 0.5 * beta * w @ w
         f, g = loss(w)
         value = f + 0.5 * beta * w @ w
         if value < best:

@@ -75,11 +75,16 @@ def gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.ngram_counts(spaced_words(spark, sf_dir), 2, 3)
 
 
+def part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, source, target, y: pairs as texts."""
+    kind = F.lower("p_type")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("source"), kind.alias("target"), (F.levenshtein(F.col("p_name"), kind) <= 8).cast("int").alias("y"))
+
+
 def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, source, target, y."""
+    """id, source, target, y: a token is a character."""
     chars = lambda c: F.filter(F.split(c, ""), lambda t: t != "")
-    kind = F.lower("p_type")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), chars("p_name").alias("source"), chars(kind).alias("target"), (F.levenshtein(F.col("p_name"), kind) <= 8).cast("int").alias("y"))
+    return part_texts(spark, sf_dir).withColumns({c: chars(c) for c in ("source", "target")})
 
 
 def event_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,12 +15,12 @@ from .functions import scalars as S
 from .model_queries import CHUNKS_SQL, NO_FINAL, PLAIN, UNIT, _spec, _theta, base_sql, chunks, walk_sql, weight
 from .operators import alignment, experiments, metrics, ngrams, observed
 from .operators.dictionary import Dictionary, init_weights, transfer_weights
-from .plans.objectives import OBJECTIVES, ModelSpec, best_alignments, different, make_loss, vectorize, vectorize_columns
+from .plans.objectives import OBJECTIVES, ModelSpec, best_alignments, loss_of_different, vectorize, vectorize_columns
 from .plans.optimizers import bmrm, estimate_rate, lbfgs, lbfgs_minibatch, sgd
 from .plans.regularizers import L2, NoRegularizer, Regularized, SoftTying
 from .operators.latent import NoLatent
 from .operators.machine import build
-from .queries import ALIGNED_SQL, KR_SQL, PAIRS_SQL, PLACES_SQL, SCORES_SQL, _label_scores, _scores, part_pairs, query, spaced_words, table
+from .queries import ALIGNED_SQL, KR_SQL, PAIRS_SQL, PLACES_SQL, SCORES_SQL, _label_scores, _scores, part_pairs, part_texts, query, spaced_words, table
 from .sources import pairs as files
 from .sources import synthetic
 from .sources.shared import scratch_path
@@ -370,13 +370,14 @@ _NEWTON_SQL = f"""WITH RECURSIVE {_TWO_SQL}, newton AS (
 @contextmanager
 def _two_features(spark, sf_dir):
     """The loss of logistic regression on a bias and the normalised edit distance. Pairs of equal labels and vectors are one, with their number."""
-    with different(_two_vectors(part_pairs(spark, sf_dir))) as (vectors, _):
-        yield make_loss(OBJECTIVES["LogLinearBinaryObs"](ModelSpec(build(0), NoLatent(), n_features=2)), vectors)
+    with loss_of_different(OBJECTIVES["LogLinearBinaryObs"](ModelSpec(build(0), NoLatent(), n_features=2)), _two_vectors(part_texts(spark, sf_dir))) as loss:
+        yield loss
 
 
-def _two_vectors(pairs):
-    size = alignment.pair_size(F.col("source"), F.col("target"))
-    vectors = vectorize_columns(pairs, {observed.BIAS: 1.0 / size, observed.NED: alignment.edit_distance(F.col("source"), F.col("target"), 1) / size})
+def _two_vectors(texts):
+    """Tokens are characters, so lengths and distances are those of the texts, and no arrays of tokens are made."""
+    size = F.greatest(F.char_length("source"), F.char_length("target"))
+    vectors = vectorize_columns(texts, {observed.BIAS: 1.0 / size, observed.NED: F.levenshtein("source", "target") / size})
     # The loss doesn't read the texts; without them equal vectors of different pairs are equal.
     return vectors.withColumns({c: F.lit(None).cast("array<string>") for c in ("source", "target")})
 
@@ -387,7 +388,7 @@ def optima(spark, sf_dir):
     zero = np.zeros(2)
     with _two_features(spark, sf_dir) as loss:
         penalised = Regularized(loss, L2(BETA))
-        found = {"lbfgs": lbfgs(penalised, zero, 1e-9), "lbfgs, one minibatch": lbfgs_minibatch(lambda k, e: Regularized(loss.minibatch(1, k, e), L2(BETA)), zero, batches=1, epochs=6, per_batch=40, tol=1e-9), "bmrm": bmrm(loss, zero, BETA, 1e-10, 200)}
+        found = {"lbfgs": lbfgs(penalised, zero, 1e-9), "lbfgs, one minibatch": lbfgs_minibatch(lambda k, e: Regularized(loss.minibatch(1, k, e), L2(BETA)), zero, batches=1, epochs=6, per_batch=40, tol=1e-9), "bmrm": bmrm(loss, zero, BETA, 1e-13, 200)}
     return spark.createDataFrame([(n, round(float(r.value), 5), round(float(r.theta[0]), 2) + 0.0, round(float(r.theta[1]), 2)) for n, r in found.items()], "optimizer string, value double, bias double, ned double")
 
 

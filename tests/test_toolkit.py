@@ -189,3 +189,14 @@ def test_optima_of_different_pairs(spark, alike, monkeypatch):
     monkeypatch.delattr(toolkit_queries.Dictionary, "fit")
     found = rows(Q.QUERIES["optima"](spark, alike))
     assert [r[0] for r in found] == ["bmrm", "lbfgs", "lbfgs, one minibatch"] and len({r[1:] for r in found}) == 1
+
+
+def test_optima_on_the_cluster(spark, alike, monkeypatch):
+    """An evaluation there is a job, so the bundle method must end when its gap is closed, not with its 200 iterations."""
+    from duolattice import queries as Q
+    from duolattice.plans import objectives as J
+
+    here, calls, evaluate = rows(Q.QUERIES["optima"](spark, alike)), [], J.DistributedLoss.__call__
+    monkeypatch.setattr(J, "LOCAL_ROWS", 1)
+    monkeypatch.setattr(J.DistributedLoss, "__call__", lambda self, theta: calls.append(1) or evaluate(self, theta))
+    assert rows(Q.QUERIES["optima"](spark, alike)) == here and 0 < len(calls) < 100

@@ -171,6 +171,21 @@ def test_simplex_problem():
     assert x.sum() == pytest.approx(1) and (x >= 0).all() and np.allclose(slope[x > 1e-9], slope.min(), atol=1e-5)
 
 
+def test_bundle_method_closes_its_gap():
+    """It ends by the gap, long before its iterations do, and where L-BFGS ends."""
+    x, t = np.array([[1 / 12, 5 / 12], [1 / 30, 1.0], [1 / 7, 3 / 7]]), np.array([1.0, -1.0, -1.0])
+
+    def loss(theta):
+        m = t * (x @ theta)
+        return float(np.log1p(np.exp(-m)).mean()), -(t / (1 + np.exp(m))) @ x / 3
+
+    best = O.lbfgs(R.Regularized(loss, R.L2(0.01)), np.zeros(2), 1e-9)
+    for scale in (1, 30):
+        r = O.bmrm(lambda theta: (lambda f, g: (f, scale * g))(*loss(scale * theta)), np.zeros(2), 0.01 * scale**2, 1e-13, 200)
+        assert r.status is O.Status.CONVERGED and r.iterations < 80
+        assert r.value == pytest.approx(best.value, abs=1e-12) and np.allclose(scale * r.theta, best.theta, atol=1e-5)
+
+
 def test_other_optimizers(spec, rows):
     loss = J.LocalLoss(J.LogLinearBinary(spec), rows)
     parts = [loss.subset(np.arange(k, 20, 4)) for k in range(4)]
